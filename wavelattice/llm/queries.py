@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fm_dedup, quality, sentencepiece_codec, suffix_dedup, warc
+from . import chat, decontam, fm_dedup, quality, sentencepiece_codec, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_substrings(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.remove_repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_suffix_dedup, op5_fm_dedup, op6_decontamination, op8_sentencepiece, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_suffix_dedup, op3_toxicity, op5_fm_dedup, op6_decontamination, op8_sentencepiece, op9_quality, op10_warc)}
 SQL: dict[str, str] = {}
