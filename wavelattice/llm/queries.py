@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fm_dedup, quality, sentencepiece_codec, suffix_dedup, toxicity, warc
+from . import chat, decontam, fm_dedup, ngram_join, quality, sentencepiece_codec, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.codec_digest(_table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_suffix_dedup, op3_toxicity, op5_fm_dedup, op6_decontamination, op8_sentencepiece, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_suffix_dedup, op3_toxicity, op5_fm_dedup, op6_decontamination, op7_ngram_join, op8_sentencepiece, op9_quality, op10_warc)}
 SQL: dict[str, str] = {}
