@@ -16,6 +16,7 @@ null ids too; other columns are ignored.  Special-token strings are ordinary tex
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct parts whose ids a worker keeps at once.
-CACHE = 1 << 19
+#: Distinct parts of a cache generation; a worker keeps two, so that frequent parts stay.
+CACHE = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -125,6 +126,7 @@ class Codec:
         self.cut = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.spec.pieces if kind in (NORMAL, USER))
         self.parity = None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.mismatches: set[str] = set()
         if parity:
             import sentencepiece
@@ -143,8 +145,6 @@ class Codec:
         return self.tokenizer.normalizer.normalize_str(text)
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.cache) + len(parts) > CACHE:
-            self.cache.clear()
         for part, e in zip(parts, self.plain.encode_batch(parts, add_special_tokens=False), strict=True):
             ids = e.ids
             self.cache[part] = struct.pack(f"<{len(ids)}i", *ids)
@@ -170,11 +170,13 @@ class Codec:
             while hi < len(split) and (hi == lo or size + len(split[hi]) <= CACHE // 2):
                 size += len(split[hi])
                 hi += 1
-            wanted = {p for parts in split[lo:hi] for p in parts}
-            fresh = [p for p in wanted if p not in self.cache]
-            if len(self.cache) + len(fresh) > CACHE:
-                fresh = list(wanted)
-            if fresh:
+            fresh = {p for parts in split[lo:hi] for p in parts}.difference(self.cache)
+            if len(self.cache) + len(fresh) > CACHE and self.cache:
+                self.cache, self.older = {}, self.cache
+                fresh = {p for parts in split[lo:hi] for p in parts}
+            known = fresh.intersection(self.older)
+            self.cache.update((p, self.older[p]) for p in known)
+            if fresh := list(fresh - known):
                 self._learn(fresh)
             for parts in split[lo:hi]:
                 ids = np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), "<i4")
@@ -187,6 +189,12 @@ class Codec:
         return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
 
 
+@functools.lru_cache(maxsize=1)
+def shared_codec(raw: bytes) -> Codec:
+    """The codec of this process: tasks that a worker runs one after another use one model and one cache."""
+    return Codec(raw)
+
+
 def sentencepiece_codec(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, batch: int = 256) -> DataFrame:
     """One row per document: id, token_ids array<int>, decoded string, parity boolean, n_bytes long."""
     with open(model, "rb") as f:
@@ -194,7 +202,7 @@ def sentencepiece_codec(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        codec = Codec(raw.value)
+        codec = shared_codec(raw.value)
         for rows in batches:
             for lo in range(0, len(rows), batch):
                 part = rows.slice(lo, batch)
@@ -222,7 +230,7 @@ def codec_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches):
-        codec = Codec(raw.value)
+        codec = shared_codec(raw.value)
         for rows in batches:
             for lo in range(0, len(rows), batch):
                 part = rows.slice(lo, batch)
