@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fm_dedup, ngram_join, quality, sentencepiece_codec, suffix_dedup, toxicity, warc
+from . import chat, decontam, fm_dedup, lm_score, ngram_join, quality, sentencepiece_codec, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 def op5_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.remove_repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +55,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_suffix_dedup, op3_toxicity, op5_fm_dedup, op6_decontamination, op7_ngram_join, op8_sentencepiece, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_suffix_dedup, op3_toxicity, op4_lm_score, op5_fm_dedup, op6_decontamination, op7_ngram_join, op8_sentencepiece, op9_quality, op10_warc)}
 SQL: dict[str, str] = {}
