@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import stored
+from ._shared import split_skew, stored
 
 HOT_BODIES = 20_000
 #: Rows that a mapInArrow step returns at once.
@@ -241,7 +241,8 @@ def repeated_windows(rows: DataFrame, units: Units, width: int, gram: int, limit
     texts = texts.select(*SIDE, "copies", F.when(F.col("with_id") == F.col("copies"), F.col("least_id")).alias("first_id"))
     keys = _anchors(rows, units, width, gram).groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key")
     members = _runs(rows, units, width, gram).join(keys, "key").groupBy("key", "body", *SIDE, "start", "n").agg(F.min("id").alias("least_id"), F.count("id").alias("with_id"), F.count("*").alias("k"))
-    members = stored(members.select("key", "body", *SIDE, "start", "n", F.when(F.col("with_id") == F.col("k"), F.col("least_id")).alias("id")), "members")
+    with split_skew(rows.sparkSession):
+        members = stored(members.select("key", "body", *SIDE, "start", "n", F.when(F.col("with_id") == F.col("k"), F.col("least_id")).alias("id")), "members")
 
     # struct order: the first place of a body is that of the smallest id, then the smallest start
     bodies = members.groupBy("key", "body").agg(F.min(F.struct("id", "start", *SIDE, "n")).alias("m"), (F.count("*") > 1).alias("multi"))
