@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import _text as X
 
 FOLDS = 5
-MAX_CLASS_DOCS = 4000
-MAX_CLASS_BYTES = 12 << 20
+MAX_CLASS_DOCS = 3000
+MAX_CLASS_BYTES = 5 << 20
 #: Of the training documents every such one calibrates and is not counted.
 CALIBRATE = 3
 CLIP = 6.0
