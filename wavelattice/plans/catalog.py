@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import geometry_queries, pair_queries, signal_queries
+
+QUERIES = signal_queries.QUERIES | pair_queries.QUERIES | geometry_queries.QUERIES
+SQL = signal_queries.SQL | pair_queries.SQL | geometry_queries.SQL
