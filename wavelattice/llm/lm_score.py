@@ -134,9 +134,10 @@ def losses(vocab: Vocabulary, bigram: np.ndarray, count: np.ndarray, target: np.
 
 
 def _bucket_losses(docs: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
-    """rid, loss_t, loss_n, tokens: parts of each document's sums; docs: rid, text, target."""
+    """rid, loss_t, loss_n, tokens of each document with words; docs: rid, text, target."""
     known = docs.sparkSession.sparkContext.broadcast(vocab)
     packed = ["bigrams", "doc", "count", "rids", "target"]
+    parts = ["loss_t", "loss_n", "tokens"]
 
     def deal(batches):
         for batch in batches:
@@ -148,12 +149,12 @@ def _bucket_losses(docs: DataFrame, vocab: Vocabulary, buckets: int) -> DataFram
                 order = np.argsort(bucket, kind="stable")
                 bigram, doc, count, bucket = bigram[order], doc[order], count[order], bucket[order]
                 own, cuts = np.unique(bucket, return_index=True)
-                columns: list[list] = [[] for _ in range(len(packed) + 1)]
+                columns: list[list] = [[] for _ in range(len(packed) + 2)]
                 for b, lo, hi in zip(own.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bigram)], strict=True):
                     there, at = np.unique(doc[lo:hi], return_inverse=True)
-                    for column, value in zip(columns, (b, _planes(bigram[lo:hi]), _planes(at), _planes(count[lo:hi]), rid[block.lo + there].tobytes(), target[block.lo + there].tobytes()), strict=True):
+                    for column, value in zip(columns, (b, int(rid[block.lo]), _planes(bigram[lo:hi]), _planes(at), _planes(count[lo:hi]), rid[block.lo + there].tobytes(), target[block.lo + there].tobytes()), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", *packed])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["bucket", "block", *packed])
 
     def summed(rows: list[dict]):
         bigram, doc, count = (np.concatenate([_numbers(r[k]) for r in rows]) for k in packed[:3])
@@ -164,40 +165,47 @@ def _bucket_losses(docs: DataFrame, vocab: Vocabulary, buckets: int) -> DataFram
         own, at = np.unique(bigram, return_inverse=True)
         all_n, all_t = np.bincount(at, count, len(own)), np.bincount(at, count * target, len(own))
         loss_t, loss_n = losses(known.value, bigram, count, target, all_n[at], all_t[at])
-        n = sum(sizes)
-        sums = [np.bincount(doc, v, n) for v in (loss_t, loss_n, count)]
-        ids = np.concatenate(rids)
-        for lo in range(0, n, 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(sums[0][s]), pa.array(sums[1][s]), pa.array(sums[2][s].astype(np.int64))], names=["rid", "loss_t", "loss_n", "tokens"])
-
-    def gather(batches):
-        held, bucket = [], None
+        sums = [np.bincount(doc, v, sum(sizes)) for v in (loss_t, loss_n, count)]
+        # one row back for each block of documents
+        cuts = np.cumsum(sizes)[:-1]
+        back = [[x.tobytes() for x in np.split(v, cuts)] for v in (*sums[:2], sums[2].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["rids"] for r in rows], pa.binary()), *(pa.array(v, pa.binary()) for v in back)], names=["block", "rids", *parts])
+
+    def grouped(batches, key, finish):
+        held, last = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] != bucket and held:
-                    yield from summed(held)
+                if row[key] != last and held:
+                    yield from finish(held)
                     held = []
-                bucket = row["bucket"]
+                last = row[key]
                 held.append(row)
         if held:
-            yield from summed(held)
+            yield from finish(held)
 
-    dealt = docs.select("rid", "text", "target").mapInArrow(deal, "bucket int, " + ", ".join(f"{c} binary" for c in packed))
-    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(gather, "rid long, loss_t double, loss_n double, tokens long")
+    def documents(rows: list[dict]):
+        rids, at = np.unique(np.concatenate([np.frombuffer(r["rids"], np.int64) for r in rows]), return_inverse=True)
+        kinds = (np.float64, np.float64, np.int64)
+        sums = [np.bincount(at, np.concatenate([np.frombuffer(r[p], kind) for r in rows]), len(rids)).astype(kind) for p, kind in zip(parts, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(rids), *map(pa.array, sums)], names=["rid", *parts])
+
+    dealt = docs.select("rid", "text", "target").mapInArrow(deal, "bucket int, block long, " + ", ".join(f"{c} binary" for c in packed))
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: grouped(it, "bucket", summed), "block long, rids binary, " + ", ".join(f"{p} binary" for p in parts))
+    dealt = dealt.repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(lambda it: grouped(it, "block", documents), "rid long, loss_t double, loss_n double, tokens long")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> DataFrame:
     """One row per row of docs: id, n_tokens, ce_target, ce_background, score; ``targets`` has the ids of target documents."""
     marks = targets.select(F.col(id_col).alias("mark")).where("mark is not null").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(marks, F.col("id") == F.col("mark"), "left")
+    # a hash join deals both sides out without sorting texts, at every size
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(marks.hint("shuffle_hash"), F.col("id") == F.col("mark"), "left")
     rows = rows.select("id", "text", F.col("mark").isNotNull().alias("target")).withColumn("rid", F.monotonically_increasing_id())
     held = stored(rows, "scored")  # the row numbers are fixed from here on
     counts = stored(word_counts(held), "words")
     vocab = vocabulary(counts, size)
     drop(counts)
-    sums = _bucket_losses(held, vocab, partitions(docs.sparkSession)).groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("loss_t", "loss_n", "tokens")))
+    sums = _bucket_losses(held, vocab, partitions(docs.sparkSession))
     out = held.select("id", "rid").join(sums, "rid", "left")
     tokens = F.coalesce("tokens", F.lit(0))
     mean = lambda c: F.when(tokens > 0, F.col(c) / tokens).otherwise(F.lit(0.0))
