@@ -25,7 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -39,8 +39,8 @@ MAX_MATCHES = 4
 CELLS, SLICES = 1 << 22, 64
 #: Members compared with one copy of their hub's text.
 HUB_MEMBERS = 256
-#: Hub rounds go on while the pairs that the join would look at exceed so many times the postings.
-PAIRS_PER_POSTING, HUB_ROUNDS = 2, 6
+#: After the first, hub rounds go on while shingles' lists hold so many times as many pairs as postings.
+PAIRS_PER_POSTING, HUB_ROUNDS = 100, 4
 
 
 def shingle_sets(block: X.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +115,23 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return out.ravel().clip(max=0xFFFFFFFF).astype(np.uint32)
 
 
-def probe_length(n, matches):
+def _up(top, bottom):
+    return -(-top // bottom)
+
+
+def _whole(top, bottom):
+    """``_up`` for columns."""
+    return F.ceil(top / bottom)
+
+
+def probe_length(n, matches, up=_up):
     """Prefix of a set that meets sets up to its own size."""
-    return n - -(-PERCENT * n // 100) + matches
+    return n - up(PERCENT * n, 100) + matches
 
 
-def index_length(n, matches):
+def index_length(n, matches, up=_up):
     """Prefix of a set that is met by sets of its size or more."""
-    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + matches
+    return n - up(2 * PERCENT * n, 100 + PERCENT) + matches
 
 
 def choose_prefix(grams: np.ndarray, offs: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,6 +255,26 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long")
 
 
+def _bounded(postings: DataFrame) -> DataFrame:
+    """Postings with cap, the most shingles a node can share: those of its prefix that no other node has are known.
+
+    Nodes that cannot be similar to any other are left out, and then shingles of one node.
+    """
+    length = F.least("n", F.greatest(probe_length(F.col("n"), F.col("matches"), _whole), index_length(F.col("n"), MAX_MATCHES, _whole)))
+    caps = postings.groupBy("node").agg((F.first("n") - (F.first(length) - F.count("*"))).cast("int").alias("cap"), F.first("n").alias("n"))
+    caps = caps.where(100 * F.col("cap") >= PERCENT * F.col("n")).drop("n")
+    rows = postings.join(caps, "node")
+    open_ = rows.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    return rows.join(open_, "token")
+
+
+def _may_match(a: str, b: str) -> Column:
+    """Whether sizes and caps (columns with these prefixes) allow similarity."""
+    both = F.col(f"{a}n") + F.col(f"{b}n")
+    sizes = 100 * F.least(f"{a}n", f"{b}n") >= PERCENT * F.greatest(f"{a}n", f"{b}n")
+    return sizes & ((100 + PERCENT) * F.least(f"{a}cap", f"{b}cap") >= PERCENT * both)
+
+
 def _labelled(postings: DataFrame, links: DataFrame | None) -> DataFrame:
     """Postings with their component; those of shingles within one component are left out."""
     if links is None:
@@ -263,27 +292,39 @@ def _majors(rows: DataFrame) -> DataFrame:
     return by.select("token", F.col("top.comp").alias("major"), ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"))
 
 
-def _hub_pairs(rows: DataFrame, round_: int) -> DataFrame:
-    """Each node with the node, of another component, that most of its shingles name."""
-    key = F.xxhash64("node", F.lit(round_))
-    hubs = rows.groupBy("token").agg(F.min(F.struct(key.alias("key"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"))).alias("h")).select("token", "h.hub", "h.hub_comp", "h.hub_n")
-    close = (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & (F.col("comp") != F.col("hub_comp"))
-    votes = rows.join(hubs, "token").where(close).groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("c"))
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """Each node with the node, of another component, that most of its shingles name.
+
+    A shingle names the node that shares the most with others: of a text and its edited copies
+    that is the text, for edits bring shingles of their own, and it is similar to more of them
+    than they are to each other.
+    """
+    lists = rows.groupBy("token").agg(F.count("*").alias("m"))
+    share = rows.join(lists, "token").groupBy("node").agg(F.sum("m").alias("shared"))
+    rows = rows.join(share, "node")
+    best = F.max(F.struct("shared", *(F.col(c).alias(f"hub_{c}") for c in ("node", "comp", "n", "cap"))))
+    hubs = rows.groupBy("token").agg(best.alias("h")).select("token", "h.hub_node", "h.hub_comp", "h.hub_n", "h.hub_cap")
+    close = _may_match("", "hub_") & (F.col("comp") != F.col("hub_comp"))
+    votes = rows.join(hubs, "token").where(close).groupBy(F.col("node").alias("b"), F.col("hub_node").alias("a")).agg(F.count("*").alias("c"))
     return votes.groupBy("b").agg(F.max(F.struct("c", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
     """Pairs in different components that share as many prefix shingles as the larger set asks for."""
     rows = rows.join(_majors(rows).select("token", "major"), "token")
-    left = rows.where("comp <> major").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "matches", "rank")))
-    right = rows.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "matches", "rank")), (F.col("comp") == F.col("major")).alias("y_major"))
-    pairs = left.join(right, "token").where("x_comp <> y_comp and (y_major or x_node < y_node)")
+    left = rows.where("comp <> major").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "cap", "matches", "rank")))
+    right = rows.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "cap", "matches", "rank")), (F.col("comp") == F.col("major")).alias("y_major"))
     larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") > F.col("y_node")))
     pick = lambda c, yes: F.when(larger if yes else ~larger, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))
-    pairs = pairs.select(*(pick(c, yes).alias(f"{side}_{c}") for side, yes in (("r", True), ("s", False)) for c in ("node", "n", "matches", "rank")))
-    n, s, m = F.col("r_n"), F.col("s_n"), F.col("r_matches")
-    near = (100 * s >= PERCENT * n) & (F.col("r_rank") < n - F.ceil(PERCENT * n / 100) + m) & (F.col("s_rank") < s - F.ceil(2 * PERCENT * s / (100 + PERCENT)) + m)
-    counted = pairs.where(near).groupBy(F.col("r_node").alias("a"), F.col("s_node").alias("b")).agg(F.count("*").alias("c"), F.first("r_matches").alias("m"))
+    m = pick("matches", True)
+    # the pair's own sizes give the overlap it needs, and so shorter prefixes than either needs for all partners
+    need = F.ceil(PERCENT * (F.col("x_n") + F.col("y_n")) / (100 + PERCENT))
+    reached = (F.col("x_rank") < F.col("x_n") - need + m) & (F.col("y_rank") < F.col("y_n") - need + m)
+    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("x_comp") != F.col("y_comp")) & (F.col("y_major") | (F.col("x_node") < F.col("y_node"))) & _may_match("x_", "y_") & reached)
+    # what follows the last shared shingle bounds the overlap
+    rest = F.least(F.first("x_n") - F.max("x_rank"), F.first("y_n") - F.max("y_rank")) - 1
+    counted = pairs.groupBy(pick("node", True).alias("a"), pick("node", False).alias("b")).agg(F.count("*").alias("c"), F.first(m).alias("m"), (F.count("*") + rest >= F.first(need)).alias("open"))
+    counted = counted.where("open")
     return counted.where("c >= m").select("a", "b")
 
 
@@ -294,7 +335,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("least_id"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     postings = _postings(docs, text_col, _sketch(described), partitions(docs.sparkSession))
-    postings = stored(postings.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("token", "node", "n", "matches", "rank"), "postings")
+    every = stored(postings.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("token", "node", "n", "matches", "rank"), "postings")
+    postings = stored(_bounded(every), "postings")
+    drop(every)
     # texts of the nodes that have candidates; one row of each
     wanted = postings.select("node").distinct().join(nodes, "node").select("node", "least_id", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     texts = stored(_texts(docs, wanted, id_col, text_col), "texts")
@@ -302,10 +345,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = None
     for round_ in range(HUB_ROUNDS):
         rows = _labelled(postings, links)
-        pairs, size = _majors(rows).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0], rows.count()
-        if not pairs or pairs <= PAIRS_PER_POSTING * size and round_:
-            break
-        found = stored(_verified(_hub_pairs(rows, round_), texts), "verified")
+        if round_:
+            pairs, size = _majors(rows).agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0], rows.count()
+            if pairs <= PAIRS_PER_POSTING * size:
+                break
+        found = stored(_verified(_hub_pairs(rows), texts), "verified")
         links = found if links is None else links.unionByName(found)
     else:
         rows = _labelled(postings, links)
