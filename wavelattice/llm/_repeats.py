@@ -240,6 +240,8 @@ def repeated_windows(rows: DataFrame, units: Units, width: int, gram: int, limit
     # a null id sorts before all others
     texts = texts.select(*SIDE, "copies", F.when(F.col("with_id") == F.col("copies"), F.col("least_id")).alias("first_id"))
     keys = _anchors(rows, units, width, gram).groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key")
+    # as a table of its own, so that both sides of the next join are shuffles that can be split
+    keys = stored(keys, "anchors")
     members = _runs(rows, units, width, gram).join(keys, "key").groupBy("key", "body", *SIDE, "start", "n").agg(F.min("id").alias("least_id"), F.count("id").alias("with_id"), F.count("*").alias("k"))
     with split_skew(rows.sparkSession):
         members = stored(members.select("key", "body", *SIDE, "start", "n", F.when(F.col("with_id") == F.col("k"), F.col("least_id")).alias("id")), "members")

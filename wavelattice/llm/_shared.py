@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -27,11 +28,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet and read again: computed once, without lineage."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing will read again."""
     for table in tables:

@@ -24,7 +24,7 @@ from . import _text as X
 from ._repeats import WORDS, Shard, identified, repeated_windows, window_starts
 from .suffix_dedup import suffix_order
 
-WIDTH, GRAM = 20, 5
+WIDTH, GRAM = 20, 6
 #: Bytes of word hashes that a shard indexes at once, or one anchor's bodies.
 SHARD_BYTES = 1 << 20
 
