@@ -2,5 +2,258 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import geometry, locate, tomography
+from . import bindings as B
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+SHAPE = (8, 8, 8)
+#: One path a line item: voxels by its keys, lengths by its quantity; times by its price.
+_PATHS = "paths as (select l_suppkey as t, l_partkey as r, (l_orderkey % 512)::bigint as vid, sum(l_quantity) / 10 as len from lineitem group by 1, 2, 3)"
+_VOXELS = "voxels as (select unnest(range(0, 512))::bigint as vid, 1 + (unnest(range(0, 512)) % 7) / 10.0 as v)"
+_OBSERVED = "observed as (select l_suppkey as t, l_partkey as r, avg(l_quantity) / 5 as time from lineitem group by 1, 2)"
+_ERR = f"with {_PATHS}, {_VOXELS}, {_OBSERVED}, pred as (select t, r, sum(len * v) as p from paths join voxels using (vid) group by t, r), err as (select t, r, p - time as err from pred join observed using (t, r))"
+
+
+def _paths(spark, sf_dir):
+    rows = B.table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_suppkey").alias("t"), F.col("l_partkey").alias("r"), (F.col("l_orderkey") % 512).alias("vid")).agg((F.sum("l_quantity") / 10).alias("len"))
+
+
+def _voxels(spark, _):
+    return spark.range(512).select(F.col("id").alias("vid"), (1 + (F.col("id") % 7) / 10).alias("v"))
+
+
+def _observed(spark, sf_dir):
+    return B.arrivals(spark, sf_dir).withColumn("time", F.col("time") / 5)
+
+
+@query("path_trace", f"with {_PATHS}, {_VOXELS} select t, r, round(sum(len * v), 5) as time from paths join voxels using (vid) group by t, r")
+def path_trace(spark, sf_dir):
+    return tomography.trace(_paths(spark, sf_dir), _voxels(spark, sf_dir)).select("t", "r", F.round("time", 5).alias("time"))
+
+
+@query("hit_map", f"with {_PATHS} select vid, count(*)::bigint as hits, round(sum(len), 3) as len from paths group by vid")
+def hit_map(spark, sf_dir):
+    return tomography.hit_map(_paths(spark, sf_dir)).select("vid", "hits", F.round("len", 3).alias("len"))
+
+
+@query("cost_gradient", _ERR + " select vid, round(sum(len * err), 3) as g from paths join err using (t, r) group by vid")
+def cost_gradient(spark, sf_dir):
+    paths = _paths(spark, sf_dir)
+    errors = tomography.residuals(paths, _voxels(spark, sf_dir), _observed(spark, sf_dir))
+    return tomography.gradient(paths, errors).select("vid", F.round("g", 3).alias("g"))
+
+
+@query("cost_summary", _ERR + " select round(sum(err * err) / 2, 2) as cost, round(sqrt(avg(err * err)), 6) as rmse, count(*)::bigint as n from err where abs(err) <= 8")
+def cost_summary(spark, sf_dir):
+    errors = tomography.residuals(_paths(spark, sf_dir), _voxels(spark, sf_dir), _observed(spark, sf_dir), 8.0)
+    return tomography.cost(errors).select(F.round("cost", 2).alias("cost"), F.round("rmse", 6).alias("rmse"), "n")
+
+
+@query("column_norms", f"with {_PATHS}, n as (select vid as col, sqrt(sum(len * len)) as norm from paths group by vid) select col, round(greatest(norm, 0.8 * max(norm) over ()), 5) as norm from n")
+def column_norms(spark, sf_dir):
+    rows = _paths(spark, sf_dir).select(F.col("vid").alias("col"), F.col("len").alias("w"))
+    return tomography.column_norms(rows, 0.8).select("col", F.round("norm", 5).alias("norm"))
+
+
+@query("masked_perturb", f"with {_VOXELS}, x as (select vid, (vid % 5) / 10.0 - 0.2 as d from voxels where vid % 3 = 0) select vid, round((case when d is null then v else least(greatest(v + d, 0.95), 1.5) end)::double, 6) as v from voxels left join x using (vid)")
+def masked_perturb(spark, sf_dir):
+    voxels = _voxels(spark, sf_dir)
+    free = tomography.free_in_mask(voxels.select("vid", (F.col("vid") % 3 == 0).alias("free")))
+    x = free.select("pid", ((F.col("pid") % 5) / 10 - 0.2).alias("x"))
+    change = tomography.clip_change(voxels, tomography.expand(free, x), 0.95, 1.5)
+    return tomography.perturb(voxels, change).select("vid", F.round("v", 6).alias("v"))
+
+
+@query("piecewise_spmv", """with grid as (select unnest(range(0, 512))::bigint as vid), basis as (
+select vid, 0::bigint as pid, 0.5 as w from grid where vid < 100 union all select vid, 1::bigint, 1.0 from grid where vid between 80 and 200
+union all select vid, ((vid // 64 // 2) * 4 + (vid // 8 % 8) // 2) * 4 + (vid % 8) // 2 + 2, 2.0 from grid where vid >= 300)
+select vid, round(sum(w * (pid % 9 + 1))::double, 6) as v from basis group by vid""")
+def piecewise_spmv(spark, sf_dir):
+    grid = spark.range(512).select(F.col("id").alias("vid"))
+    part = lambda name, rule, w: grid.where(rule).select(F.lit(name).alias("name"), "vid", F.lit(w).alias("w"))
+    masks = part("a", "vid < 100", 0.5).unionByName(part("b", "vid between 80 and 200", 1.0)).unionByName(part("unconstrained_D2", "vid >= 300", 2.0))
+    free = tomography.free_pieces(masks, SHAPE)
+    x = free.select("pid").distinct().select("pid", (F.col("pid") % 9 + 1).cast("double").alias("x"))
+    return tomography.expand(free, x).select("vid", F.round("v", 6).alias("v"))
+
+
+@query("piecewise_project", "with grid as (select unnest(range(0, 512))::bigint as vid), basis as (select vid, 0::bigint as pid, 0.5 as w from grid where vid < 100 union all select vid, 1::bigint, 1.0 from grid where vid between 80 and 200) select pid, round(sum(w * (vid % 4))::double, 6) as x from basis group by pid")
+def piecewise_project(spark, sf_dir):
+    grid = spark.range(512).select(F.col("id").alias("vid"))
+    part = lambda name, rule, w: grid.where(rule).select(F.lit(name).alias("name"), "vid", F.lit(w).alias("w"))
+    free = tomography.free_pieces(part("a", "vid < 100", 0.5).unionByName(part("b", "vid between 80 and 200", 1.0)), SHAPE)
+    return tomography.project(free, grid.select("vid", (F.col("vid") % 4).cast("double").alias("g"))).select("pid", F.round("x", 6).alias("x"))
+
+
+_MEDIA = "media as (select l_extendedprice / 1000 as exlen, case when l_linenumber % 3 = 0 then l_quantity / 10 else 0 end as inlen, l_extendedprice / 1500 + case when l_linenumber % 3 = 0 then l_quantity / 16 else 0 end + l_tax as time from lineitem)"
+
+
+def _media(spark, sf_dir):
+    inside = F.when(F.col("l_linenumber") % 3 == 0, 1.0).otherwise(0.0)
+    return B.table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("exlen"), (inside * F.col("l_quantity") / 10).alias("inlen"), (F.col("l_extendedprice") / 1500 + inside * F.col("l_quantity") / 16 + F.col("l_tax")).alias("time"))
+
+
+@query("two_medium_speed", f"with {_MEDIA}, c as (select sum(time * exlen) / sum(time * time) as c, count(*)::bigint as misses from media where not inlen > 0.001 * exlen) select round(c, 6) as exspd, round(sum((time - exlen / c) * inlen) / sum(pow(time - exlen / c, 2)), 5) as inspd, count(*)::bigint as hits, misses from media, c where inlen > 0.001 * exlen group by c, misses")
+def two_medium_speed(spark, sf_dir):
+    rows = tomography.two_medium_speeds(_media(spark, sf_dir))
+    return rows.select(F.round("exspd", 6).alias("exspd"), F.round("inspd", 5).alias("inspd"), "hits", "misses")
+
+
+@query("joint_speed", f"with {_MEDIA}, s as (select sum(exlen * exlen) as aa, sum(exlen * inlen) as ab, sum(inlen * inlen) as bb, sum(exlen * (time - exlen / 1.4)) as ay, sum(inlen * (time - exlen / 1.4)) as yb from media where inlen > 0.001 * exlen) select round(1 / (1 / 1.4 + (ay * bb - yb * ab) / (aa * bb - ab * ab)), 6) as exspd, round((aa * bb - ab * ab) / (yb * aa - ay * ab), 6) as inspd from s")
+def joint_speed(spark, sf_dir):
+    rows = tomography.joint_speeds(_media(spark, sf_dir), 1.4)
+    return rows.select(F.round("exspd", 6).alias("exspd"), F.round("inspd", 6).alias("inspd"))
+
+
+@query("speed_statistics", "select round(avg(l_quantity), 6) as mean, round(median(l_quantity), 6) as median, round(stddev_pop(l_quantity), 6) as sd, count(*)::bigint as n from lineitem")
+def speed_statistics(spark, sf_dir):
+    rows = tomography.speed_statistics(B.table(spark, sf_dir, "lineitem"), "l_quantity")
+    return rows.select(*(F.round(c, 6).alias(c) for c in ("mean", "median", "sd")), "n")
+
+
+_TARGETS = "targets as (select e as f, x as fx, y as fy, z as fz from receivers where e < 5)"
+
+
+def _targets(spark, sf_dir):
+    return B.receivers(spark, sf_dir).where("e < 5")
+
+
+@query("propagation_angles", B.sql(f"also {_TARGETS}, d as (select e, f, fx - x as dx, fy - y as dy, fz - z as dz from senders, targets) select e, f, round(sqrt(dx * dx + dy * dy + dz * dz) - 0.5, 6) as distance, round(acos(least(1, greatest(-1, -(0.6 * dx + 0.8 * dz) / sqrt(dx * dx + dy * dy + dz * dz)))), 6) as angle from d", "senders", "receivers"))
+def propagation_angles(spark, sf_dir):
+    elements = B.senders(spark, sf_dir).withColumns({"nx": F.lit(0.6), "ny": F.lit(0.0), "nz": F.lit(0.8)})
+    rows = geometry.wave_paths(elements, _targets(spark, sf_dir), 0.5)
+    return rows.select("e", "f", F.round("distance", 6).alias("distance"), F.round("angle", 6).alias("angle"))
+
+
+@query("surface_points", B.sql("""also rays as (select s.e, p.e as f, s.x, s.y, s.z, p.x as fx, p.y as fy, p.z as fz, a.time, sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2) + pow(p.z - s.z, 2)) as ll from arrivals a join senders s on s.e = a.t join receivers p on p.e = a.r),
+deep as (select *, ll - time * 0.5 / 2 as depth from rays where ll > 0), good as (select * from deep where depth <= ll and depth >= 0), q as (select f, quantile_cont(depth, 0.25) as lo, quantile_cont(depth, 0.75) as hi from good group by f)
+select e, f, round(fx - (fx - x) * depth / ll, 5) as x, round(fy - (fy - y) * depth / ll, 5) as y, round(fz - (fz - z) * depth / ll, 5) as z, round(depth, 5) as depth from good join q using (f) where depth >= lo - 1.5 * (hi - lo) and depth <= hi + 1.5 * (hi - lo)""", "arrivals", "senders", "receivers"))
+def surface_points(spark, sf_dir):
+    rows = geometry.surface_points(B.arrivals(spark, sf_dir), B.senders(spark, sf_dir), B.receivers(spark, sf_dir), 0.5)
+    return rows.select("e", "f", *(F.round(c, 5).alias(c) for c in ("x", "y", "z", "depth")))
+
+
+_EDGE = "least(greatest({0} + {1}, 0), 7)"
+
+
+@query("median_halo", "with v as (select unnest(range(0, 512))::bigint as vid), n as (select v.vid, (%s * 64 + %s * 8 + %s) as u from v, (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b), (select unnest([-1, 0, 1]) as c)) select vid, round(median((u * 37 %% 101)::double), 6) as v from n group by vid" % (_EDGE.format("v.vid // 64", "a"), _EDGE.format("v.vid // 8 % 8", "b"), _EDGE.format("v.vid % 8", "c")))
+def median_halo(spark, sf_dir):
+    voxels = spark.range(512).select(F.col("id").alias("vid"), (F.col("id") * 37 % 101).cast("double").alias("v"))
+    return tomography.median_filter(voxels, SHAPE).select("vid", F.round("v", 6).alias("v"))
+
+
+@query("roughness", "with v as (select unnest(range(0, 512))::bigint as vid), w as (select vid, (vid * 37 % 101)::double as v from v) select 'tikhonov' as method, round(sum(pow(b.v - a.v, 2) / 2), 3) as value from w a join w b on (b.vid = a.vid + 64) or (b.vid = a.vid + 8 and a.vid // 8 % 8 < 7) or (b.vid = a.vid + 1 and a.vid % 8 < 7)")
+def roughness(spark, sf_dir):
+    voxels = spark.range(512).select(F.col("id").alias("vid"), (F.col("id") * 37 % 101).cast("double").alias("v"))
+    return tomography.regularizer(voxels, SHAPE, "tikhonov")[0].select(F.lit("tikhonov").alias("method"), F.round("value", 3).alias("value"))
+
+
+def _triangles(spark, sf_dir):
+    k = F.col("p_partkey")
+    corner = lambda c: [(k * a % 64 / 8.0).alias(f"{c}{x}") for x, a in zip("xyz", {"a": (3, 5, 7), "b": (11, 13, 17), "c": (19, 23, 29)}[c], strict=True)]
+    return B.table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(k.alias("tri"), *corner("a"), *corner("b"), *corner("c"))
+
+
+_BOX = "select tri, " + ", ".join(f"least(tri * {a} % 64, tri * {b} % 64, tri * {c} % 64) / 8.0 as lo{x}, greatest(tri * {a} % 64, tri * {b} % 64, tri * {c} % 64) / 8.0 as hi{x}" for x, (a, b, c) in zip("xyz", ((3, 11, 19), (5, 13, 23), (7, 17, 29)), strict=True)) + " from (select p_partkey as tri from part where p_partkey % 10 = 0)"
+
+
+@query("depth_map", f"with box as ({_BOX}), g as (select unnest(range(0, 8))::bigint as i) select a.i, b.i as j, min(floor(loz))::bigint as depth from box join g a on a.i between floor(lox) and floor(hix) join g b on b.i between floor(loy) and floor(hiy) group by 1, 2")
+def depth_map(spark, sf_dir):
+    return geometry.depth_map(_triangles(spark, sf_dir), (0.0, 0.0, 0.0), 1.0, SHAPE)
+
+
+@query("depth_mask", f"with box as ({_BOX}), g as (select unnest(range(0, 8))::bigint as i), d as (select a.i, b.i as j, min(floor(loz)) as depth from box join g a on a.i between floor(lox) and floor(hix) join g b on b.i between floor(loy) and floor(hiy) group by 1, 2) select (a.i * 64 + b.i * 8 + c.i)::bigint as vid, coalesce(c.i >= depth and c.i <= 6, false) as free from g a, g b, g c left join d on d.i = a.i and d.j = b.i")
+def depth_mask(spark, sf_dir):
+    return geometry.depth_mask(spark, depth_map(spark, sf_dir), SHAPE, 6)
+
+
+def _segments(spark, sf_dir):
+    s = B.senders(spark, sf_dir).where("e < 8").select(F.col("e").alias("t"), (F.col("y") % 8).alias("sx"), (F.col("e") % 8).cast("double").alias("sy"), F.lit(0.25).alias("sz"))
+    e = B.receivers(spark, sf_dir).where("e < 8").select(F.col("e").alias("r"), (F.col("y") % 8).alias("ex"), F.col("z").alias("ey"), F.lit(7.75).alias("ez"))
+    return s.crossJoin(e)  # eight by eight
+
+
+@query("march_lengths", B.sql("select s.e as t, p.e as r, round(sqrt(pow(p.y % 8 - s.y % 8, 2) + pow(p.z - s.e % 8, 2) + 7.5 * 7.5), 6) as len from senders s, receivers p where s.e < 8 and p.e < 8", "senders", "receivers"))
+def march_lengths(spark, sf_dir):
+    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
+    paths = tomography.march(rows, (0.0, 0.0, 0.0), 1.0, (16, 16, 16))
+    return paths.groupBy("t", "r").agg(F.round(F.sum("len"), 6).alias("len"))
+
+
+@query("path_media")
+def path_media(spark, sf_dir):
+    segments = _segments(spark, sf_dir)
+    hits = geometry.path_crossings(segments, _triangles(spark, sf_dir), (0.0, 0.0, 0.0), 1.0, (16, 16, 16))
+    rows = geometry.path_media(segments, hits)
+    return rows.select("t", "r", F.round("exlen", 6).alias("exlen"), F.round("inlen", 6).alias("inlen"))
+
+
+@query("fresnel_paths")
+def fresnel_paths(spark, sf_dir):
+    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
+    return geometry.fresnel_paths(rows, 1.5, SHAPE).select("t", "r", "vid", F.round("len", 6).alias("len"))
+
+
+@query("bent_ray")
+def bent_ray(spark, sf_dir):
+    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
+    grid = 1 + np.indices((12, 12, 12))[0] * 0.1
+    return geometry.bent_rays(rows, grid, 4).select("t", "r", F.round("straight", 5).alias("straight"), F.round("bent", 4).alias("bent"))
+
+
+@query("facet_normals")
+def facet_normals(spark, sf_dir):
+    rows = B.receivers(spark, sf_dir).select(F.floor(F.col("e") / 4).alias("facet"), (F.col("e") % 4).alias("place"), "x", "y", "z")
+    out = geometry.facet_normals(rows, all_points=True)
+    return out.select("facet", *(F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")))
+
+
+@query("delaunay")
+def delaunay(spark, sf_dir):
+    rows = B.receivers(spark, sf_dir).where("e < 200").select((F.col("e") % 4).alias("f"), "e", (F.col("x") + F.col("e") / 1000).alias("u"), F.col("y").alias("v"))
+    return geometry.triangulate(rows)
+
+
+@query("trilaterate")
+def trilaterate(spark, sf_dir):
+    elements = B.senders(spark, sf_dir)
+    targets = _targets(spark, sf_dir).withColumn("target", F.col("e")).drop("e")
+    d = F.sqrt(sum(((F.col(c) - F.col(f"f{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    far = targets.select("target", *(F.col(c).alias(f"f{c}") for c in "xyz"))
+    times = elements.crossJoin(F.broadcast(far)).select("target", "e", (2 * d / 1.5).alias("time"))
+    guesses = targets.select(F.col("target").alias("e"), *((F.col(c) + 0.3).alias(c) for c in "xyz"))
+    found = locate.locate_targets(times, elements, guesses, 1.5)
+    return found.select("target", *(F.round(c, 4).alias(c) for c in "xyz"))
+
+
+@query("element_times")
+def element_times(spark, sf_dir):
+    rows = B.arrivals(spark, sf_dir).where("t < 12 and r < 40").withColumn("r", F.col("r") + 1000)
+    return locate.element_times(rows, 12).select("e", F.round("time", 3).alias("time"))
+
+
+@query("sgd_inversion")
+def sgd_inversion(spark, sf_dir):
+    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
+    paths = tomography.written(tomography.march(rows, (0.0, 0.0, 0.0), 1.0, SHAPE), "paths")
+    voxels = spark.range(512).select(F.col("id").alias("vid"), F.lit(1.0).alias("v"))
+    true = voxels.select("vid", (F.col("v") + F.when(F.col("vid") % 64 > 31, 0.1).otherwise(0.0)).alias("v"))
+    change, _ = tomography.sgd(paths, tomography.trace(paths, true), voxels, tomography.free_everywhere(voxels), epochs=1, updates=2)
+    return change.select("vid", F.round("v", 4).alias("v"))
