@@ -368,12 +368,19 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("least_id")))
 
     def own(batches):
+        # rows that repeat stand in one partition, or in few if it is split; what is left of them does no harm
+        seen: set[int] = set()
         for batch in batches:
             keep = []
             for block in X.blocks(batch.column(1)):
                 h1, h2 = set_names(*shingle_sets(block))
                 s = slice(block.lo, block.hi)
                 keep.append((h1.view(np.int64) == batch.column(2).to_numpy()[s]) & (h2.view(np.int64) == batch.column(3).to_numpy()[s]))
-            yield batch.select(["node", "text"]).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
-
-    return rows.select("node", "text", "g1", "g2").mapInArrow(own, "node long, text string").dropDuplicates(["node"])
+            good = np.concatenate(keep) if keep else np.zeros(0, bool)
+            for k in np.flatnonzero(good).tolist():
+                node = batch.column(0)[k].as_py()
+                good[k] = node not in seen
+                seen.add(node)
+            yield batch.select(["node", "text"]).filter(pa.array(good))
+
+    return rows.select("node", "text", "g1", "g2").mapInArrow(own, "node long, text string")
