@@ -7,7 +7,7 @@ every stage as its operator defines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelattice.llm import decontam, fm_dedup, ngram_join, quality, sentencepiece_codec
@@ -15,14 +15,19 @@ from wavelattice.llm._shared import stored
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with ``key``: the id and 128 bits of the text, the same for rows that repeat."""
+    """row (all columns), text and key: the id and 128 bits of the text, the same for rows that repeat."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("key", F.struct("doc_id", F.xxhash64(text).alias("r1"), F.xxhash64(F.lit(7), text).alias("r2")))
+    key = F.struct("doc_id", F.xxhash64(text).alias("r1"), F.xxhash64(F.lit(7), text).alias("r2"))
+    return docs.select(F.struct(*docs.columns).alias("row"), "text", key.alias("key"))
+
+
+def _same(a: str, b: str) -> Column:
+    return (F.col(f"{a}.r1") == F.col(f"{b}.r1")) & (F.col(f"{a}.r2") == F.col(f"{b}.r2")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    judged = quality.quality_rules(docs.withColumn("row", F.struct(*docs.columns)), id_col="row")
+    judged = quality.quality_rules(docs.select(F.struct(*docs.columns).alias("row"), "text"), id_col="row")
     return judged.where("kept").select("row.*")
 
 
@@ -31,20 +36,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = _keyed(docs)
     found = ngram_join.near_duplicates(keyed, id_col="key")
     stay = found.where(F.col("key") == F.col("component_id")).select(F.col("key").alias("kept_key"), "n_shingles").distinct()
-    same = (F.col("key.r1") == F.col("kept_key.r1")) & (F.col("key.r2") == F.col("kept_key.r2")) & F.col("key.doc_id").eqNullSafe(F.col("kept_key.doc_id"))
-    rows = keyed.join(stay, same)
-    return rows.where("n_shingles > 0").dropDuplicates(["key"]).unionByName(rows.where("n_shingles = 0")).select(*docs.columns)
+    rows = keyed.join(stay, _same("key", "kept_key"))
+    return rows.where("n_shingles > 0").dropDuplicates(["key"]).unionByName(rows.where("n_shingles = 0")).select("row.*")
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go from the texts; documents of which nothing is left go."""
     cut = fm_dedup.remove_repeated_passages(docs, keep_columns=True)
-    cut = cut.where(~((F.col("n_removed") > 0) & (F.col("kept") == "")))
     touched = F.col("n_removed") > 0
-    new = {"text": F.when(touched, F.col("kept")).otherwise(F.col("text"))}
+    cut = cut.where(~(touched & (F.col("kept") == "")))
+    new = {"text": F.when(touched, F.col("kept")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(touched, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(touched, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +56,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     keyed = _keyed(docs)
     found = decontam.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
     leaks = found.where("contaminated").select(F.col("key").alias("leak")).distinct()
-    same = (F.col("key.r1") == F.col("leak.r1")) & (F.col("key.r2") == F.col("leak.r2")) & F.col("key.doc_id").eqNullSafe(F.col("leak.doc_id"))
-    return keyed.join(leaks, same, "left_anti").select(*docs.columns)
+    return keyed.join(leaks, _same("key", "leak"), "left_anti").select("row.*")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids and whether decoding gives the text back."""
-    coded = sentencepiece_codec.sentencepiece_codec(docs.withColumn("row", F.struct("doc_id", "text")), id_col="row")
+    coded = sentencepiece_codec.sentencepiece_codec(docs.select(F.struct("doc_id", "text").alias("row"), "text"), id_col="row")
     return coded.select("row.doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"), "parity")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import split_skew, stored
+from ._shared import drop, split_skew, stored
 
 HOT_BODIES = 20_000
 #: Rows that a mapInArrow step returns at once.
@@ -258,6 +258,8 @@ def repeated_windows(rows: DataFrame, units: Units, width: int, gram: int, limit
     is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start"))
     places = places.where(~(F.col("spared") & is_first))
     spans = places.groupBy(*SIDE).agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("start"), "len")).alias("spans"))
+    spans = stored(spans, "spans")
+    drop(keys, members, bodies)
     return texts, spans
 
 

@@ -98,7 +98,7 @@ def matched_in_shard(shard: Shard, width: int) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, keep_columns: bool = False) -> DataFrame:
     """One row per row: id, n_words, n_removed, kept_sha256, kept (string: the words that stay, one space between).
 
-    With ``keep_columns`` all columns of docs follow the id instead, and then n_removed and kept.
+    With ``keep_columns``: row (a struct of all columns of docs), n_removed, kept (the text itself where nothing goes).
     """
     rows = identified(docs, id_col, text_col)
     texts, spans = repeated_windows(rows, WORDS, width, gram, SHARD_BYTES, matched_in_shard)
@@ -139,5 +139,5 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     out = base.join(texts.select("r1", "r2", "first_id"), ["r1", "r2"]).join(done, ["r1", "r2"], "left")
     removed = pick("n_removed", F.col("n_words"), F.lit(0)).cast("long").alias("n_removed")
     if keep_columns:
-        return out.select("row.*", removed, pick("kept", F.lit(""), F.col("text")))
+        return out.select("row", removed, pick("kept", F.lit(""), F.col("text")))
     return out.select(F.col("id").alias(id_col), "n_words", removed, pick("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest()), F.col("whole")))

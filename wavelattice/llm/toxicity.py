@@ -165,6 +165,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> Model:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray, float]:
     """Whole texts of the sample, their labels, and the share of label 1 among all rows that may be learnt from."""
+    docs = docs.select(id_col, text_col)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     known = labels.where((fold != 0) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0

@@ -43,7 +43,8 @@ def _pieces(value: str, size: int) -> str:
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
     """The rows with payload (binary), payload_bytes, payload_digest, record_type and refers_to."""
-    rows = pages.withColumn("payload", F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")))
+    rows = pages.drop(*({"payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "first_id", "n"} - {id_col, payload_col}))
+    rows = rows.withColumn("payload", F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     # only digests that occur again, so that the side to join is small
     seen = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n"))
@@ -204,6 +205,6 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """Write the pages, read them back: ``read_archives`` with ids of their own type."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_archives(mark_revisits(pages, id_col, payload_col), path, id_col, url_col)
+    write_archives(mark_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col), path, id_col, url_col)
     kind = pages.schema[id_col].dataType
     return read_archives(spark, path).withColumn("refers_to", F.col("refers_to").cast(kind)).withColumn("page_id", F.col("page_id").cast(kind)).withColumnRenamed("page_id", id_col)
