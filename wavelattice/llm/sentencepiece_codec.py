@@ -20,6 +20,7 @@ import functools
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct parts of a cache generation; a worker keeps two, so that frequent parts stay.
-CACHE = 1 << 18
+CACHE = 1 << 17
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -145,16 +146,19 @@ class Codec:
         return self.tokenizer.normalizer.normalize_str(text)
 
     def _learn(self, parts: list[str]) -> None:
-        for part, e in zip(parts, self.plain.encode_batch(parts, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.cache[part] = struct.pack(f"<{len(ids)}i", *ids)
+        found = [e.ids for e in self.plain.encode_batch(parts, add_special_tokens=False)]
         if self.parity and self.as_text:
             # the library adds the first marker itself; a marker alone would be an empty text
-            asked = [p for p in parts if p[0] == MARK and p != MARK]
-            for part, ids in zip(asked, self.parity.encode([p[1:].replace(MARK, " ") for p in asked], num_threads=1), strict=True):
-                if self.cache[part] != (other := struct.pack(f"<{len(ids)}i", *ids)):
-                    self.mismatches.add(part)
-                    self.cache[part] = other
+            asked = [k for k, p in enumerate(parts) if p[0] == MARK and p != MARK]
+            for k, ids in zip(asked, self.parity.encode([parts[k][1:].replace(MARK, " ") for k in asked], num_threads=1), strict=True):
+                if found[k] != ids:
+                    self.mismatches.add(parts[k])
+                    found[k] = ids
+        self.cache.update((p, array("i", ids).tobytes()) for p, ids in zip(parts, found, strict=True))
+
+    def forget(self) -> None:
+        """Drop the caches, at the end of a task, so that a worker that waits for others holds the model only."""
+        self.cache, self.older = {}, {}
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         """Ids and parity of each text."""
@@ -214,6 +218,7 @@ def sentencepiece_codec(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     [part.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32())), pa.array([codec.decode(i) for i, _ in done], pa.string()), pa.array([p for _, p in done], pa.bool_())],
                     names=["id", "token_ids", "decoded", "parity"],
                 )
+        codec.forget()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, token_ids array<int>, decoded string, parity boolean")
     return out.withColumnRenamed("id", id_col)
@@ -244,6 +249,7 @@ def codec_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     ],
                     names=["id", "n_bytes", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"],
                 )
+        codec.forget()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean")
     return out.withColumnRenamed("id", id_col)
