@@ -6,7 +6,7 @@ or for a BPE model its merges in score order), with the metaspace marker and byt
 
 No piece of a usual model has the marker after another character, so no merge crosses the
 start of a marker run; texts are then cut there and only the distinct parts of a batch are
-encoded, by ``encode_batch``, which uses all threads the process has.  A model with such
+encoded, by ``encode_batch``, on ``THREADS`` threads.  A model with such
 pieces is encoded text by text.  Every distinct part is also encoded by the sentencepiece
 library (parity); where the two differ the library's ids stand and ``parity`` is false.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 import struct
 from array import array
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct parts of a cache generation; a worker keeps two, so that frequent parts stay.
-CACHE = 1 << 17
+CACHE = 1 << 18
+#: Threads of a batch; more spend their time waiting for each other.
+THREADS = 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -196,6 +199,7 @@ class Codec:
 @functools.lru_cache(maxsize=1)
 def shared_codec(raw: bytes) -> Codec:
     """The codec of this process: tasks that a worker runs one after another use one model and one cache."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return Codec(raw)
 
 
