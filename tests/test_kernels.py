@@ -89,3 +89,13 @@ def test_geometry(rng):
         assert (((points - c) ** 2).sum(axis=1) >= r * (1 - 1e-9)).all()
     vid, w = rays.fresnel_weights(np.array([[1.0, 4, 4], [7, 4, 4]]), 1.0, (8, 8, 8))
     assert w.max() <= 1 and ((vid // 8) % 8 == 4).any()
+
+
+def test_wavefronts_do_not_turn_in_even_media():
+    flat = np.full((9, 9, 9), 2.0)
+    comp, straight, normal = rays.compensated_integral(flat, [1, 1, 1], [7, 4, 5])
+    length = np.linalg.norm([6, 3, 4])
+    assert np.isclose(comp, 2 * length) and np.isclose(straight, 2 * length) and np.allclose(normal, np.array([6, 3, 4]) / length)
+    tilted = 1 + np.indices((9, 9, 9))[0] * 0.05
+    comp, straight, normal = rays.compensated_integral(tilted, [4, 1, 4], [4, 7, 4])
+    assert comp < straight and normal[0] > 0 and rays.compensated_integral(tilted, [4, 1, 4], [4, 7, 4], max_angle=1)[0] is None

@@ -262,3 +262,29 @@ def newton_fit(residual, x: np.ndarray, maxit: int = 50, tol: float = 1e-9) -> n
         if np.linalg.norm(step) < tol * max(np.linalg.norm(x), 1e-12):
             break
     return x
+
+
+def compensated_integral(grid: np.ndarray, start, end, panels: int = 8, weight: float = 1.0, max_angle: float | None = None) -> tuple[float | None, float, np.ndarray]:
+    """Straight-ray integral of a grid, with and without the turn of the wavefront, and the normal at the end.
+
+    The normal starts along the ray and turns with the relative gradient as it goes; each part
+    of the integral counts by the cosine between normal and ray.  The first value is None where
+    the angle exceeds max_angle (degrees).  Points are in voxel units.
+    """
+    start, end = np.asarray(start, float), np.asarray(end, float)
+    length = np.linalg.norm(end - start)
+    if not length:
+        return 0.0, 0.0, np.zeros(3)
+    ray = (end - start) / length
+    at = ((np.arange(panels)[:, None] + NODES) / panels).ravel()
+    value, slope = trilinear(grid, start + at[:, None] * (end - start))
+    if np.any(value == 0):
+        raise ValueError("the grid vanishes on the path")
+    turn, normal, last, cosine = weight * length * slope / value[:, None], ray, 0.0, np.empty(len(at))
+    for k, u in enumerate(at):
+        normal = normal + (u - last) / (ray @ normal) * turn[k]
+        normal = normal / np.linalg.norm(normal)
+        cosine[k], last = normal @ ray, u
+    part = np.tile(WEIGHTS / panels, panels) * value * length
+    good = max_angle is None or cosine.min() >= np.cos(np.radians(max_angle))
+    return float(part @ cosine) if good else None, float(part.sum()), normal

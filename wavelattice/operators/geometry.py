@@ -186,6 +186,54 @@ def bent_rays(paths: DataFrame, grid: np.ndarray, segments: int = 8, keys=("t",
     return paths.select(*keys, "points").mapInArrow(run, ", ".join([*kinds, "straight double", "bent double"]))
 
 
+def compensated_times(paths: DataFrame, grid: np.ndarray, panels: int = 8, weight: float = 1.0, max_angle: float | None = None, keys=("t", "r")) -> DataFrame:
+    """keys, compensated, straight, error, nx, ny, nz: straight-ray times with the turn of the wavefront, and without.
+
+    error is the change of the compensated time from half as many panels; null beyond max_angle.
+    """
+    if grid.size > MAX_GRID:
+        raise ValueError("the grid is too large to send to every worker")
+    held = paths.sparkSession.sparkContext.broadcast(np.asarray(grid, float))
+    kinds = [f"{k} {paths.schema[k].dataType.simpleString()}" for k in keys]
+    names = ["compensated", "straight", "error", "nx", "ny", "nz"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for points in batch.column("points").to_pylist():
+                a, b = points[0], points[-1]
+                comp, straight, normal = rays.compensated_integral(held.value, a, b, panels, weight, max_angle)
+                half = rays.compensated_integral(held.value, a, b, max(1, panels // 2), weight, max_angle)[0]
+                rows.append((comp, straight, None if comp is None or half is None else abs(comp - half), *normal))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(6))], names=[*keys, *names])
+
+    return paths.select(*keys, "points").mapInArrow(run, ", ".join([*kinds, *(f"{n} double" for n in names)]))
+
+
+def plausible_times(times: DataFrame, least: float) -> DataFrame:
+    """Rows of which the compensated time is no longer than the straight one, nor shorter than a share of it."""
+    return times.where((F.col("straight") >= F.col("compensated")) & (F.col("compensated") >= least * F.col("straight")))
+
+
+def rytov_paths(paths: DataFrame, wavelength: float, slowness: float, shape, width: float = 1.0, keys=("t", "r")) -> DataFrame:
+    """keys, vid, w: the first-order phase kernel of each two-point path over its widened Fresnel zone."""
+    kinds = [f"{k} {paths.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches):
+        for batch in batches:
+            row, vids, values = [], [], []
+            for n, points in enumerate(batch.column("points").to_pylist()):
+                vid, w = rays.rytov_kernel(np.asarray(points, float), wavelength, slowness, shape, width)
+                row += [n] * len(vid)
+                vids.append(vid)
+                values.append(w)
+            take = pa.array(row, pa.int64())
+            join = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in keys), join(vids, pa.int64()), join(values, pa.float64())], names=[*keys, "vid", "w"])
+
+    return paths.select(*keys, "points").mapInArrow(run, ", ".join([*kinds, "vid long", "w double"]))
+
+
 def first_hits(rows: DataFrame, n: int = 1) -> DataFrame:
     """The n hits nearest a path's start (t, r, tri, at)."""
     return rows.withColumn("_k", F.row_number().over(W.partitionBy("t", "r").orderBy("at", "tri"))).where(F.col("_k") <= n).drop("_k")

@@ -218,6 +218,20 @@ def bent_ray(spark, sf_dir):
     return geometry.bent_rays(rows, grid, 4).select("t", "r", F.round("straight", 5).alias("straight"), F.round("bent", 4).alias("bent"))
 
 
+@query("compensated_times")
+def compensated_times(spark, sf_dir):
+    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
+    grid = 1 + np.indices((12, 12, 12))[0] * 0.02
+    found = geometry.plausible_times(geometry.compensated_times(rows, grid), 0.9)
+    return found.select("t", "r", F.round("compensated", 6).alias("compensated"), F.round("straight", 6).alias("straight"))
+
+
+@query("rytov_paths")
+def rytov_paths(spark, sf_dir):
+    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
+    return geometry.rytov_paths(rows, 1.5, 0.7, SHAPE).select("t", "r", "vid", F.round("w", 6).alias("w"))
+
+
 @query("facet_normals")
 def facet_normals(spark, sf_dir):
     rows = B.receivers(spark, sf_dir).select(F.floor(F.col("e") / 4).alias("facet"), (F.col("e") % 4).alias("place"), "x", "y", "z")
