@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelattice.llm import decontam, fm_dedup, ngram_join, quality, sentencepiece_codec
-from wavelattice.llm._shared import stored
+from wavelattice.llm._shared import bound_batches, stored
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -27,12 +27,14 @@ def _same(a: str, b: str) -> Column:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    bound_batches(spark)
     judged = quality.quality_rules(docs.select(F.struct(*docs.columns).alias("row"), "text"), id_col="row")
     return judged.where("kept").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; texts without words all stay."""
+    bound_batches(spark)
     keyed = _keyed(docs)
     found = ngram_join.near_duplicates(keyed, id_col="key")
     stay = found.where(F.col("key") == F.col("component_id")).select(F.col("key").alias("kept_key"), "n_shingles").distinct()
@@ -42,6 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go from the texts; documents of which nothing is left go."""
+    bound_batches(spark)
     cut = fm_dedup.remove_repeated_passages(docs, keep_columns=True)
     touched = F.col("n_removed") > 0
     cut = cut.where(~(touched & (F.col("kept") == "")))
@@ -53,6 +56,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    bound_batches(spark)
     keyed = _keyed(docs)
     found = decontam.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
     leaks = found.where("contaminated").select(F.col("key").alias("leak")).distinct()
@@ -61,6 +65,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids and whether decoding gives the text back."""
+    bound_batches(spark)
     coded = sentencepiece_codec.sentencepiece_codec(docs.select(F.struct("doc_id", "text").alias("row"), "text"), id_col="row")
     return coded.select("row.doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"), "parity")
 

@@ -62,3 +62,14 @@ def split_skew(spark: SparkSession):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+#: Rows that Spark hands to Python at once; with its default of 10,000 whole documents a batch takes tens of MB, several times over.
+ARROW_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """For jobs over whole documents: smaller Arrow batches, unless the session has a smaller bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))

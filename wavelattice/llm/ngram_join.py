@@ -84,7 +84,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             id_type = batch.column(0).type
             for block in X.blocks(batch.column(1)):
                 grams, offs = shingle_sets(block)
-                cells += np.bincount((grams & X.U(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(cells, (grams & X.U(CELLS - 1)).astype(np.int64), np.uint32(1))
                 h1, h2 = set_names(grams, offs)
                 k = block.hi - block.lo
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, k), pa.array(np.diff(offs), pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
