@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0, 0.3):  # what the first pass finds only lets go of the rest
+        time.sleep(pause)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def drop(*tables: DataFrame) -> None:
