@@ -168,11 +168,11 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
     Rows are dealt into ranges of the first key; counts of the ranges give each its offset.
     """
-    spark = rows.sparkSession
+    from .tomography import written
+
     sliced = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
     sliced = sliced.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1)
-    if spark.conf.get("spark.checkpoint.dir", None):
-        sliced = sliced.checkpoint()
+    sliced = written(sliced, "numbered")  # the ranges are drawn from a sample, so they must not be drawn twice
     sizes = sliced.groupBy("_p").agg(F.count("*").alias("_c"))
     offsets = sizes.select("_p", (F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_o"))
     return sliced.join(F.broadcast(offsets), "_p").withColumn("_k", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
