@@ -116,3 +116,16 @@ def test_a_slab_splits_paths(spark):
     hits = geometry.path_crossings(segments, table, (0.0, 0.0, 0.0), 1.0, (8, 8, 8))
     got = {r.t: (r.exlen, r.inlen) for r in geometry.path_media(segments, hits).collect()}
     assert np.allclose(got[0], (5, 3)) and np.allclose(got[2], (6, 0))
+
+
+def test_batches_merge_and_members_shift(spark):
+    reps = spark.createDataFrame([(s, g, k, float(k)) for s in range(2) for g in range(3) for k in range(7)], "src long, grp long, pos long, re double")
+    cut = pairs.near_equal_batches(reps, 3, ["src", "grp"], "pos")
+    assert sorted(r["count"] for r in cut.where("src = 0 and grp = 0").groupBy("batch").count().collect()) == [2, 2, 3]
+    local = cut.withColumn("pos", F.col("pos") - F.expr("min(pos) over (partition by src, grp, batch)"))
+    back = pairs.merge_batches(local).where("re <> pos")
+    assert back.count() == 0 and pairs.group_sizes(pairs.regroup(reps)).where("n = 7").count() == 6
+    groups = spark.createDataFrame([(0, 1, [[1.0], [2.0]]), (0, 2, [[3.0]])], "t long, r long, members array<array<double>>")
+    times = spark.createDataFrame([(0, 1, [5.0, 7.5])], "t long, r long, times array<double>")
+    got = {(r.r, r.member): r["shift"] for r in pairs.shifted_members(groups, times).collect()}
+    assert got == {(1, 0): 0.0, (1, 1): -2.5, (2, 0): 0.0} and pairs.shifted_members(groups, times, False).count() == 2

@@ -203,3 +203,28 @@ def content_owners(files: DataFrame) -> DataFrame:
 def content_hash(files: DataFrame, size: int = 10 << 20, chunks: int = 1) -> DataFrame:
     """path, hash of a file's first chunks."""
     return files.select("path", F.sha2(F.substring("content", 1, size * max(chunks, 1)), 512).alias("hash"))
+
+
+def regroup(reps: DataFrame) -> DataFrame:
+    """Spectral records of sources by group as records of groups by source: one shuffle, then order within each group."""
+    return reps.repartition("grp").sortWithinPartitions("grp", "src", "pos")
+
+
+def merge_batches(reps: DataFrame) -> DataFrame:
+    """src, grp, pos, ... of batched groups (src, grp, batch, pos) put together again; positions follow the batches."""
+    sizes = reps.groupBy("src", "grp", "batch").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("src", "grp").orderBy("batch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("_o", before).drop("_n")
+    return reps.join(offsets, ["src", "grp", "batch"]).withColumn("pos", F.col("pos") + F.col("_o")).drop("batch", "_o")
+
+
+def group_sizes(reps: DataFrame) -> DataFrame:
+    return reps.groupBy("src", "grp").agg(F.count("*").alias("n"))
+
+
+def shifted_members(groups: DataFrame, arrivals: DataFrame, keep_unmatched: bool = True, keys=PAIR) -> DataFrame:
+    """keys, member, shift: how far each member moves so that all arrive with the first (members in order; times array in arrivals)."""
+    rows = groups.select(*keys, F.posexplode("members").alias("member", "data")).join(arrivals.select(*keys, "times"), list(keys), "left")
+    known = F.size("times") > F.col("member")
+    rows = rows.withColumn("shift", F.when(known, F.get("times", F.lit(0)) - F.get("times", F.col("member"))))
+    return rows.withColumn("shift", F.coalesce("shift", F.lit(0.0))).drop("times") if keep_unmatched else rows.where("shift is not null").drop("times")
