@@ -256,15 +256,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bounded(postings: DataFrame) -> DataFrame:
-    """Postings with cap, the most shingles a node can share: those of its prefix that no other node has are known.
+    """Postings with cap: a node's size less those shingles of its prefix that no other node's prefix has.
 
-    Nodes that cannot be similar to any other are left out, and then shingles of one node.
+    Another set may hold such a shingle beyond its own prefix, so a cap alone bounds nothing.  But of two
+    prefixes one ends first in the order of shingles, and what it shares with the other set stands in the
+    other's prefix: the larger of the two caps bounds the overlap.  Shingles of one node, or only of nodes
+    whose caps are too small for their sizes, are left out.
     """
     length = F.least("n", F.greatest(probe_length(F.col("n"), F.col("matches"), _whole), index_length(F.col("n"), MAX_MATCHES, _whole)))
-    caps = postings.groupBy("node").agg((F.first("n") - (F.first(length) - F.count("*"))).cast("int").alias("cap"), F.first("n").alias("n"))
-    caps = caps.where(100 * F.col("cap") >= PERCENT * F.col("n")).drop("n")
+    caps = postings.groupBy("node").agg((F.first("n") - (F.first(length) - F.count("*"))).cast("int").alias("cap"))
     rows = postings.join(caps, "node")
-    open_ = rows.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    enough = F.max(100 * F.col("cap") >= PERCENT * F.col("n"))
+    open_ = rows.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y"), enough.alias("enough")).where("x <> y and enough").select("token")
     return rows.join(open_, "token")
 
 
@@ -272,7 +275,7 @@ def _may_match(a: str, b: str) -> Column:
     """Whether sizes and caps (columns with these prefixes) allow similarity."""
     both = F.col(f"{a}n") + F.col(f"{b}n")
     sizes = 100 * F.least(f"{a}n", f"{b}n") >= PERCENT * F.greatest(f"{a}n", f"{b}n")
-    return sizes & ((100 + PERCENT) * F.least(f"{a}cap", f"{b}cap") >= PERCENT * both)
+    return sizes & ((100 + PERCENT) * F.greatest(f"{a}cap", f"{b}cap") >= PERCENT * both)
 
 
 def _labelled(postings: DataFrame, links: DataFrame | None) -> DataFrame:
