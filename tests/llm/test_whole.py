@@ -24,3 +24,12 @@ def test_near_duplicates_with_insertions_and_truncations(spark):
     assert 20 < len(texts) - len(set(root)) < 60
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == dict(enumerate(root))
+
+
+def test_candidates_whose_shingles_have_different_majors(spark):
+    # token, node, comp, n, cap, matches, rank: node 3 makes the component of node 1 the major of three of four shared shingles
+    rows = [(t, 1, 1, 100, 100, 1, 12 + t) for t in range(4)]
+    rows += [(t, 2, 2, 90, 90, 1, 2 + t) for t in range(4)]
+    rows += [(t, 3, 1, 100, 100, 1, 50) for t in range(1, 4)]
+    rows = spark.createDataFrame(rows, "token long, node long, comp long, n int, cap int, matches int, rank int")
+    assert [tuple(r) for r in ngram_join._candidates(rows).collect()] == [(1, 2)]

@@ -324,8 +324,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
     need = F.ceil(PERCENT * (F.col("x_n") + F.col("y_n")) / (100 + PERCENT))
     reached = (F.col("x_rank") < F.col("x_n") - need + m) & (F.col("y_rank") < F.col("y_n") - need + m)
     pairs = left.join(right, (left["token"] == right["token"]) & (F.col("x_comp") != F.col("y_comp")) & (F.col("y_major") | (F.col("x_node") < F.col("y_node"))) & _may_match("x_", "y_") & reached)
-    # what follows the last shared shingle bounds the overlap
-    rest = F.least(F.first("x_n") - F.max("x_rank"), F.first("y_n") - F.max("y_rank")) - 1
+    # what follows the last shared shingle bounds the overlap; which member is x may differ from shingle to shingle
+    rest = F.least(*(F.first(pick("n", yes)) - F.max(pick("rank", yes)) for yes in (True, False))) - 1
     counted = pairs.groupBy(pick("node", True).alias("a"), pick("node", False).alias("b")).agg(F.count("*").alias("c"), F.first(m).alias("m"), (F.count("*") + rest >= F.first(need)).alias("open"))
     counted = counted.where("open")
     return counted.where("c >= m").select("a", "b")
