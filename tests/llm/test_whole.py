@@ -1,8 +1,13 @@
 """Cases in which a bound or a cut once lost part of the result."""
 
+import os
 import random
 
-from wavelattice.llm import ngram_join
+import numpy as np
+
+from wavelattice.llm import lm_score, ngram_join
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_near_duplicates_with_insertions_and_truncations(spark):
@@ -33,3 +38,10 @@ def test_candidates_whose_shingles_have_different_majors(spark):
     rows += [(t, 3, 1, 100, 100, 1, 50) for t in range(1, 4)]
     rows = spark.createDataFrame(rows, "token long, node long, comp long, n int, cap int, matches int, rank int")
     assert [tuple(r) for r in ngram_join._candidates(rows).collect()] == [(1, 2)]
+
+
+def test_lm_scores_do_not_depend_on_how_many_words_have_ids(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id")
+    every, few, none = (sorted(tuple(r) for r in lm_score.cross_entropy_difference(docs, good, size=size).collect()) for size in (lm_score.VOCABULARY, 300, 0))
+    assert len(every) > 100 and np.allclose(every, few) and np.allclose(every, none)

@@ -7,11 +7,14 @@ expression of the same relative frequency alike.  A document's score is the mean
 words of the loss under the target model less that under the background model; its own
 bigrams are taken out of both models' counts before.  Lower is closer to the target.
 
-All counts cover all documents.  The vocabulary holds the most frequent words, at most
-``VOCABULARY``, so the unigram tables have a fixed size; bigram counts stay distributed:
-documents send their distinct bigrams to the bucket of each, which counts them and sends back
-sums of losses.  A bigram counts once in a document's message, so a frequent one is no more
-than one entry a document.
+All counts cover all documents and all words.  The most frequent words, at most ``VOCABULARY``,
+have their counts and ids in a table of fixed size that every task holds.  Documents send their
+distinct bigrams of such words to the bucket of each bigram, which counts them and sends back
+sums of losses.  A bigram with another word goes to the bucket of that word, which finds the
+word's own counts from what it gets: each occurrence of a word is the second of one bigram.  If
+both are such words, the bucket of the second has the numerators and that of the first the
+denominators of the probabilities.  No bucket gets much of one word: the others are rare, and a
+bigram counts once in a document's message.
 
 Words are those of ``[0-9a-z]`` and non-ASCII characters, lower-cased (A-Z).  Null and empty
 texts have no tokens and score 0.  Each row gives one row, repeated rows and null ids too.  A
@@ -30,11 +33,15 @@ from . import _text as X
 from ._shared import drop, partitions, stored
 
 VOCABULARY = (1 << 16) - 2
-UNKNOWN, START = 0, 1
+OTHER, START = 0, 1
+#: Messages about words without an id: the second word has none; neither has one; the first has none; neither has one, for the bucket of the first.
+TAIL, TAIL_OF_OTHER, HEAD, HEAD_OF_OTHER = range(4)
 #: Smoothing mass of the target model's unigrams and bigrams, in words.
 MASS_1, MASS_2 = 5000.0, 20.0
 #: Steps of the histogram of counts for each doubling.
 STEPS = 8
+#: Buckets a task, which holds one at a time.
+BUCKETS = 2
 
 
 def _tokens(block: X.Block) -> tuple[X.Words, np.ndarray]:
@@ -68,22 +75,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Sorted word hashes, and log-probability tables by word id (UNKNOWN and START included)."""
+    """Sorted hashes of the most frequent words, and tables by word id (OTHER and START included); the sums are of all words."""
 
-    def __init__(self, words: np.ndarray, n: np.ndarray, t: np.ndarray, total: tuple[int, int], starts: tuple[int, int]):
+    def __init__(self, words: np.ndarray, n: np.ndarray, t: np.ndarray, distinct: int, total: tuple[int, int], starts: tuple[int, int]):
         order = np.argsort(words)
         self.words = words[order]
-        rest = [max(0, total[0] - int(n.sum())), max(0, total[1] - int(t.sum()))]
-        self.n = np.concatenate(([rest[0], 0], n[order])).astype(np.float64)
-        self.t = np.concatenate(([rest[1], 0], t[order])).astype(np.float64)
+        self.distinct, self.total = distinct, total
+        self.n = np.concatenate(([0, 0], n[order])).astype(np.float64)
+        self.t = np.concatenate(([0, 0], t[order])).astype(np.float64)
         self.scale = max(1.0, total[0] / max(1, total[1]))
         # no word follows as a start; its counts are those of a context only
-        self.p_n = (self.n + 1) / (self.n.sum() + len(self.n))
-        self.p_t = (self.t + MASS_1 * self.p_n) / (self.t.sum() + MASS_1)
+        self.p_n, self.p_t = self.unigrams(self.n, self.t)
         self.n[START], self.t[START] = starts
 
+    def unigrams(self, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of words with these counts under both models."""
+        p_n = (n + 1) / (self.total[0] + self.distinct + 2)
+        return p_n, (t + MASS_1 * p_n) / (self.total[1] + MASS_1)
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return X.lookup(self.words, hashes) + 2 if len(hashes) else np.zeros(0, np.int64)
+        """Ids of words; OTHER for those without one."""
+        at = X.lookup(self.words, hashes)
+        return np.where(at < 0, OTHER, at + 2)
 
 
 def vocabulary(counts: DataFrame, size: int) -> Vocabulary:
@@ -100,7 +113,7 @@ def vocabulary(counts: DataFrame, size: int) -> Vocabulary:
         cut = bar.step
     rows = counts.where(step >= cut).collect() if cut is not None else []  # size rows at most
     column = lambda k, kind: np.array([r[k] for r in rows], kind)
-    return Vocabulary(column("word", np.int64).view(X.U), column("n", np.int64), column("t", np.int64), total, (starts.n, starts.t) if starts else (0, 0))
+    return Vocabulary(column("word", np.int64).view(X.U), column("n", np.int64), column("t", np.int64), sum(b.words for b in bars), total, (starts.n, starts.t) if starts else (0, 0))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -112,16 +125,21 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def document_bigrams(block: X.Block, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (bigram, document) with counts, and the number of tokens of each document."""
+def document_bigrams(block: X.Block, vocab: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Distinct (bigram, document): first and second word (hashes, 0 for a start), their ids, document and count."""
     words, hashes = _tokens(block)
+    begun = words.offs[:-1][np.diff(words.offs) > 0]
+    before = np.concatenate((np.zeros(min(1, len(hashes)), X.U), hashes[:-1]))
+    before[begun] = X.U(0)
     ids = vocab.ids(hashes)
-    ids[ids == 1] = UNKNOWN  # lookup gives -1 for a word that is not there
-    before = np.concatenate(([START], ids[:-1])) if len(ids) else ids
-    before[words.offs[:-1][np.diff(words.offs) > 0]] = START
-    n_docs = len(words.offs) - 1
-    both, count = np.unique((before << 16 | ids) * n_docs + words.doc, return_counts=True) if len(ids) else (np.zeros(0, np.int64),) * 2
-    return both // max(1, n_docs), both % max(1, n_docs), count, np.diff(words.offs)
+    ids_before = np.concatenate((np.full(min(1, len(ids)), START), ids[:-1]))
+    ids_before[begun] = START
+    order = np.lexsort((hashes, before, words.doc))
+    before, hashes, ids_before, ids, doc = before[order], hashes[order], ids_before[order], ids[order], words.doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (before[1:] != before[:-1]) | (hashes[1:] != hashes[:-1])
+    at = np.flatnonzero(new)
+    return before[at], hashes[at], ids_before[at], ids[at], doc[at], np.diff(np.concatenate((at, [len(doc)])))
 
 
 def losses(vocab: Vocabulary, bigram: np.ndarray, count: np.ndarray, target: np.ndarray, all_n: np.ndarray, all_t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +151,32 @@ def losses(vocab: Vocabulary, bigram: np.ndarray, count: np.ndarray, target: np.
     return -np.log(np.minimum(p_t, 1)) * count, -np.log(np.minimum(p_n, 1)) * count
 
 
-def _bucket_losses(docs: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
+def other_losses(vocab: Vocabulary, kind: np.ndarray, word: np.ndarray, beside: np.ndarray, count: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``losses`` from all messages about some words without an id: the parts that these words' bucket can tell."""
+    tail, first = kind <= TAIL_OF_OTHER, kind >= HEAD
+    own, at = np.unique(word, return_inverse=True)
+    sums = lambda where, k, size: (np.bincount(k[where], count[where], size), np.bincount(k[where], (count * target)[where], size))
+    n, t = sums(tail, at, len(own))
+    p_n, p_t = (p[at] for p in vocab.unigrams(n, t))
+    ids = np.full(len(word), OTHER)
+    ids[kind == TAIL] = START
+    known = ((kind == TAIL) & (beside != 0)) | (kind == HEAD)
+    ids[known] = vocab.ids(beside[known])
+    p_n[first], p_t[first] = vocab.p_n[ids[first]], vocab.p_t[ids[first]]
+    pairs, pair = np.unique(X.mix(word + X.mix(beside)) ^ X.mix(tail.astype(X.U)), return_inverse=True)
+    all_n, all_t = (s[pair] for s in sums(np.ones(len(word), bool), pair, len(pairs)))
+    head_n, head_t = np.where(first, n[at], vocab.n[ids]), np.where(first, t[at], vocab.t[ids])
+    mass = MASS_2 * vocab.scale
+    above, below = kind != HEAD_OF_OTHER, kind != TAIL_OF_OTHER
+    loss = lambda of, less, p, head, m: count * (np.where(below, np.log(head + m), 0) - np.where(above, np.log(of - less + m * p), 0))
+    return loss(all_t, count * target, p_t, head_t, MASS_2), loss(all_n, count, p_n, head_n, mass)
+
+
+def _bucket_losses(docs: DataFrame, vocab: Vocabulary, tasks: int) -> DataFrame:
     """rid, loss_t, loss_n, tokens of each document with words; docs: rid, text, target."""
     known = docs.sparkSession.sparkContext.broadcast(vocab)
-    packed = ["bigrams", "doc", "count", "rids", "target"]
+    buckets = BUCKETS * tasks
+    packed = ["bigrams", "doc", "count", "rids", "target", "kind", "word", "beside"]
     parts = ["loss_t", "loss_n", "tokens"]
 
     def deal(batches):
@@ -144,28 +184,48 @@ def _bucket_losses(docs: DataFrame, vocab: Vocabulary, buckets: int) -> DataFram
             rid = batch.column(0).to_numpy()
             target = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
             for block in X.blocks(batch.column(1), 2 * X.BLOCK):
-                bigram, doc, count, _ = document_bigrams(block, known.value)
-                bucket = (X.mix(bigram.astype(X.U)) % X.U(buckets)).astype(np.int64)
+                head, tail, head_id, tail_id, doc, count = document_bigrams(block, known.value)
+                both = (head_id != OTHER) & (tail_id != OTHER)
+                bigram = head_id[both] << 16 | tail_id[both]
+                cases = [(kind, np.flatnonzero(where)) for kind, where in ((TAIL, (head_id != OTHER) & (tail_id == OTHER)), (TAIL_OF_OTHER, (head_id == OTHER) & (tail_id == OTHER)), (HEAD, (head_id == OTHER) & (tail_id != OTHER)), (HEAD_OF_OTHER, (head_id == OTHER) & (tail_id == OTHER)))]
+                kind = np.concatenate([np.full(len(at), k, np.uint8) for k, at in cases])
+                at = np.concatenate([at for _, at in cases])
+                word, beside = np.where(kind >= HEAD, head[at], tail[at]), np.where(kind >= HEAD, tail[at], head[at])
+                beside[kind == HEAD_OF_OTHER] = X.U(0)
+                # bigrams of words with ids stand first in each bucket
+                plain = np.concatenate((np.ones(len(bigram), bool), np.zeros(len(kind), bool)))
+                doc, count = np.concatenate((doc[both], doc[at])), np.concatenate((count[both], count[at]))
+                bucket = (np.concatenate((X.mix(bigram.astype(X.U)), X.mix(word))) % X.U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                bigram, doc, count, bucket = bigram[order], doc[order], count[order], bucket[order]
+                doc, count, bucket, plain = doc[order], count[order], bucket[order], plain[order]
+                place = np.where(plain, order, order - len(bigram))
                 own, cuts = np.unique(bucket, return_index=True)
                 columns: list[list] = [[] for _ in range(len(packed) + 2)]
-                for b, lo, hi in zip(own.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bigram)], strict=True):
+                for b, lo, hi in zip(own.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
+                    mid = lo + int(plain[lo:hi].sum())
+                    ids, rest = place[lo:mid], place[mid:hi]
                     there, at = np.unique(doc[lo:hi], return_inverse=True)
-                    for column, value in zip(columns, (b, int(rid[block.lo]), _planes(bigram[lo:hi]), _planes(at), _planes(count[lo:hi]), rid[block.lo + there].tobytes(), target[block.lo + there].tobytes()), strict=True):
+                    for column, value in zip(columns, (b, int(rid[block.lo]), _planes(bigram[ids]), _planes(at), _planes(count[lo:hi]), rid[block.lo + there].tobytes(), target[block.lo + there].tobytes(), kind[rest].tobytes(), word[rest].tobytes(), beside[rest].tobytes()), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["bucket", "block", *packed])
 
     def summed(rows: list[dict]):
         bigram, doc, count = (np.concatenate([_numbers(r[k]) for r in rows]) for k in packed[:3])
+        kind, word, beside = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in zip(packed[5:], (np.uint8, X.U, X.U), strict=True))
         rids = [np.frombuffer(r["rids"], np.int64) for r in rows]
         sizes = [len(r) for r in rids]
         doc += np.repeat(np.cumsum(sizes) - sizes, [len(r["doc"]) // 4 for r in rows])
         target = np.concatenate([np.frombuffer(r["target"], np.uint8) for r in rows])[doc].astype(np.int64)
+        plain = np.repeat(np.tile([True, False], len(rows)), [k for r in rows for k in (len(r["bigrams"]) // 4, len(r["kind"]))])
         own, at = np.unique(bigram, return_inverse=True)
-        all_n, all_t = np.bincount(at, count, len(own)), np.bincount(at, count * target, len(own))
-        loss_t, loss_n = losses(known.value, bigram, count, target, all_n[at], all_t[at])
-        sums = [np.bincount(doc, v, sum(sizes)) for v in (loss_t, loss_n, count)]
+        c, y = count[plain], target[plain]
+        all_n, all_t = np.bincount(at, c, len(own)), np.bincount(at, c * y, len(own))
+        loss_t, loss_n, tokens = np.zeros(len(doc)), np.zeros(len(doc)), count.copy()
+        loss_t[plain], loss_n[plain] = losses(known.value, bigram, c, y, all_n[at], all_t[at])
+        loss_t[~plain], loss_n[~plain] = other_losses(known.value, kind, word, beside, count[~plain], target[~plain])
+        # counted with the second word
+        tokens[~plain] = np.where(kind == HEAD_OF_OTHER, 0, tokens[~plain])
+        sums = [np.bincount(doc, v, sum(sizes)) for v in (loss_t, loss_n, tokens)]
         # one row back for each block of documents
         cuts = np.cumsum(sizes)[:-1]
         back = [[x.tobytes() for x in np.split(v, cuts)] for v in (*sums[:2], sums[2].astype(np.int64))]
@@ -190,7 +250,7 @@ def _bucket_losses(docs: DataFrame, vocab: Vocabulary, buckets: int) -> DataFram
         yield pa.RecordBatch.from_arrays([pa.array(rids), *map(pa.array, sums)], names=["rid", *parts])
 
     dealt = docs.select("rid", "text", "target").mapInArrow(deal, "bucket int, block long, " + ", ".join(f"{c} binary" for c in packed))
-    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: grouped(it, "bucket", summed), "block long, rids binary, " + ", ".join(f"{p} binary" for p in parts))
+    dealt = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: grouped(it, "bucket", summed), "block long, rids binary, " + ", ".join(f"{p} binary" for p in parts))
     dealt = dealt.repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(lambda it: grouped(it, "block", documents), "rid long, loss_t double, loss_n double, tokens long")
 
