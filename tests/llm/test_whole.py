@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from wavelattice.llm import lm_score, ngram_join
+from wavelattice.llm import lm_score, ngram_join, toxicity
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -45,3 +45,18 @@ def test_lm_scores_do_not_depend_on_how_many_words_have_ids(spark):
     good = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id")
     every, few, none = (sorted(tuple(r) for r in lm_score.cross_entropy_difference(docs, good, size=size).collect()) for size in (lm_score.VOCABULARY, 300, 0))
     assert len(every) > 100 and np.allclose(every, few) and np.allclose(every, none)
+
+
+def test_long_documents_do_not_end_the_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CLASS_BYTES", 2000)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
+
+    def sample(long):
+        docs = spark.createDataFrame([(k, f"word{k} some text" + " x" * (2000 if long(k) else 0)) for k in range(80)], "doc_id long, text string")
+        return toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")
+
+    every = sample(lambda k: False)[0]
+    some = sample(lambda k: k % 10 == 0)[0]
+    assert len(every) > 50 and max(map(len, some)) < 100 and set(some) >= {t for t in every if int(t.split()[0][4:]) % 10}
+    texts, y, share = sample(lambda k: k % 2 == 0)
+    assert (y == 0).sum() >= 2 and (y == 1).sum() > 20 and toxicity.fit(texts, y, share).weights.any()

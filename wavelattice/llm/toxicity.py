@@ -11,7 +11,7 @@ the counts have not seen.
 Labels are learnt from rows whose crc32(id as text) modulo ``FOLDS`` is not 0.  The training
 documents are a bounded sample of these: in order of a hash of the id, at most
 ``MAX_CLASS_DOCS`` a class and ``MAX_CLASS_BYTES`` of whole texts, the same size for both
-classes.  The bound keeps the models small enough to broadcast at any corpus size.
+classes.  A text that does not fit is passed over, but two of a class are always taken.  The bound keeps the models small enough to broadcast at any corpus size.
 
 A document labelled twice is toxic if one label says so; null labels are not learnt from.
 Null and empty texts score the calibration's constant; a null id counts as the text '' and is
@@ -143,6 +143,10 @@ def scores(model: Model, block: X.Block) -> np.ndarray:
 def fit(texts: list[str], labels: np.ndarray, share: float) -> Model:
     """Counts from most of the texts, calibration from the others; share: of label 1 among all labels."""
     held = np.arange(len(texts)) % CALIBRATE == 0
+    for y in (0, 1):
+        own = np.flatnonzero(labels == y)
+        if held[own].all() or not held[own].any():
+            held[own] = np.arange(len(own)) % CALIBRATE == 0
     if len({*labels[held].tolist()}) < 2 or len({*labels[~held].tolist()}) < 2:
         none = np.zeros(0, X.U)
         return Model(none, none, none, none, none, 0.0, np.zeros(4))
@@ -179,13 +183,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     sized = held.select("of", "y", F.octet_length("text").alias("n"), F.xxhash64("of").alias("h")).dropDuplicates(["of"]).collect()
     take, size = [], min(sum(min(r.n, MAX_CLASS_BYTES) for r in sized if r.y == y) for y in (0, 1)) if sized else 0
     for y in (0, 1):
-        left = min(size, MAX_CLASS_BYTES)
+        left, own, long = min(size, MAX_CLASS_BYTES), [], []
         for r in sorted((r for r in sized if r.y == y), key=lambda r: (r.h, r.of)):
-            if left - r.n >= 0 or left == size:
-                take.append(r.of)
-            left -= r.n
-            if left <= 0:
-                break
+            if r.n <= left:
+                own.append(r.of)
+                left -= r.n
+            else:
+                long.append(r)
+        # one to count and one to calibrate, however long
+        long.sort(key=lambda r: (r.n, r.h, r.of))
+        take += own + [r.of for r in long[: max(0, 2 - len(own))]]
     rows = held.where(F.col("of").isin(take)).dropDuplicates(["of"]).withColumn("h", F.xxhash64("of")).collect() if take else []
     rows.sort(key=lambda r: (r.h, r.of))
     return [r.text for r in rows], np.array([r.y for r in rows], np.int64), float(share)
