@@ -89,19 +89,95 @@ def test_lm_scores_are_those_of_plain_counts(spark):
         assert np.allclose([r.ce_target, r.ce_background, r.score], [a / size, b / size, (a - b) / size])
 
 
+ODD_TEXTS = ["", " ", "  a", "a  b ", "\n\n \t a", "日本語 テスト 😀", "a\0b", "<s> </s> <unk> <0x41>", "é" * 50, "a", " a", "a "]
+
+
+def model_file():
+    with open(codec.MODEL, "rb") as f:
+        return f.read()
+
+
 def test_token_ids_are_the_librarys(spark):
     import sentencepiece
 
-    with open(codec.MODEL, "rb") as f:
-        raw = f.read()
+    raw = model_file()
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    texts = [*documents(spark).values(), *ODD_TEXTS]
+    own = codec.Codec(raw)
+    assert own.by_part
+    ids = own.encode(texts)
+    assert ids == library.encode(texts) == [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert own.decode(ids) == texts == library.decode(ids) == own.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    # the marker itself is a space to both; any ids decode
+    marked = ["a▁b ▁ c▁", "▁", "x ▁▁y"]
+    assert own.encode(marked) == library.encode(marked) and own.decode(own.encode(marked)) == library.decode(library.encode(marked))
+    wild = [[5, 300, 31999, 0, 1, 2, 260, 261], [], [200], [1, 1], ids[0][3:40]]
+    got, want = own.decode(wild), library.decode(wild)
+    assert [g.strip(" ") for g in got] == [w.strip(" ") for w in want]
+
+
+def test_codec_digests_are_those_of_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=model_file())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    texts = documents(spark)
+    rows = {r.doc_id: r for r in queries.op8_sentencepiece(spark, DATA).collect()}
+    assert set(rows) == set(texts)
+    for k, t in texts.items():
+        ids, r = library.encode(t), rows[k]
+        assert (r.n_bytes, r.n_tokens, r.ids_sha256) == (len(t.encode()), len(ids), sha(np.array(ids, "<i4").tobytes()))
+        assert (r.decoded_sha256, r.round_trip, r.parity) == (sha(library.decode(ids).encode()), library.decode(ids) == t, True)
+
+
+def garbage(model, texts):
+    """Of each text and each way to encode it: ids when our backend answers one number for everything, and the parity told."""
+    own = codec.Codec(model)
+    blocks = list(X.blocks(pa.array(texts, pa.string())))
+
+    class Wrong:
+        ids = [7]
+
+        def encode_batch_fast(self, parts, **_):
+            return [self] * len(parts)
+
+        def decode_batch(self, parts, **_):
+            return ["?"] * len(parts)
+
+    real = own.plain, own.tokenizer
+    own.plain = own.tokenizer = Wrong()
+    ids, offs, _, _, parity = own.round_trip(blocks[0])
+    own.plain, own.tokenizer = real
+    return [x.tolist() for x in np.split(ids, offs[1:-1])], parity
+
+
+def varied(dummy, squeeze):
+    """The model file with other normaliser flags."""
+    raw, out = model_file(), []
+    for number, value in codec._fields(raw):
+        if number == 3:
+            value = b"".join(varint(n * 8 + 2) + varint(len(v)) + v if isinstance(v, bytes) else varint(n * 8) + varint({3: dummy, 4: squeeze}.get(n, v)) for n, v in {3: dummy, 4: squeeze, **dict(codec._fields(value))}.items())
+        out.append(varint(number * 8 + 2) + varint(len(value)) + value)
+    return b"".join(out)
+
+
+@pytest.mark.parametrize(("dummy", "squeeze"), [(1, 0), (0, 0), (1, 1), (0, 1)])
+def test_every_model_is_held_against_the_library(dummy, squeeze):
+    import sentencepiece
+
+    raw = varied(dummy, squeeze)
     library = sentencepiece.SentencePieceProcessor(model_proto=raw)
-    texts = [*documents(spark).values(), "", " ", "  a", "a  b ", "\n\n \t a", "日本語 テスト 😀", "a\0b", "<s> </s> <unk> <0x41>", "é" * 50]
     own = codec.Codec(raw)
-    assert own.cut and not own.spec.charsmap
-    done = own.encode(texts)
-    assert [i.tolist() for i, _ in done] == library.encode(texts) and all(p for _, p in done)
-    assert [own.decode(i) for i, _ in done] == texts == [library.decode(i.tolist()) for i, _ in done]
-    assert [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)] == library.encode(texts)
+    assert own.by_part == (dummy == 1 and squeeze == 0)
+    texts = [*ODD_TEXTS, "  spaces   between words ", "a▁b"]
+    (block,) = X.blocks(pa.array(texts, pa.string()))
+    ids, offs, text, cuts, parity = own.round_trip(block)
+    assert [x.tolist() for x in np.split(ids, offs[1:-1])] == library.encode(texts)
+    assert [x.tobytes().decode() for x, p in zip(np.split(text, cuts[1:-1]), parity, strict=True) if p] == [t for t, p in zip(library.decode(library.encode(texts)), parity, strict=True) if p]
+    assert parity.count(True) > len(texts) / 2
+    ids, parity = garbage(raw, ["some words", "a ", "x"])
+    assert ids == library.encode(["some words", "a ", "x"]) and parity == [False] * 3
+    assert codec.Codec(raw, parity=False).round_trip(block)[4] == [None] * len(texts)
 
 
 def varint(n):
@@ -124,8 +200,7 @@ def test_unigram_models_are_rebuilt():
     library = sentencepiece.SentencePieceProcessor(model_proto=raw)
     texts = ["abc", "ab c", "bcbc a", "", "x é", "a  b"]
     own = codec.Codec(raw)
-    assert [i.tolist() for i, _ in own.encode(texts)] == library.encode(texts)
-    assert [own.decode(i) for i, _ in own.encode(texts)] == texts
+    assert own.encode(texts) == library.encode(texts) and own.decode(own.encode(texts)) == texts
 
 
 def brute_components(texts):
