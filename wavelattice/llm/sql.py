@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import NEAR_SPAN, NEAR_TERMS
 from .quality import LIMITS, LINE_LIMIT, SYMBOL_LIMIT
 
 _WORDS = r"docs as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)"
@@ -60,9 +61,19 @@ lengths as (select distinct n from wanted),
 wins as (select doc_id, i, n, list_slice(w, i, i + n - 1) as g from docs, lengths, unnest(range(1, greatest(len(w) - n + 2, 1))) as u(i)),
 hits as (select doc_id, i, wins.n, item from wins join wanted using (n, g)),
 covered as (select doc_id, count(distinct i + o)::bigint as n_hit from hits, unnest(range(0, 10)) as v(o) where o < n group by doc_id),
-found as (select doc_id, count(*)::bigint as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hits) group by doc_id)
-select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from docs d left join covered using (doc_id) left join found using (doc_id)
+found as (select doc_id, count(*)::bigint as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hits) group by doc_id),
+numbered as (select row_number() over () as k, item, w from items),
+terms as (select k, item, word, min(p) as first from (select k, item, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from numbered) group by all),
+places as (select doc_id, word, p from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from docs) semi join terms using (word)),
+counts as (select word, count(*) as n from places group by word),
+needed as (select k, least({NEAR_TERMS}, count(*)) as m from terms group by k),
+ranked as (select k, item, word, m, row_number() over (partition by k order by n, first) as j from terms join counts using (word) join needed using (k)),
+keyed as (select *, count(*) over (partition by k) as held from ranked where j <= m),
+stands as (select k, item, m, word, doc_id, p from keyed join places using (word) where held = m),
+near as (select distinct a.doc_id, a.item from stands a join stands b on a.k = b.k and a.doc_id = b.doc_id and b.p between a.p and a.p + {NEAR_SPAN - 1} group by a.k, a.item, a.doc_id, a.p, a.m having count(distinct b.word) = a.m),
+nearby as (select doc_id, count(*)::bigint as n_near_items from near group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near_items, 0)::bigint as n_near_items
+from docs d left join covered using (doc_id) left join found using (doc_id) left join nearby using (doc_id)
 """
 
 OP7 = rf"""
