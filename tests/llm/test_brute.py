@@ -13,7 +13,7 @@ import pytest
 
 import corpus_pipeline
 from wavelattice.llm import _text as X
-from wavelattice.llm import fm_dedup, lm_score, ngram_join, queries, suffix_dedup, warc
+from wavelattice.llm import fm_dedup, lm_score, ngram_join, queries, suffix_dedup, toxicity, warc
 from wavelattice.llm import sentencepiece_codec as codec
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -64,6 +64,45 @@ def test_toxicity_is_found_in_held_out_rows(spark):
     assert ((s >= 0.5) & (y == 0)).sum() <= 15 and ((s >= 0.5) & (y == 1)).sum() >= 35
 
 
+def test_toxicity_models_are_those_of_plain_counts():
+    """Every probability by dictionaries: discounted continuation counts over a backoff that both classes share."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh" if k % 2 else "efghijkl") for _ in range(rng.randrange(0, 60))) for k in range(120)]
+    y = np.array([k % 2 for k in range(120)])
+    model = toxicity.fit_counts(texts, y)
+    after, pairs = ([defaultdict(set), defaultdict(set)] for _ in range(2))
+    for t, c in zip(texts, y, strict=True):
+        w = t.split()
+        for i, x in enumerate(w):
+            after[c][x].add(w[i - 1] if i else None)
+            if i:
+                pairs[c][w[i - 1], x].add(w[i - 2] if i > 1 else None)
+    words = sorted(set(after[0]) | set(after[1]))
+    cut = lambda n: min(n, toxicity.DISCOUNT)
+    one = [{x: len(after[c][x]) for x in words} for c in (0, 1)]
+    two = [{p: len(v) for p, v in pairs[c].items()} for c in (0, 1)]
+    pool = {x: cut(one[0][x]) + cut(one[1][x]) for x in words}
+    shared = {x: (n + 1) / (sum(pool.values()) + len(words) + 1) for x, n in pool.items()}
+
+    def p_word(x, c):
+        total = sum(one[c].values())
+        return (one[c][x] - cut(one[c][x])) / total + (sum(map(cut, one[c].values())) + 1) / total * shared[x]
+
+    def p_pair(h, x, c):
+        total = sum(n for p, n in two[c].items() if p[0] == h)
+        left = sum(cut(n) for p, n in two[c].items() if p[0] == h) / total if total else 1.0
+        n = two[c].get((h, x), 0)
+        return (n - cut(n)) / max(total, 1) + left * p_word(x, c)
+
+    block = next(X.blocks(pa.array(texts, pa.string())))
+    mean, _, n = toxicity.gains(model, block)
+    for k, t in enumerate(texts):
+        w = t.split()
+        gain = [math.log(p_word(w[0], 1) / p_word(w[0], 0))] if w else []
+        gain += [math.log(p_pair(a, b, 1) / p_pair(a, b, 0)) for a, b in zip(w, w[1:], strict=False)]
+        assert n[k] == len(w) and np.isclose(mean[k], np.mean(np.clip(gain, -toxicity.CLIP, toxicity.CLIP)) if w else 0, atol=1e-5)
+
+
 def test_lm_scores_are_those_of_plain_counts(spark):
     texts = {k: words_of(t) for k, t in documents(spark).items()}
     good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").collect()} & set(texts)
@@ -256,17 +295,42 @@ def test_near_duplicates_are_those_of_brute_force(spark, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == want
 
 
-def test_hot_anchors_are_dealt_by_window(spark, monkeypatch):
+def test_matching_statistics_are_those_of_brute_force():
+    rng = np.random.default_rng(2)
+    for t in (rng.integers(1, 4, 200), np.repeat(rng.integers(1, 4, 12), 20), np.tile([1, 2, 3, 1], 60)):
+        index = fm_dedup.FMIndex(t)
+        ends = np.arange(len(t))
+        length, _ = fm_dedup.matching_statistics(index, t, ends[9:], 9)
+        raw = t.astype("u1").tobytes()
+        for e, n in zip(ends[9:].tolist(), length.tolist(), strict=True):
+            twice = lambda k, e=e: k <= 9 and any(raw[i : i + k] == raw[e + 1 - k : e + 1] for i in range(len(raw) - k + 1) if i != e + 1 - k)
+            assert n == next(k for k in range(10) if not twice(k + 1))
+
+
+@pytest.mark.parametrize("n_bits", [1, 63, 64, 5000])
+def test_bits_are_ranked_in_either_form(n_bits):
+    rng = np.random.default_rng(n_bits)
+    for bits in (rng.random(n_bits) < 0.5, np.arange(n_bits) // max(1, n_bits // 3) % 2 == 0, np.zeros(n_bits, bool)):
+        at = np.arange(n_bits + 1)
+        want = np.concatenate(([0], np.cumsum(bits)))
+        starts = np.flatnonzero(np.concatenate(([True], bits[1:] != bits[:-1])))
+        assert all(np.array_equal(form.rank(at), want) for form in (fm_dedup._Packed(bits), fm_dedup._Runs(bits, starts), fm_dedup.compressed(bits)))
+
+
+def test_hot_anchors_are_taken_apart_by_window(spark, monkeypatch):
     from wavelattice.llm import _repeats
 
     rng = random.Random(4)
     passage = " ".join(rng.choice("abcdefg") * 3 for _ in range(80))
-    texts = [(k, "".join(rng.choice("hijkl ") for _ in range(60)) + passage + "".join(rng.choice("mnop ") for _ in range(60 + k))) for k in range(12)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    get = lambda: {(r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeated_substrings(docs).collect()}
-    usual = get()
-    monkeypatch.setattr(_repeats, "HOT_BODIES", 2)
-    assert get() == usual and all(n >= len(passage) for _, n, _ in usual)
+    text = lambda k: "".join(rng.choice("hijkl ") for _ in range(60)) + passage + "".join(rng.choice("mnop ") for _ in range(60 + k))
+    texts = [(k, text(k)) for k in range(12)]
+    docs = spark.createDataFrame([*texts, *texts[:2], (50, texts[3][1]), (None, texts[4][1])], "doc_id long, text string")
+    for operator in (suffix_dedup.remove_repeated_substrings, fm_dedup.remove_repeated_passages):
+        get = lambda f=operator: sorted(str((r.doc_id, r.n_removed, r.kept_sha256)) for r in f(docs).collect())
+        usual = get()
+        with monkeypatch.context() as m:
+            m.setattr(_repeats, "HOT_BODIES", 2)
+            assert get() == usual and len(usual) == 16
 
 
 def test_archives_reassemble_segments(spark, tmp_path):
@@ -277,7 +341,7 @@ def test_archives_reassemble_segments(spark, tmp_path):
     assert bytes(back[1].payload) == b"x" * 70000 and bytes(back[3].payload).decode() == "é" * 9000 and bytes(back[4].payload) == b""
     assert (back[2].record_type, back[2].refers_to, back[2].payload_bytes) == ("revisit", "1", 70000)
     assert back[2].payload_digest == hashlib.sha256(b"x" * 70000).hexdigest() and all(r.complete for r in back.values())
-    assert warc.unchunk(b"3\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.unchunk(b"3\r\nabcX") is None
+    assert warc.unchunk(b"3\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.unchunk(b"3\r\nabcX") is None and warc.unchunk(b"zz\r\nabc\r\n") is None
     import glob
     import gzip
 
@@ -294,6 +358,29 @@ def test_archives_reassemble_segments(spark, tmp_path):
     assert broken and all(r.payload is None for r in broken)
 
 
+def test_damaged_archives_do_not_end_the_job(spark, tmp_path):
+    import gzip
+
+    body = lambda b: b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b
+    good = body(b"3\r\nabc\r\n0\r\n\r\n")
+    digest = hashlib.sha256(b"abc").hexdigest().encode()
+
+    def record(page, block, length=None, more=b""):
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: %s\r\nWARC-Payload-Digest: sha256:%s\r\n%sContent-Length: %s\r\n\r\n%s\r\n\r\n" % (page, digest, more, str(len(block)).encode() if length is None else length, block)
+
+    bad = [body(b"zz\r\nabc\r\n0\r\n\r\n"), body(b"-3\r\nabc\r\n0\r\n\r\n"), body(b"0x3\r\nabc\r\n0\r\n\r\n"), body(b"3\r\nabcd\r\n0\r\n\r\n"), b"", b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\nabcd"]
+    data = b"".join(record(b"%d" % k, b) for k, b in enumerate(bad)) + record(b"10", good) + record(b"11", good, b"x9") + record(b"12", good, b"99999") + b"junk\r\n\r\n" + record(b"13", good)
+    data += record(b"14", good, None, b"WARC-Segment-Number: one\r\n") + record(b"15", good, b"?", b"WARC-Segment-Number: 1\r\n") + record(b"16", good)
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(b"20", good)) + gzip.compress(record(b"21", good) * 3000)[:-20])
+    (tmp_path / "c.warc").write_bytes(b"no archive at all")
+    (tmp_path / "d.warc").write_bytes(b"")
+    rows = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    whole = sorted(r.page_id for r in rows if r.complete)
+    assert whole[:4] == ["10", "13", "16", "20"] and set(whole[4:]) == {"21"} and all(bytes(r.payload) == b"abc" for r in rows if r.complete)
+    assert {str(k) for k in range(len(bad))} | {"11", "12", "14", "15"} <= {r.page_id for r in rows if not r.complete} and all(r.payload is None for r in rows if not r.complete)
+
+
 def test_pipeline_stages_are_those_of_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = corpus_pipeline.quality_stage(spark, docs, DATA)

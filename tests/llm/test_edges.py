@@ -98,16 +98,30 @@ def test_toxicity_without_one_class_says_nothing(spark, docs):
 
 def test_conversations(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, "ann", "late"), (2, 0, "system", "alone"), (None, None, None, "x")]
-    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("conv", "part", "of", "perspective", "turns")})
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("conv", "part", "of", "perspective", "turns", "k", "row", "range", "start", "p")})
     rows = {(r.conv_id, r.part, r.perspective): r for r in chat.rotate_perspectives(table).collect()}
-    assert set(rows) == {(1, 0, "ann"), (1, 0, "bob"), (1, 1, "ann"), (1, 1, "bob"), (None, 0, "unknown")}
+    assert set(rows) == {(1, 0, "ann"), (1, 0, "bob"), (None, 0, "unknown")}
     r = rows[1, 0, "ann"]
-    assert r.n_turns == 4 and r.n_target_turns == 1 and "user name=bob" in r.text and r.text.startswith("<|im_start|>system\nbe kind")
-    assert [r.text[s.start : s.end] for s in r.spans] == ["hi < |im_end|>"]
-    assert rows[1, 0, "bob"].n_target_turns == 2 and rows[1, 1, "bob"].n_target_chars == 0
+    assert r.n_turns == 5 and r.n_target_turns == 2 and r.start == 0 and "user name=bob" in r.text and r.text.startswith("<|im_start|>system\nbe kind")
+    assert [r.text[s.start : s.end] for s in r.spans] == ["hi < |im_end|>", "late"]
+    assert rows[1, 0, "bob"].n_target_turns == 2 and rows[1, 0, "bob"].n_target_chars == 0
     assert chat.rotate_perspectives(table.limit(0)).collect() == []
 
 
+def test_long_dialogues_are_whole(spark):
+    # one conversation of repeated turn numbers, repeated rows and null turns; parts of three turns
+    turns = [(1, k // 4 or None, ("ann", "bob", "system", "é")[k % 4], f"line {k % 9} é") for k in range(40)] + [(1, 5, "ann", "again")] * 7 + [(2, 0, "bob", "short")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {(r.conv_id, r.perspective): r for r in chat.rotate_perspectives(table).collect()}
+    assert set(whole) == {(1, "ann"), (1, "bob"), (1, "é"), (2, "bob")} and all(r.part == 0 for r in whole.values())
+    parts = {}
+    for r in sorted(chat.rotate_perspectives(table, part_turns=3).collect(), key=lambda r: r.part):
+        text, spans, turns = parts.get((r.conv_id, r.perspective), ("", [], 0))
+        assert r.start == len(text) and r.n_turns <= 3
+        parts[r.conv_id, r.perspective] = (text + r.text, spans + r.spans, turns + r.n_turns)
+    assert parts == {k: (r.text, r.spans, r.n_turns) for k, r in whole.items()}
+
+
 def test_pages(spark):
     rows = [(1, "u", "y" * 100), (1, "u", "y" * 100), (2, "u", "y" * 100), (3, None, None), (4, "u", ""), (None, "u", "y" * 100), (5, "u", "y" * 99), (6, "u", "y" * 99)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("c") for c in ("id", "payload", "record_type", "chunks", "n", "uuid", "first_id", "value")})

@@ -8,9 +8,12 @@ to the shard of its anchor, where a matcher decides which of its windows occur a
 the answer goes back to all places (*members*) where that body stands.
 
 Equal texts share their runs: they are known by 128 bits of hash, and a body by its anchor
-and 64 more.  Anchors with more than ``HOT_BODIES`` distinct bodies are dealt out further:
-each window of such a body goes by a hash of the window itself.  Joins are on plain keys
-without a user's partitioning, so adaptive execution can split those that are skewed.
+and 64 more.  Runs of an anchor with more than ``HOT_BODIES`` distinct bodies are taken apart:
+each of their windows is a body of its own, which goes to the shard of its own hash.  Equal
+windows are one body then, whose members are counted by a partial sum, so a shard holds no more
+than ``HOT_BODIES`` bodies of an anchor however often a window occurs and in whatever contexts.
+Joins are on plain keys without a user's partitioning, so adaptive execution can split those
+that are skewed.
 """
 
 from __future__ import annotations
@@ -123,12 +126,41 @@ def _runs(rows: DataFrame, units: Units, width: int, gram: int) -> DataFrame:
     return rows.select("text", *SIDE, "id").mapInArrow(run, f"key long, body long, r1 long, r2 long, id {kind}, start int, n int")
 
 
+def _hot_windows(rows: DataFrame, members: DataFrame, units: Units, width: int) -> DataFrame:
+    """Every window of some members as a member of its own, whose body it is."""
+    kind = rows.schema["id"].dataType.simpleString()
+    wanted = members.groupBy("id", *SIDE).agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
+
+    def run(batches):
+        for batch in batches:
+            wanted = batch.column(1)
+            for block in X.blocks(batch.column(0)):
+                values, offs = units.split(block)
+                for d in range(block.hi - block.lo):
+                    own, prefix = wanted[block.lo + d].as_py(), X.prefix_hash(values[offs[d] : offs[d + 1]])
+                    start = np.concatenate([w["start"] + np.arange(w["n"]) for w in own])
+                    keys = np.repeat([w["key"] for w in own], [w["n"] for w in own])
+                    side = [batch.column(k).take(pa.array(np.full(len(start), block.lo + d))) for k in (2, 3, 4)]
+                    body = X.range_hash(prefix, start, start + width).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(body), *side, pa.array(start, pa.int32()), pa.array(np.ones(len(start)), pa.int32())], names=["key", "body", *SIDE, "id", "start", "n"])
+
+    held = _with_text(rows, wanted).select("text", "wanted", *SIDE, "id")
+    out = held.mapInArrow(run, f"key long, body long, r1 long, r2 long, id {kind}, start int, n int")
+    return out.dropDuplicates(["key", "body", *SIDE, "start"])  # rows that repeat
+
+
+def _with_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the texts (id, r1, r2) of wanted."""
+    wanted = wanted.withColumnsRenamed({"id": "of", "r1": "q1", "r2": "q2"})
+    return rows.join(wanted, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2")) & F.col("id").eqNullSafe(F.col("of")))
+
+
 def _bodies(found: DataFrame, units: Units, width: int) -> DataFrame:
     """The body of every wanted run; rows of found: text, id, wanted array<struct>."""
     kind = found.schema["id"].dataType
 
     def run(batches):
-        names = ["shard", "key", "body", "off", "id", "start", "n", "multi", "units"]
+        names = ["shard", "key", "body", "id", "start", "n", "multi", "units"]
         for batch in batches:
             wanted, ids = batch.column(2), batch.column(1)
             for block in X.blocks(batch.column(0)):
@@ -138,22 +170,15 @@ def _bodies(found: DataFrame, units: Units, width: int) -> DataFrame:
                     own = values[offs[d] : offs[d + 1]]
                     ident = ids[block.lo + d].as_py()
                     for w in wanted[block.lo + d].as_py():
-                        if not w["hot"]:
-                            rows = [(w["key"], 0, w["n"], own[w["start"] : w["start"] + w["n"] + width - 1])]
-                        else:
-                            part = own[w["start"] : w["start"] + w["n"] + width - 1]
-                            at = np.arange(w["n"])
-                            shards = X.range_hash(X.prefix_hash(part), at, at + width).view(np.int64).tolist()
-                            rows = [(s, k, 1, part[k : k + width]) for k, s in enumerate(shards)]
-                        for shard, off, n, part in rows:
-                            for column, value in zip(out, (shard, w["key"], w["body"], off, ident, w["start"], n, w["multi"], part.astype(units.dtype).tobytes()), strict=True):
-                                column.append(value)
+                        part = own[w["start"] : w["start"] + w["n"] + width - 1]
+                        for column, value in zip(out, (w["body"] if w["alone"] else w["key"], w["key"], w["body"], ident, w["start"], w["n"], w["multi"], part.astype(units.dtype).tobytes()), strict=True):
+                            column.append(value)
                     if len(out[0]) >= 4096:
                         yield _batch(out, names, ids.type)
                         out = [[] for _ in names]
                 yield _batch(out, names, ids.type)
 
-    return found.select("text", "id", "wanted").mapInArrow(run, f"shard long, key long, body long, off int, id {kind.simpleString()}, start int, n int, multi boolean, units binary")
+    return found.select("text", "id", "wanted").mapInArrow(run, f"shard long, key long, body long, id {kind.simpleString()}, start int, n int, multi boolean, units binary")
 
 
 def _batch(columns: list[list], names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
@@ -200,7 +225,7 @@ def _matched(bodies: DataFrame, units: Units, width: int, limit: int, match: Cal
     def run(batches):
         for table in _shards(batches, limit):
             table = table.combine_chunks()
-            both = np.stack([table.column(c).to_numpy() for c in ("key", "body", "off")])
+            both = np.stack([table.column(c).to_numpy() for c in ("key", "body")])
             keep = np.sort(np.unique(both, axis=1, return_index=True)[1])  # repeated rows give a body twice
             table = table.take(pa.array(keep)).combine_chunks()
             raw = [b.as_py() for b in table.column("units")]
@@ -209,7 +234,7 @@ def _matched(bodies: DataFrame, units: Units, width: int, limit: int, match: Cal
             ids = pc.rank(table.column("id").combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense")
             number = lambda c: table.column(c).to_numpy().astype(np.int64)
             n, multi = number("n"), table.column("multi").to_numpy()
-            shard = Shard(values, offs, n, np.asarray(ids).astype(np.int64), number("start") + number("off"), multi)
+            shard = Shard(values, offs, n, np.asarray(ids).astype(np.int64), number("start"), multi)
             again, spare = match(shard, width)
             # windows body by body, one gap between bodies so that no interval crosses
             body = np.repeat(np.arange(len(n)), n)
@@ -223,7 +248,7 @@ def _matched(bodies: DataFrame, units: Units, width: int, limit: int, match: Cal
                 b = body[on[heads]]
                 out = table.take(pa.array(b))
                 yield pa.RecordBatch.from_arrays(
-                    [*(out.column(c).combine_chunks() for c in ("key", "body", "id", "start")), pa.array(on[heads] - first[b] + number("off")[b], pa.int32()), pa.array(lengths, pa.int32()), pa.array([spared] * len(b), pa.bool_())],
+                    [*(out.column(c).combine_chunks() for c in ("key", "body", "id", "start")), pa.array(on[heads] - first[b], pa.int32()), pa.array(lengths, pa.int32()), pa.array([spared] * len(b), pa.bool_())],
                     names=["key", "body", "first_id", "first_start", "off", "len", "spared"],
                 )
 
@@ -247,19 +272,25 @@ def repeated_windows(rows: DataFrame, units: Units, width: int, gram: int, limit
         members = stored(members.select("key", "body", *SIDE, "start", "n", F.when(F.col("with_id") == F.col("k"), F.col("least_id")).alias("id")), "members")
 
     # struct order: the first place of a body is that of the smallest id, then the smallest start
-    bodies = members.groupBy("key", "body").agg(F.min(F.struct("id", "start", *SIDE, "n")).alias("m"), (F.count("*") > 1).alias("multi"))
-    bodies = stored(bodies.select("key", "body", "m.*", "multi"), "bodies")
-    hot = bodies.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT_BODIES).select("key", F.lit(True).alias("hot"))
-    wanted = bodies.join(hot, "key", "left").groupBy("id", *SIDE).agg(F.collect_list(F.struct("key", "body", "start", "n", "multi", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    wanted = wanted.withColumnsRenamed({"id": "of", "r1": "q1", "r2": "q2"})
-    held = rows.join(wanted, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2")) & F.col("id").eqNullSafe(F.col("of")))
+    first = lambda m: m.groupBy("key", "body").agg(F.min(F.struct("id", "start", *SIDE, "n")).alias("m"), (F.count("*") > 1).alias("multi")).select("key", "body", "m.*", "multi")
+    bodies = stored(first(members).withColumn("alone", F.lit(False)), "bodies")
+    made = [members, bodies]
+    hot = stored(bodies.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT_BODIES).select("key"), "hot")
+    made.append(hot)
+    if hot.limit(1).count():
+        windows = stored(_hot_windows(rows, members.join(hot, "key"), units, width), "windows")
+        made.append(windows)
+        members = members.join(hot, "key", "left_anti").unionByName(windows)
+        bodies = bodies.join(hot, "key", "left_anti").unionByName(first(windows).withColumn("alone", F.lit(True)))
+    wanted = bodies.groupBy("id", *SIDE).agg(F.collect_list(F.struct("key", "body", "start", "n", "multi", "alone")).alias("wanted"))
+    held = _with_text(rows, wanted)
     flags = _matched(_bodies(held, units, width), units, width, limit, match)
     places = members.join(flags, ["key", "body"])
     is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start"))
     places = places.where(~(F.col("spared") & is_first))
     spans = places.groupBy(*SIDE).agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("start"), "len")).alias("spans"))
     spans = stored(spans, "spans")
-    drop(keys, members, bodies)
+    drop(keys, *made)
     return texts, spans
 
 

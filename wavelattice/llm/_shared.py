@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -11,18 +12,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths that were made and not deleted, oldest first.
+_made: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; a folder of our own only where that is unset on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="wavelattice-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = None
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +53,27 @@ def release(spark: SparkSession) -> None:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing will read again."""
     for table in tables:
-        sc = table.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(table._stored_at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table._stored_at)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made.pop(name, None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes on leaving what operators stored meanwhile, but the tables put into the list it gives.
+
+    A result that is not written yet reads such tables, so write it inside.
+    """
+    before, keep = set(_made), []
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _made if p not in before and p not in {t._stored_at for t in keep}]:
+            _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

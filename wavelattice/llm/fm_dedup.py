@@ -1,14 +1,17 @@
 """Substring dedup on words with a compressed FM-index per shard.
 
 ``_repeats`` routes the text that can hold a repeated window to shards.  A shard indexes its
-bodies: the Burrows-Wheeler transform of the word sequence in a wavelet matrix of packed bits
-with block counts.  The same bodies then stream past the index: backward search extends every
-window leftwards, and its matching statistic (how far it still has another occurrence) either
-falls short of ``width`` or the interval holds all equal windows, of which the earliest stays.
+bodies: the Burrows-Wheeler transform of the word sequence in a wavelet matrix, each level's
+bits as runs where that is smaller and as packed words with block counts elsewhere.  The same
+bodies then stream past the index: backward search extends from every place leftwards for as
+long as the sequence has another occurrence, which gives the place's matching statistic, cut at
+``width``; where it reaches ``width`` the interval holds all equal windows, of which the
+earliest stays.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, held as 64-bit hashes.  Earlier means a smaller id (null
 before all), or the same document and an earlier start.  Null texts have no words; rows that
-repeat (same id and text) are treated alike; each row gives one row; empty tables give none.
+repeat (same id and text) are treated alike; each row gives one row; empty tables give none;
+other columns are ignored, whatever their names.  Memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -29,6 +32,41 @@ WIDTH, GRAM = 20, 6
 SHARD_BYTES = 1 << 20
 
 
+class _Packed:
+    """Bits as words, with the ones before each."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.zeros(len(bits) // 64 + 2, X.U)
+        packed = np.packbits(bits, bitorder="little")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.int64))).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        w, b = at >> 6, (at & 63).astype(X.U)
+        return self.ones[w] + np.bitwise_count(self.words[w] & ((X.U(1) << b) - X.U(1)))
+
+
+class _Runs:
+    """Bits as the starts of their runs, with the ones before each; runs alternate."""
+
+    def __init__(self, bits: np.ndarray, starts: np.ndarray):
+        self.starts = starts.astype(np.int32)
+        self.bit = bits[starts].astype(np.int32)
+        sizes = np.diff(np.append(starts, len(bits)))
+        self.ones = np.concatenate(([0], np.cumsum(sizes * self.bit)))[:-1].astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        run = np.maximum(np.searchsorted(self.starts, at, "right") - 1, 0)
+        return self.ones[run] + (at - self.starts[run]) * self.bit[run]
+
+
+def compressed(bits: np.ndarray) -> _Packed | _Runs:
+    """The smaller of two forms: 12 bytes a run, or 12 bytes for each 64 bits."""
+    starts = np.flatnonzero(np.concatenate(([True], bits[1:] != bits[:-1])))
+    return _Runs(bits, starts) if len(starts) < len(bits) // 64 else _Packed(bits)
+
+
 class FMIndex:
     """Backward search over a sequence of numbers >= 1 (0 ends it)."""
 
@@ -43,11 +81,7 @@ class FMIndex:
         self.bits, self.zeros = [], []
         for level in reversed(range(self.levels)):
             bit = ((bwt >> level) & 1).astype(bool)
-            words = np.zeros(len(bwt) // 64 + 2, X.U)
-            packed = np.packbits(bit, bitorder="little")
-            words.view(np.uint8)[: len(packed)] = packed
-            ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words[:-1]), dtype=np.int64))).astype(np.int32)
-            self.bits.append((words, ones))
+            self.bits.append(compressed(bit))
             self.zeros.append(int(len(bwt) - bit.sum()))
             bwt = np.concatenate((bwt[~bit], bwt[bit]))
         symbols = np.arange(len(self.first) - 1)
@@ -55,9 +89,7 @@ class FMIndex:
 
     def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(reversed(range(self.levels))):
-            words, ones = self.bits[k]
-            w, b = at >> 6, (at & 63).astype(X.U)
-            rank = ones[w] + np.bitwise_count(words[w] & ((X.U(1) << b) - X.U(1)))
+            rank = self.bits[k].rank(at)
             at = np.where((symbols >> level) & 1, self.zeros[k] + rank, at - rank)
         return at
 
@@ -67,6 +99,19 @@ class FMIndex:
         return self._descend(symbols, lo) + step, self._descend(symbols, hi) + step
 
 
+def matching_statistics(index: FMIndex, text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each end the longest stretch up to it, width at most, that the index holds twice or more, and the first row of its interval."""
+    lo, hi = index.first[text[ends]], index.first[text[ends] + 1]
+    length, interval, live = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.arange(len(ends))
+    for k in range(1, width + 1):
+        again = hi - lo > 1
+        live, lo, hi = live[again], lo[again], hi[again]
+        length[live], interval[live] = k, lo
+        if k < width and len(live):
+            lo, hi = index.extend(text[ends[live] - k], lo, hi)
+    return length, interval
+
+
 def matched_in_shard(shard: Shard, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Which windows have an earlier occurrence for all members of their body, and for all but the first."""
     n_bodies = len(shard.n)
@@ -76,20 +121,13 @@ def matched_in_shard(shard: Shard, width: int) -> tuple[np.ndarray, np.ndarray]:
     index = FMIndex(text)
     within = np.arange(shard.n.sum()) - np.repeat(np.cumsum(shard.n) - shard.n, shard.n)
     starts = np.repeat(shard.offs[:-1] + np.arange(n_bodies), shard.n) + within
-    last = text[starts + width - 1]
-    lo, hi = index.first[last], index.first[last + 1]
-    live = np.arange(len(starts))
-    for k in range(width - 2, -1, -1):
-        keep = hi - lo > 1  # it still matches another place
-        live, lo, hi = live[keep], lo[keep], hi[keep]
-        lo, hi = index.extend(text[starts[live] + k], lo, hi)
+    length, interval = matching_statistics(index, text, starts + width - 1, width)
     # equal windows have the same interval; the earliest place of each stays
-    keep = hi - lo > 1
-    live, lo = live[keep], lo[keep]
+    live = np.flatnonzero(length >= width)
     body = np.repeat(np.arange(n_bodies), shard.n)
-    order = np.lexsort((shard.start[body[live]] + within[live], shard.id_rank[body[live]], lo))
+    order = np.lexsort((shard.start[body[live]] + within[live], shard.id_rank[body[live]], interval[live]))
     later = np.zeros(len(live), bool)
-    later[order[1:]] = lo[order[1:]] == lo[order[:-1]]
+    later[order[1:]] = interval[live[order[1:]]] == interval[live[order[:-1]]]
     again = np.zeros(len(starts), bool)
     again[live[later]] = True
     return again, np.repeat(shard.multi, shard.n) & ~again

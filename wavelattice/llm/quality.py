@@ -7,8 +7,8 @@ alike.  A document is rejected by the two base rules or when a coverage or the r
 exceeds its limit.
 
 Null and empty texts have no words and fail the base rule; each input row gives one row, so
-repeated rows and null ids come out as they went in.  Columns besides ``id_col`` and
-``text_col`` are ignored.  Memory follows the longest text.
+repeated rows and null ids come out as they went in; empty tables give none.  Columns besides
+``id_col`` and ``text_col`` are ignored, whatever their names.  Memory follows the longest text.
 """
 
 from __future__ import annotations

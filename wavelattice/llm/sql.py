@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from .chat import PART_TURNS
 from .decontam import NEAR_SPAN, NEAR_TERMS
 from .quality import LIMITS, LINE_LIMIT, SYMBOL_LIMIT
 
 _WORDS = r"docs as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)"
 
-OP1 = """
-with rows as (select conv_id, coalesce(turn // 256, 0)::bigint as part, turn, replace(coalesce(role, 'unknown'), '<|', '< |') as role, replace(coalesce(text, ''), '<|', '< |') as text from conversations),
+OP1 = f"""
+with rows as (select conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') as role, replace(coalesce(text, ''), '<|', '< |') as text from conversations),
 people as (select distinct conv_id, role as perspective from rows where role <> 'system'),
-lines as (select p.conv_id, part, perspective, turn, role, text, role = perspective as mine,
+lines as (select p.conv_id, perspective, turn, role, text, role = perspective as mine,
   '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system' else 'user name=' || role end || chr(10) as head,
-  row_number() over (partition by p.conv_id, part, perspective order by turn, role, text) as k
+  row_number() over (partition by p.conv_id, perspective order by turn nulls first, role, text) - 1 as k
   from rows join people p on p.conv_id is not distinct from rows.conv_id),
-placed as (select *, coalesce(sum(length(head) + length(text) + 11) over (partition by conv_id, part, perspective order by k rows between unbounded preceding and 1 preceding), 0)::bigint as pos from lines)
-select conv_id, part, perspective, count(*)::bigint as n_turns, count(*) filter (where mine)::bigint as n_target_turns,
+placed as (select *, (k // {PART_TURNS})::bigint as part, coalesce(sum(length(head) + length(text) + 11) over (partition by conv_id, perspective order by k rows between unbounded preceding and 1 preceding), 0)::bigint as pos from lines)
+select conv_id, part, perspective, min(pos) as start, count(*)::bigint as n_turns, count(*) filter (where mine)::bigint as n_target_turns,
   coalesce(sum(length(text)) filter (where mine), 0)::bigint as n_target_chars,
   string_agg(head || text || '<|im_end|>' || chr(10), '' order by k) as text,
   coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(text)), ',' order by k) filter (where mine), '') as spans

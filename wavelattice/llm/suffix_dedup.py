@@ -8,7 +8,8 @@ side by side, so comparing the prefixes of neighbours gives every window that oc
 The recursion ends when names stand for ``width`` bytes or are all different.
 
 Null texts are empty; matches never cross documents; each row gives one row, repeated rows
-(which are copies of each other) and null ids too; empty tables give none.
+(which are copies of each other) and null ids too; empty tables give none; other columns are
+ignored, whatever their names.  Memory follows the longest text.
 """
 
 from __future__ import annotations

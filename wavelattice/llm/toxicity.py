@@ -2,11 +2,17 @@
 
 Two bigram models, of toxic and of ordinary texts, are smoothed by absolute discounting; both
 back off to one distribution, made of the counts that the discount took from both classes, so
-an expression too rare to be known in one class does not speak for the other.  Counts at both
-orders are continuation counts (after how many different words an expression stands), so a
-passage that many documents copy counts once.  A document's score compares
-the two log-likelihoods per word, through a logistic calibration on training documents that
-the counts have not seen.
+an expression too rare to be known in one class does not speak for the other.  A document is
+read by the gains of its words: the log-likelihood of each under the toxic model less that
+under the ordinary one.
+
+Three readings of the gains go through a logistic calibration on training documents that the
+counts have not seen: their mean (the length-normalised comparison), the mean of those beyond
+``MARKED`` alone, and the clipped sum of these, which is not normalised by length.  The mean by
+itself does not do: a few toxic words in a long text hardly move it (README has the figures).
+For the same reason counts at both orders are continuation counts (after how many different
+words an expression stands, so a passage that many documents copy counts once) and the
+discount is larger than the usual one.
 
 Labels are learnt from rows whose crc32(id as text) modulo ``FOLDS`` is not 0.  The training
 documents are a bounded sample of these: in order of a hash of the id, at most
@@ -15,8 +21,9 @@ classes.  A text that does not fit is passed over, but two of a class are always
 
 A document labelled twice is toxic if one label says so; null labels are not learnt from.
 Null and empty texts score the calibration's constant; a null id counts as the text '' and is
-held out.  Each row gives one row, repeated rows too.  Without labelled rows of both classes
-every score is 0.5.  Scores depend on the text alone.
+held out.  Each row gives one row, repeated rows too; empty tables give none.  Without labelled
+rows of both classes every score is 0.5.  Scores depend on the text alone; other columns are
+ignored, whatever their names.  Memory follows the longest text.
 """
 
 from __future__ import annotations

@@ -11,15 +11,22 @@ read by Spark alone, so any file system that Spark knows will do.  Writing uses
 functions only.  Records that need no reassembly are not shuffled.
 
 A null payload is an empty one; a null id has no header and reads back as null; rows tied on
-the smallest id of equal payloads are all responses; line breaks in urls are removed.  A
-record of which segments are missing or have the wrong length reads back with ``complete``
-false and no payload.  Other columns are ignored.
+the smallest id of equal payloads are all responses; line breaks in urls are removed.  Each row
+gives one row, repeated rows too; an empty table gives none; other columns are ignored.  Memory
+follows the longest payload, and the records of a file.
+
+Nothing that stands in an archive ends a job.  A record of which segments are missing or have
+the wrong length, whose framing is broken or whose digest does not agree reads back with
+``complete`` false and no payload.  So does one whose header or length is damaged, or that ends
+with its file too early; reading goes on at the next record that begins after an empty line.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import re
+import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,32 +98,54 @@ def write_archives(rows: DataFrame, path: str, id_col: str = "page_id", url_col:
     out.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def _number(value: str | bytes | None, least: int = -1) -> int:
+    """A plain whole number; least where it is none."""
+    value = value.encode() if isinstance(value, str) else value or b""
+    return int(value) if re.fullmatch(rb"[0-9]{1,18}", value) else least
+
+
 def parse_records(data: bytes):
-    """(headers by lower-case name, block) of each record of an archive."""
+    """(headers by lower-case name, block) of each record of an archive; the block is None where the record is damaged."""
     at = 0
     while at < len(data):
-        stop = data.index(_END, at)
-        version, *lines = data[at:stop].split(b"\r\n")
-        if not version.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {}
-        for line in lines:
-            name, _, value = line.partition(b":")
-            headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-        begin = stop + 4
-        at = begin + int(headers["content-length"])
-        yield headers, data[begin:at]
-        if data[at : at + 4] != _END:
-            raise ValueError(f"no record end at byte {at}")
-        at += 4
+        stop, headers = data.find(_END, at), {}
+        if stop >= 0 and data.startswith(b"WARC/", at):
+            for line in data[at:stop].split(b"\r\n")[1:]:
+                name, _, value = line.partition(b":")
+                headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        begin, length = stop + 4, _number(headers.get("content-length"))
+        if length >= 0 and data[begin + length : begin + length + 4] == _END:
+            yield headers, data[begin : begin + length]
+            at = begin + length + 4
+        else:
+            yield headers, None
+            again = data.find(_END + b"WARC/", at + 1)
+            at = again + 4 if again >= 0 else len(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    """The content of a gzip file of any number of members, as far as it can be read; other data as they are."""
+    out = [] if data[:2] == b"\x1f\x8b" else [data]
+    while data[:2] == b"\x1f\x8b" and not (out and out[-1] is data):
+        member, at = zlib.decompressobj(31), 0
+        try:
+            while at < len(data) and not member.eof:
+                out.append(member.decompress(data[at : at + (1 << 16)]))
+                at += 1 << 16
+        except zlib.error:
+            break
+        data = member.unused_data + data[at:]
+    return b"".join(out)
 
 
 def unchunk(body: bytes) -> bytes | None:
     """The payload of a chunked body; None if the framing is broken."""
     out, at = [], 0
     while (stop := body.find(b"\r\n", at)) >= 0:
-        size = int(body[at:stop].split(b";")[0], 16)
+        size = re.fullmatch(rb"([0-9A-Fa-f]{1,15})[ \t]*", body[at:stop].split(b";")[0])
         if not size:
+            return None
+        if not (size := int(size[1], 16)):
             return b"".join(out)
         at = stop + 2 + size
         if body[at : at + 2] != b"\r\n":
@@ -132,14 +161,14 @@ def _decoded(block: bytes) -> tuple[bytes | None, int | None]:
     headers = {n.strip().lower(): v.strip() for n, _, v in (line.partition(b":") for line in head.split(b"\r\n")[1:])}
     if headers.get(b"transfer-encoding", b"").lower() == b"chunked":
         return unchunk(body), None
-    return body, int(headers.get(b"content-length", len(body)))
+    return body, _number(headers.get(b"content-length"), len(body))
 
 
 _FIELDS = "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, complete boolean"
 
 
 def _row(headers: dict, block: bytes | None) -> tuple:
-    kind = headers["warc-type"]
+    kind = headers.get("warc-type")
     payload, stated = (None, None) if block is None else _decoded(block)
     digest = headers.get("warc-payload-digest", "").rpartition(":")[2]
     if kind == "revisit":
@@ -161,8 +190,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def archives(batches):
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                yield gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                yield unpacked(content.as_py())
 
     def whole(batches):
         for data in archives(batches):
@@ -177,7 +205,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def segments(batches):
         for data in archives(batches):
-            found = [(h.get("warc-segment-origin-id") or h["warc-record-id"], int(h["warc-segment-number"]), h, b) for h, b in parse_records(data) if "warc-segment-number" in h]
+            found = [(h.get("warc-segment-origin-id") or h.get("warc-record-id") or uuid.uuid4().hex, min(_number(h["warc-segment-number"]), 1 << 30), h, b) for h, b in parse_records(data) if "warc-segment-number" in h]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.string())), pa.array([f[3] for f in found], pa.binary())],
                 names=["origin", "number", "headers", "part"],
@@ -189,9 +217,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for parts in batch.column(0).to_pylist():
                 parts.sort(key=lambda p: p["number"])
                 headers, last = dict(parts[0]["headers"]), dict(parts[-1]["headers"])
-                block = b"".join(p["part"] for p in parts)
+                block = b"".join(p["part"] or b"" for p in parts)
                 numbers = [p["number"] for p in parts]
-                ok = numbers == list(range(1, len(parts) + 1)) and int(last.get("warc-segment-total-length", -1)) == len(block)
+                ok = numbers == list(range(1, len(parts) + 1)) and all(p["part"] is not None for p in parts) and _number(last.get("warc-segment-total-length")) == len(block)
                 rows.append(_row(headers, block if ok else None))
             yield _table(rows)
 
