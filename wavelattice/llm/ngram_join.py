@@ -1,26 +1,31 @@
 """Near duplicates by an n-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set holds the hashes of its distinct ``SHINGLE``-word shingles.  Shingles are
-ordered by how many documents hold them (a fixed-size count sketch over all documents; any
-order is right, rare first is fast).  If two sets are similar, their prefixes of length
-``n - overlap + l`` share at least ``l`` shingles; each document takes the ``l`` for which
-the estimated cost of its prefix, postings to read and candidates to verify, is least, and
-its candidates must share that many before their whole texts are compared.
+ordered by how many documents hold them (a signed count sketch of fixed size over all
+documents, whose error grows with the root of their number; any order is right, rare first is
+fast).  If two sets are similar, their prefixes of length ``n - overlap + l`` share at least
+``l`` shingles; each document takes the ``l`` for which the estimated cost of its prefix,
+postings to read and candidates to verify, is least, and its candidates must share that many
+before their whole texts are compared.
 
 Equal sets are one node.  Of a shingle's postings only those with another node are kept.
 Groups of near copies are first gathered around hubs: each node is compared with the node
 that most of its shingles name, which links a large group with as many comparisons as it has
 members.  Only candidates in different components are left for the join itself; there each
 pair has a member outside its shingle's largest component, so no group is paired with itself.
+The join meets only postings that can be a pair's first common shingle: a shingle so deep in a
+set that too little follows it for partners of some size is not filed for that size.
 
 Lower-casing is of A-Z; words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer words than a shingle
 has its whole sequence as one shingle.  A text without words, or null, is linked with nothing.
 Rows with the same id and different texts are separate; a null id is never a component's name
-unless all its ids are null.  Every row gives one row; empty tables give none.
+unless all its ids are null.  Every row gives one row, repeated rows too; empty tables give
+none; other columns are ignored, whatever their names.  Memory follows the longest text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -37,6 +42,10 @@ PERCENT = 80
 MAX_MATCHES = 4
 #: Cells of the count sketch, and rows it is cut into.
 CELLS, SLICES = 1 << 22, 64
+#: Shingles of whole sets for each bucket of postings, or about so many; a task has several buckets, one at a time.
+BUCKET_SHINGLES = 4 << 20
+#: Sizes of sets that are filed together grow by this factor.
+SIZE_STEP = 1.05
 #: Members compared with one copy of their hub's text.
 HUB_MEMBERS = 256
 #: After the first, hub rounds go on while shingles' lists hold so many times as many pairs as postings.
@@ -73,18 +82,23 @@ def set_names(grams: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _sums(X.mix(grams), offs), _sums(X.mix(grams ^ X.U(0xA5A5A5A5A5A5A5A5)), offs)
 
 
+def _cell(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of the sketch and sign of each shingle."""
+    return (grams & X.U(CELLS - 1)).astype(np.int64), 1 - 2 * (grams >> X.U(63)).astype(np.int32)
+
+
 def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n, h1, h2 of every row; and rows with the parts of the tasks' sketches (slice, sketch)."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n", "h1", "h2", "slice", "sketch"]
 
     def describe(batches):
-        cells, id_type = np.zeros(CELLS, np.uint32), None
+        cells, id_type = np.zeros(CELLS, np.int32), None
         for batch in batches:
             id_type = batch.column(0).type
             for block in X.blocks(batch.column(1)):
                 grams, offs = shingle_sets(block)
-                np.add.at(cells, (grams & X.U(CELLS - 1)).astype(np.int64), np.uint32(1))
+                np.add.at(cells, *_cell(grams))
                 h1, h2 = set_names(grams, offs)
                 k = block.hi - block.lo
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, k), pa.array(np.diff(offs), pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
@@ -98,21 +112,26 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches: CELLS numbers, whatever the input's size."""
+    """The sum of the tasks' sketches: CELLS numbers, whatever the input's size; added up in two steps, so that no task reads more than the root of their number."""
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cells = np.frombuffer(zlib.decompress(part.as_py()), np.uint32).astype(np.uint64)
+                cells = np.frombuffer(zlib.decompress(part.as_py()), np.int32).astype(np.int64)
                 held[k] = held[k] + cells if k in held else cells
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], names=["slice", "sketch"])
-
-    rows = described.where("slice is not null").select("slice", "sketch").repartition("slice").mapInArrow(add, "slice int, sketch binary")
-    out = np.zeros((SLICES, CELLS // SLICES), np.uint64)
+        # beyond the bounds a shingle is as frequent as can be
+        parts = [zlib.compress(v.clip(-0x7FFFFFFF, 0x7FFFFFFF).astype(np.int32).tobytes(), 1) for v in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "sketch"])
+
+    rows = described.where("slice is not null").select("slice", "sketch")
+    fan = max(1, math.isqrt(rows.select("slice").count() // SLICES))
+    for keys in ((["slice", F.pmod(F.monotonically_increasing_id(), F.lit(fan))], ["slice"]) if fan > 1 else (["slice"],)):
+        rows = rows.repartition(*keys).mapInArrow(add, "slice int, sketch binary")
+    out = np.zeros((SLICES, CELLS // SLICES), np.int32)
     for k, part in rows.collect():  # SLICES rows
-        out[k] += np.frombuffer(zlib.decompress(part), np.uint64)
-    return out.ravel().clip(max=0xFFFFFFFF).astype(np.uint32)
+        out[k] = np.frombuffer(zlib.decompress(part), np.int32)
+    return out.ravel()
 
 
 def _up(top, bottom):
@@ -134,15 +153,16 @@ def index_length(n, matches, up=_up):
     return n - up(2 * PERCENT * n, 100 + PERCENT) + matches
 
 
-def choose_prefix(grams: np.ndarray, offs: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def choose_prefix(grams: np.ndarray, offs: np.ndarray, sketch: np.ndarray, noise: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of each set's shingles (an index array), their ranks, and the matches each set asks for."""
     n = np.diff(offs)
     doc = np.repeat(np.arange(len(n)), n)
-    often = sketch[(grams & X.U(CELLS - 1)).astype(np.int64)].astype(np.int64)
+    cell, sign = _cell(grams)
+    often = np.maximum(sketch[cell].astype(np.int64) * sign, 0)
     order = np.lexsort((grams, often, doc))
     rank = np.arange(len(grams)) - offs[doc]
     # the usual load of a cell says nothing about a shingle
-    excess = np.maximum(often[order] - 2 * np.int64(np.median(sketch)) - 1, 0)
+    excess = np.maximum(often[order] - 2 * noise - 1, 0)
     upto = np.concatenate(([0], np.cumsum(excess)))
     best, matches = None, np.ones(len(n), np.int64)
     for m in range(1, MAX_MATCHES + 1):
@@ -155,9 +175,10 @@ def choose_prefix(grams: np.ndarray, offs: np.ndarray, sketch: np.ndarray) -> tu
     return order, rank, matches
 
 
-def _postings(docs: DataFrame, text_col: str, sketch: np.ndarray, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, text_col: str, sketch: np.ndarray, tasks: int, buckets: int) -> DataFrame:
     """Prefix postings with another node: token, h1, h2, n, matches, rank."""
     known = docs.sparkSession.sparkContext.broadcast(sketch)
+    noise = int(np.median(np.abs(sketch)))
     packed = ["tokens", "doc", "rank", "h1", "h2", "n", "matches"]
 
     def deal(batches):
@@ -166,7 +187,7 @@ def _postings(docs: DataFrame, text_col: str, sketch: np.ndarray, buckets: int)
                 grams, offs = shingle_sets(block)
                 h1, h2 = set_names(grams, offs)
                 n = np.diff(offs)
-                order, rank, matches = choose_prefix(grams, offs, known.value)
+                order, rank, matches = choose_prefix(grams, offs, known.value, noise)
                 doc = np.repeat(np.arange(len(n)), n)
                 # copies within the block post once
                 first = np.zeros(len(n), bool)
@@ -222,7 +243,7 @@ def _postings(docs: DataFrame, text_col: str, sketch: np.ndarray, buckets: int)
             yield from shared(held)
 
     dealt = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(deal, "bucket int, " + ", ".join(f"{c} binary" for c in packed))
-    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(gather, "token long, h1 long, h2 long, n int, matches int, rank int")
 
 
@@ -312,23 +333,46 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     return votes.groupBy("b").agg(F.max(F.struct("c", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
 
 
+def _need(a: str, b: str) -> Column:
+    """The overlap that sets of these sizes need."""
+    return F.ceil(PERCENT * (F.col(a) + F.col(b)) / (100 + PERCENT))
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+
+
+def _partner_classes() -> Column:
+    """Size classes of the sets with which a posting can be the first common shingle: sizes that allow similarity, and so small that what follows the posting is enough."""
+    n, left = F.col("n"), F.col("n") - F.col("rank")
+    least = F.ceil(PERCENT * n / 100)
+    most = F.least(F.floor(100 * n / PERCENT), F.floor((100 + PERCENT) * left / PERCENT) - n)
+    return F.when(most >= least, F.sequence(_size_class(least), _size_class(most))).otherwise(F.array().cast("array<int>"))
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs in different components that share as many prefix shingles as the larger set asks for."""
-    rows = rows.join(_majors(rows).select("token", "major"), "token")
-    left = rows.where("comp <> major").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "cap", "matches", "rank")))
-    right = rows.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "cap", "matches", "rank")), (F.col("comp") == F.col("major")).alias("y_major"))
+    """Pairs (a larger, b smaller) in different components that share as many prefix shingles as the larger set asks for."""
+    held = ("node", "comp", "n", "cap", "matches", "rank")
+    named = rows.join(_majors(rows).select("token", "major"), "token").withColumn("own", _size_class(F.col("n"))).withColumn("other", F.explode(_partner_classes()))
+    left = named.where("comp <> major").select("token", F.col("own").alias("x_class"), F.col("other").alias("y_class"), *(F.col(c).alias(f"x_{c}") for c in held))
+    right = named.select("token", F.col("other").alias("x_class"), F.col("own").alias("y_class"), *(F.col(c).alias(f"y_{c}") for c in held), (F.col("comp") == F.col("major")).alias("y_major"))
+    need = _need("x_n", "y_n")
+    first = (F.col("x_rank") <= F.col("x_n") - need) & (F.col("y_rank") <= F.col("y_n") - need)
+    once = (F.col("x_comp") != F.col("y_comp")) & (F.col("y_major") | (F.col("x_node") < F.col("y_node")))
+    keys = [left[c] == right[c] for c in ("token", "x_class", "y_class")]
+    pairs = left.join(right, keys[0] & keys[1] & keys[2] & once & _may_match("x_", "y_") & first)
+    # which member is x may differ from shingle to shingle
     larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") > F.col("y_node")))
     pick = lambda c, yes: F.when(larger if yes else ~larger, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))
-    m = pick("matches", True)
+    pairs = pairs.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("a_n"), pick("n", False).alias("b_n"), pick("matches", True).alias("m")).distinct()
     # the pair's own sizes give the overlap it needs, and so shorter prefixes than either needs for all partners
-    need = F.ceil(PERCENT * (F.col("x_n") + F.col("y_n")) / (100 + PERCENT))
-    reached = (F.col("x_rank") < F.col("x_n") - need + m) & (F.col("y_rank") < F.col("y_n") - need + m)
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("x_comp") != F.col("y_comp")) & (F.col("y_major") | (F.col("x_node") < F.col("y_node"))) & _may_match("x_", "y_") & reached)
-    # what follows the last shared shingle bounds the overlap; which member is x may differ from shingle to shingle
-    rest = F.least(*(F.first(pick("n", yes)) - F.max(pick("rank", yes)) for yes in (True, False))) - 1
-    counted = pairs.groupBy(pick("node", True).alias("a"), pick("node", False).alias("b")).agg(F.count("*").alias("c"), F.first(m).alias("m"), (F.count("*") + rest >= F.first(need)).alias("open"))
-    counted = counted.where("open")
-    return counted.where("c >= m").select("a", "b")
+    pairs = pairs.withColumn("need", _need("a_n", "b_n"))
+    of = lambda k: rows.select(F.col("node").alias(k), "token", F.col("rank").alias(f"{k}_rank"))
+    shared = pairs.join(of("a"), "a").where("a_rank < a_n - need + m").join(of("b"), ["b", "token"]).where("b_rank < b_n - need + m")
+    # what follows the last shared shingle bounds the overlap
+    rest = F.least(F.first("a_n") - F.max("a_rank"), F.first("b_n") - F.max("b_rank")) - 1
+    counted = shared.groupBy("a", "b").agg((F.count("*") >= F.first("m")).alias("enough"), (F.count("*") + rest >= F.first("need")).alias("open"))
+    return counted.where("enough and open").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +381,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = described.where("slice is null").select("id", "n", "h1", "h2")
     nodes = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("least_id"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    postings = _postings(docs, text_col, _sketch(described), partitions(docs.sparkSession))
+    tasks, shingles = partitions(docs.sparkSession), sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = tasks * max(1, -(-shingles // (BUCKET_SHINGLES * tasks)))
+    postings = _postings(docs, text_col, _sketch(described), tasks, buckets)
     every = stored(postings.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("token", "node", "n", "matches", "rank"), "postings")
     postings = stored(_bounded(every), "postings")
     drop(every)
