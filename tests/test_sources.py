@@ -1,8 +1,10 @@
 import gzip
+import io
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavelattice.sources import files, maps, matrices, waveset
 
@@ -12,17 +14,63 @@ def records(spark):
     return spark.createDataFrame(rows, "path string, rid long, row long, li long, gi long, px double, py double, pz double, ws long, wl long, data array<double>")
 
 
+def rows_of(table):
+    return sorted((r.rid, r.row, r.ws, r.wl, r.data, r.im) for r in table.collect())
+
+
 def test_waveform_sets_survive_a_round_trip(spark, tmp_path):
-    held = waveset.encode_set(records(spark), nsamp=10, f2c=7, tgc=[1.0, 2.0])
-    assert files.write_files(held, str(tmp_path)) == ["a"]
+    assert waveset.write_sets(records(spark), str(tmp_path), nsamp=10, f2c=7, tgc=[1.0, 2.0]) == 1
     back = waveset.read_records(spark, str(tmp_path / "a"))
-    key = lambda r: (r.rid, r.row)
-    got = [(r.rid, r.row, r.ws, r.wl, r.data) for r in sorted(back.collect(), key=key)]
-    assert got == [(r.rid, r.row, r.ws, r.wl, r.data) for r in sorted(records(spark).collect(), key=key)]
+    assert rows_of(back) == rows_of(records(spark).withColumn("im", F.lit(None)))
     head = waveset.read_sets(spark, str(tmp_path / "a")).first()
     assert (head.nsamp, head.f2c, head.nrx, head.ntx, head.tgc) == (10, 7, 2, 2, [1.0, 2.0])
-    assert [r.rid for r in waveset.channel_list(back).orderBy("rid").collect()] == [3, 5]
+    assert [r.rid for r in waveset.channel_list(waveset.read_records(spark, str(tmp_path / "a"), headers_only=True)).orderBy("rid").collect()] == [3, 5]
     assert waveset.gain_curves(waveset.read_sets(spark, str(tmp_path / "a"))).count() == 2
+    with pytest.raises(Exception, match="does not fit"):
+        waveset.write_sets(records(spark).where("rid = 3 or row = 0"), str(tmp_path))
+
+
+@pytest.mark.parametrize("code", ["C4", "C8"])
+def test_complex_samples_survive(spark, tmp_path, code):
+    held = records(spark).withColumn("im", F.transform("data", lambda v: -2 * v))
+    waveset.write_sets(held, str(tmp_path), typecode=code, compression="gzip" if code == "C4" else None)
+    assert rows_of(waveset.read_records(spark, str(tmp_path / "a"))) == rows_of(held)
+    (tmp_path / "m").mkdir()
+    waves = spark.createDataFrame([(0, 1, 8, 2, [1.0, 3.0], [2.0, 4.0]), (1, 1, 8, 0, [5.0], [6.0])], "t long, r long, nsamp long, dstart long, data array<double>, im array<double>")
+    assert files.write_files(maps.map_files(waves.coalesce(1), "<c8" if code == "C4" else "<c16"), str(tmp_path / "m")) == 1
+    back = maps.last_of_each(maps.read_maps(spark, str(tmp_path / "m")))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, waves.collect()))
+
+
+def test_sets_take_more_channels(spark, tmp_path):
+    waveset.write_sets(records(spark).where("rid = 5"), str(tmp_path), open_ended=True)
+    waveset.write_sets(records(spark).where("rid = 3"), str(tmp_path), append=True)
+    assert rows_of(waveset.read_records(spark, str(tmp_path / "a"))) == rows_of(records(spark).withColumn("im", F.lit(None)))
+    with pytest.raises(Exception, match="takes no such channels"):
+        waveset.write_sets(records(spark).where("row = 0"), str(tmp_path), append=True)
+    with pytest.raises(ValueError):
+        waveset.write_sets(records(spark), str(tmp_path), append=True, compression="gzip")
+
+
+class Counted(io.BytesIO):
+    n = 0
+
+    def read(self, size=-1):
+        out = super().read(size)
+        self.n += len(out)
+        return out
+
+
+def test_headers_are_read_without_the_samples():
+    raw = waveset.file_header("F8", 0, 5000, 4, 10) + b"".join(struct.pack("<3I3f2I", k, 0, 0, 1, 2, 3, 0, 5000) + bytes(8 * 50000) for k in range(4))
+    file = Counted(raw)
+    head, cursor = waveset.parse_header(file)
+    assert [r[0] for r in waveset.parse_records(head, cursor, headers_only=True)] == [0, 1, 2, 3] and file.n < len(raw) / 100
+    with pytest.raises(waveset.FormatError):
+        list(waveset.parse_records(*waveset.parse_header(raw[:-1]), headers_only=True))
+    data = maps.encode_map([(k, 0, 9000, 0, np.arange(9000.0)) for k in range(20)], "<f8")
+    file = Counted(data)
+    assert [t for t, *_ in maps.parse_map(file, keys_only=True)] == list(range(20)) and file.n < len(data) / 10
 
 
 def old_file(minor, rid=1):
@@ -104,6 +152,13 @@ def test_captures_matrices_and_spectral_groups(spark, tmp_path):
         matrices.spectral_groups(matrices.encode_spectral(groups)[:-32])
 
 
-def test_names():
+def test_names(spark, tmp_path):
+    for name in ("g.1-2.x", "g.10-3.x", "h.x"):
+        (tmp_path / name).write_text("1")
+    found = files.match_files(spark, [f"{tmp_path}/g*", f"{tmp_path}/h.x"])
+    assert [f.rpartition("/")[2] for f in found] == ["g.1-2.x", "g.10-3.x", "h.x"] and files.match_files(spark, [f"{tmp_path}/none*"], must=False) == []
+    with pytest.raises(FileNotFoundError):
+        files.match_files(spark, [f"{tmp_path}/none*"])
+    assert [r.numbers for r in files.numbered_files(files.listed(spark, str(tmp_path)), "g.", r"\.x", 2).collect()] == [[1, 2], [10, 3]]
     assert files.output_name("/a/b.x.gz", "/c", label="l") == "/c/b.l.x.gz"
     assert files.output_name("/a/b.x", None, "npz") == "/a/b.npz"

@@ -53,13 +53,88 @@ _GAUSS = tuple(np.array(x) for x in np.polynomial.legendre.leggauss(15))
 NODES, WEIGHTS = (_GAUSS[0] + 1) / 2, _GAUSS[1] / 2
 
 
-def path_integral(grid: np.ndarray, points: np.ndarray) -> tuple[float, np.ndarray]:
-    """Integral of a grid along a polyline (voxel units) and its derivative by the points."""
+def tricubic(grid: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and gradients by cubic convolution (Catmull-Rom) along each axis; beyond the edge the nearest value."""
+    top = np.array(grid.shape) - 1
+    p = np.clip(points, 0, top)
+    base = np.minimum(np.floor(p).astype(int), np.maximum(top - 1, 0))
+    f = (p - base)[:, :, None] ** np.arange(4)
+    # weights of the samples at -1, 0, 1, 2 as polynomials of the fraction
+    basis = np.array([[0, -0.5, 1, -0.5], [1, 0, -2.5, 1.5], [0, 0.5, 2, -1.5], [0, 0, -0.5, 0.5]])
+    w = f @ basis.T
+    dw = (f[:, :, :3] * np.arange(1, 4)) @ basis[:, 1:].T
+    value, slope = np.zeros(len(p)), np.zeros((len(p), 3))
+    for step in np.ndindex(4, 4, 4):
+        at = np.clip(base + np.array(step) - 1, 0, top)
+        v = grid[at[:, 0], at[:, 1], at[:, 2]]
+        own = [w[:, d, step[d]] for d in range(3)]
+        value += v * own[0] * own[1] * own[2]
+        for d in range(3):
+            slope[:, d] += v * dw[:, d, step[d]] * own[(d + 1) % 3] * own[(d + 2) % 3]
+    slope[(points < 0) | (points > top)] = 0
+    return value, slope
+
+
+def denoise_tv(grid: np.ndarray, weight: float = 0.1, steps: int = 200, tol: float = 2e-4) -> np.ndarray:
+    """Total-variation denoising of a volume by projections of the dual field (Chambolle 2004)."""
+    grid = np.asarray(grid, float)
+    dual, before = np.zeros((grid.ndim, *grid.shape)), None
+    out = grid
+    for step in range(steps):
+        flow = np.zeros_like(grid)
+        for axis in range(grid.ndim):
+            part = np.moveaxis(dual[axis], axis, 0)
+            inward = np.moveaxis(flow, axis, 0)
+            inward -= part
+            inward[1:] += part[:-1]
+        out = grid + flow
+        grad = np.zeros_like(dual)
+        for axis in range(grid.ndim):
+            np.moveaxis(grad[axis], axis, 0)[:-1] = np.diff(np.moveaxis(out, axis, 0), axis=0)
+        norm = np.sqrt((grad**2).sum(axis=0))
+        energy = ((flow**2).sum() + weight * norm.sum()) / grid.size
+        rate = 1 / (2 * grid.ndim)
+        dual = (dual - rate * grad) / (1 + rate * norm / weight)
+        if before is not None and abs(before - energy) < tol * max(first, 1e-300):
+            break
+        first, before = (energy if step == 0 else first), energy
+    return out
+
+
+def first_arrivals(slowness: np.ndarray, source: np.ndarray, tol: float = 1e-9, rounds: int = 10_000) -> np.ndarray:
+    """Field of first-arrival times from a point (voxel units): the upwind eikonal equation, all voxels at once until nothing changes."""
+    near = np.indices(slowness.shape).reshape(3, -1).T - np.asarray(source, float)
+    time = np.full(slowness.shape, np.inf)
+    # around the source the medium is taken as even
+    close = np.abs(near).max(axis=1) <= 1.5
+    local = trilinear(slowness, np.asarray(source, float)[None])[0][0]
+    time.reshape(-1)[close] = np.linalg.norm(near[close], axis=1) * (local + slowness.reshape(-1)[close]) / 2
+    fixed = close.reshape(slowness.shape)
+    for _ in range(rounds):
+        padded = np.pad(time, 1, constant_values=np.inf)
+        low = np.sort([np.minimum(*(padded[tuple(slice(1 + (s if a == d else 0), padded.shape[a] - 1 + (s if a == d else 0)) for a in range(3))] for s in (-1, 1))) for d in range(3)], axis=0)
+        with np.errstate(invalid="ignore"):
+            new = low[0] + slowness
+            for k in (2, 3):
+                mean = low[:k].sum(axis=0) / k
+                root = mean**2 - ((low[:k] ** 2).sum(axis=0) - slowness**2) / k
+                candidate = mean + np.sqrt(np.maximum(root, 0))
+                new = np.where((root >= 0) & (new > low[k - 1]), np.minimum(new, candidate), new)
+        new = np.where(fixed, time, np.minimum(time, new))
+        changed = new < time - tol
+        time = new
+        if not changed.any():
+            break
+    return time
+
+
+def path_integral(grid: np.ndarray, points: np.ndarray, sample=None) -> tuple[float, np.ndarray]:
+    """Integral of a grid along a polyline (voxel units) and its derivative by the points; sample: points -> values and gradients, if not linear."""
     a, b = points[:-1], points[1:]
     d = b - a
     length = np.linalg.norm(d, axis=1)
     at = a[:, None, :] + NODES[None, :, None] * d[:, None, :]
-    value, slope = trilinear(grid, at.reshape(-1, 3))
+    value, slope = trilinear(grid, at.reshape(-1, 3)) if sample is None else sample(at.reshape(-1, 3))
     value, slope = value.reshape(len(a), -1), slope.reshape(len(a), -1, 3)
     mean = value @ WEIGHTS
     unit = d / np.maximum(length, 1e-300)[:, None]
@@ -104,10 +179,29 @@ def minimise(f, x: np.ndarray, steps: int = 60, memory: int = 8, tol: float = 1e
     return x, value
 
 
-def bent_path(grid: np.ndarray, points: np.ndarray, segments: int = 16, tol: float = 1e-6) -> tuple[np.ndarray, float]:
+def adaptive_integral(f, start: np.ndarray, end: np.ndarray, atol: float = 1e-6, rtol: float = 1e-6, depth: int = 30) -> tuple[float, float]:
+    """Integral of f (points -> values) over a segment and its error: intervals are halved until 15 points agree with the same on both halves."""
+    d = np.asarray(end, float) - start
+    length = float(np.linalg.norm(d))
+    total = error = 0.0
+    todo, level = [(0.0, 1.0)], 0
+    while todo and length:
+        a, b = np.array(todo).T
+        values = lambda lo, hi: f(start + (lo[:, None] + (hi - lo)[:, None] * NODES).reshape(-1, 1) * d).reshape(len(lo), -1) @ WEIGHTS * (hi - lo) * length
+        middle = (a + b) / 2
+        whole, halves = values(a, b), values(a, middle) + values(middle, b)
+        gap = np.abs(whole - halves)
+        done = (gap <= np.maximum(atol * (b - a), rtol * np.abs(halves))) | (level >= depth)
+        total, error = total + float(halves[done].sum()), error + float(gap[done].sum())
+        todo = [x for lo, m, hi in zip(a[~done], middle[~done], b[~done], strict=True) for x in ((lo, m), (m, hi))]
+        level += 1
+    return total, error
+
+
+def bent_path(grid: np.ndarray, points: np.ndarray, segments: int = 16, tol: float = 1e-6, sample=None) -> tuple[np.ndarray, float]:
     """A path of least integral between fixed ends: bisect all segments and optimise until that gains little."""
     points = np.asarray(points, float)
-    best, _ = path_integral(grid, points)
+    best, _ = path_integral(grid, points, sample)
     while len(points) - 1 < segments:
         middle = (points[:-1] + points[1:]) / 2
         points = np.insert(points, np.arange(1, len(points)), middle, axis=0)
@@ -115,7 +209,7 @@ def bent_path(grid: np.ndarray, points: np.ndarray, segments: int = 16, tol: flo
 
         def f(x, ends=ends):
             whole = np.concatenate((ends[:1], x.reshape(-1, 3), ends[1:]))
-            value, g = path_integral(grid, whole)
+            value, g = path_integral(grid, whole, sample)
             return value, g[1:-1].ravel()
 
         inner, value = minimise(f, points[1:-1].ravel())

@@ -47,21 +47,46 @@ def wave_paths(elements: DataFrame, reflectors: DataFrame, radius: float = 0.0)
     return rows.select("e", "f", (length - radius).alias("distance"), F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))).alias("angle"))
 
 
-def surface_points(arrivals: DataFrame, elements: DataFrame, reflectors: DataFrame, speed: float, reach: float = 1.5, group: int | None = None) -> DataFrame:
-    """e, f, x, y, z, depth: the point where the ray to a reflector meets the surface, distance - time * speed / 2 along it.
+def surface_points(arrivals: DataFrame, elements: DataFrame, reflectors: DataFrame, speed: float, reach: float | None = 1.5, group: int | None = None, radius: float | None = None, use_miss: bool = False, at_least_radius: bool = False) -> DataFrame:
+    """e, f, x, y, z, depth: the point where the ray from a reflector to an element meets the surface.
 
-    Points beyond the reflector are left out, and outliers of depth by reflector (and group of elements).
+    depth is the distance from the reflector's centre, distance - time * speed / 2 (a reflector's
+    own ``c`` and ``radius`` stand first); points beyond the element are left out, and outliers
+    of depth by reflector (and group of elements).  With use_miss an element without a time has
+    its point at the radius; with at_least_radius no point lies within it.
     """
     from .pairs import within_quartiles
 
-    far = reflectors.select(F.col("e").alias("f"), *(F.col(c).alias(f"f{c}") for c in "xyz"))
-    rows = arrivals.select(F.col("t").alias("e"), F.col("r").alias("f"), "time").join(elements, "e").join(far, "f")
+    own = lambda name, value: F.coalesce(name, F.lit(value)) if name in reflectors.columns else F.lit(value)
+    far = reflectors.select(F.col("e").alias("f"), *(F.col(c).alias(f"f{c}") for c in "xyz"), own("c", speed).cast("double").alias("_c"), own("radius", radius).cast("double").alias("_r"))
+    times = arrivals.select(F.col("t").alias("e"), F.col("r").alias("f"), "time")
+    if use_miss:
+        if reflectors.count() > 100_000:
+            raise ValueError("too many reflectors to pair with every element")
+        rows = elements.join(F.broadcast(far)).join(times, ["e", "f"], "left")
+    else:
+        rows = times.join(elements, "e").join(far, "f")
     d = [F.col(f"f{c}") - F.col(c) for c in "xyz"]
-    rows = rows.withColumn("ll", norm(*d)).withColumn("depth", F.col("ll") - F.col("time") * speed / 2).where("depth <= ll and depth >= 0 and ll > 0")
+    rows = rows.withColumn("ll", norm(*d))
+    depth = F.col("ll") - F.col("time") * F.col("_c") / 2
+    if at_least_radius:
+        depth = F.when(F.col("time").isNotNull(), F.greatest(depth, F.col("_r")))
+    rows = rows.withColumn("depth", F.coalesce(depth, F.col("_r")) if use_miss else depth).where("depth <= ll and depth >= 0 and ll > 0")
     place = [F.col(f"f{c}") - (F.col(f"f{c}") - F.col(c)) * F.col("depth") / F.col("ll") for c in "xyz"]
     rows = rows.select("e", "f", *(p.alias(c) for p, c in zip(place, "xyz", strict=True)), "depth")
     by = [F.col("f")] + ([F.floor(F.col("e") / group)] if group else [])
-    return within_quartiles(rows, "depth", by, reach)
+    return rows if reach is None else within_quartiles(rows, "depth", by, reach)
+
+
+def flattened(points: DataFrame, flat: float = 1e-8) -> DataFrame:
+    """Points (e, f, x, y, z) with u, v, their places in a plane: x and y of a flat surface, else seen from above its middle, from as far over it as it is high."""
+    sums = points.groupBy(F.col("f").alias("_f")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.min("z").alias("lo"), F.max("z").alias("hi"))
+    rows = points.join(sums, F.col("f") == F.col("_f"))
+    eye = 2 * F.col("hi") - F.col("lo")
+    even = F.col("hi") - F.col("lo") <= flat * (1 + F.abs("hi"))
+    scale = (F.col("lo") - eye) / (F.col("z") - eye)
+    place = lambda c, m: F.when(even, F.col(c)).otherwise(F.col(m) + scale * (F.col(c) - F.col(m)))
+    return rows.select(*points.columns, place("x", "mx").alias("u"), place("y", "my").alias("v"))
 
 
 def triangulate(points: DataFrame, key: str = "f") -> DataFrame:
@@ -79,20 +104,26 @@ def triangulate(points: DataFrame, key: str = "f") -> DataFrame:
 _CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
 
 
-def triangle_cells(tris: DataFrame, lo, size: float, shape) -> DataFrame:
-    """tri, corners, i, j, k: the voxels of each triangle's bounding box, inside the grid."""
+def _box_range(d: int, lo, size: float, shape) -> tuple[Column, Column]:
+    """First and last voxel of a triangle's bounding box along an axis, inside the grid; first > last where it is outside."""
+    corners = [F.col(f"{p}{'xyz'[d]}") for p in "abc"]
+    first = F.greatest(F.floor((F.least(*corners) - lo[d]) / size), F.lit(0))
+    return first, F.least(F.floor((F.greatest(*corners) - lo[d]) / size), F.lit(shape[d] - 1))
+
+
+def triangle_cells(tris: DataFrame, lo, size: float, shape, axes: str = "ijk") -> DataFrame:
+    """tri, corners, i, j, k: the voxels (or columns of voxels) of each triangle's bounding box, inside the grid."""
     out = tris
-    for d, c in enumerate("xyz"):
-        corners = [F.col(f"{p}{c}") for p in "abc"]
-        first = F.greatest(F.floor((F.least(*corners) - lo[d]) / size), F.lit(0))
-        last = F.least(F.floor((F.greatest(*corners) - lo[d]) / size), F.lit(shape[d] - 1))
-        out = out.withColumn("ijk"[d], F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    for axis in axes:
+        first, last = _box_range("ijk".index(axis), lo, size, shape)
+        out = out.withColumn(axis, F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     return out
 
 
 def depth_map(tris: DataFrame, lo, size: float, shape) -> DataFrame:
     """i, j, depth: the least k of a voxel that a triangle's box overlaps."""
-    return triangle_cells(tris, lo, size, shape).groupBy("i", "j").agg(F.min("k").alias("depth"))
+    first, last = _box_range(2, lo, size, shape)
+    return triangle_cells(tris.where(last >= first), lo, size, shape, "ij").groupBy("i", "j").agg(F.min(first).alias("depth"))
 
 
 def depth_mask(spark, depths: DataFrame, shape, top: int | None = None) -> DataFrame:

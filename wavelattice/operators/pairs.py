@@ -28,10 +28,65 @@ def exclude_pairs(waves: DataFrame, unwanted: DataFrame) -> DataFrame:
     return waves.join(pairs, PAIR, "left_anti")
 
 
+#: Bins of a histogram in a selection by rank, and rows that may come to the driver.
+BINS, FEW = 1024, 4096
+
+
+def values_at(rows: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """The values of some ranks (0 first) among all that are not null, exactly, without one task that sees them all.
+
+    Histograms between the least and the largest value of a bin narrow the place of each rank
+    until few rows are left there, or equal ones only.  The rows are read a few times.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.where(v.isNotNull()).select(v.alias("v"))
+    n, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n or any(not 0 <= k < n for k in ranks):
+        raise ValueError("a rank is outside the rows")
+    found: dict[int, float] = {}
+    todo = [(lo, hi, 0, n, sorted(set(ranks)))]
+    while todo:
+        lo, hi, below, n, wanted = todo.pop()
+        part = rows.where(F.col("v").between(lo, hi))
+        if lo == hi or n <= FEW:
+            held = [lo] * n if lo == hi else sorted(r.v for r in part.collect())
+            found |= {k: held[k - below] for k in wanted}
+            continue
+        step = F.floor((F.col("v") - lo) / ((hi - lo) / BINS))
+        bins = part.groupBy(step.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # BINS + 1 rows
+        if len(bins) == 1:  # too close for their difference to tell them apart
+            bins = part.groupBy("v").agg(F.count("*").alias("n")).select("n", F.col("v").alias("lo"), F.col("v").alias("hi")).collect()
+        for b in sorted(bins, key=lambda b: b.lo):
+            if own := [k for k in wanted if below <= k < below + b.n]:
+                todo.append((b.lo, b.hi, below, b.n, own))
+            below += b.n
+    return [found[k] for k in ranks]
+
+
+def exact_quantiles(rows: DataFrame, value: str, shares: list[float]) -> list[float] | None:
+    """Quantiles with linear interpolation; None without rows."""
+    n = rows.where(F.col(value).isNotNull()).count()
+    if not n:
+        return None
+    at = [q * (n - 1) for q in shares]
+    ends = values_at(rows, value, [k for x in at for k in (int(x), min(int(x) + 1, n - 1))])
+    return [a + (x - int(x)) * (b - a) for x, a, b in zip(at, ends[::2], ends[1::2], strict=True)]
+
+
 def random_pairs(waves: DataFrame, share: float, seed: int) -> DataFrame:
-    """A share (at most 1), or a number of rows, drawn without replacement, the same for the same seed."""
-    n = int(share) if share > 1 else int(waves.count() * share)
-    return waves.orderBy(F.xxhash64(F.lit(seed), *PAIR), *PAIR).limit(n)
+    """A share (at most 1), or a number of rows, drawn without replacement, the same for the same seed: those of the smallest hashes."""
+    from .tomography import written
+
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *PAIR), 11)  # as many bits as a double holds
+    keyed = written(waves.withColumn("_draw", draw), "drawn")
+    total = keyed.count()
+    n = min(total, int(share) if share > 1 else int(total * share))
+    if not n:
+        return waves.limit(0)
+    last = int(values_at(keyed, "_draw", [n - 1])[0])
+    sure = keyed.where(F.col("_draw") < last)
+    ties = keyed.where(F.col("_draw") == last).orderBy(*PAIR).limit(n - sure.count())  # rows of one hash
+    return sure.unionByName(ties).drop("_draw")
 
 
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
@@ -71,6 +126,23 @@ def reciprocal_average(waves: DataFrame) -> DataFrame:
     return rows.select(*PAIR, start.alias("dstart"), A.scale(data, 0.5).alias("data"))
 
 
+def aligned_average(waves: DataFrame, osamp: int, clip: bool = False) -> DataFrame:
+    """t, r, nsamp, dstart, data: mean of both directions, each moved half of their delay towards the other; clip: cut to the union of their windows."""
+    from ..functions import kernels as K
+    from ..functions import spectral as S
+
+    rows = reciprocal_pairs(waves, F.struct("nsamp", "dstart", "data"))
+    rows = rows.select(*PAIR, F.greatest("fwd.nsamp", "rev.nsamp").alias("nsamp"), *(F.col(f"{w}.{c}").alias(f"{w}_{c}") for w in ("fwd", "rev") for c in ("dstart", "data")))
+
+    def kernel(n, a0, a, b0, b):
+        half = K.find_delay(a, a0, b, b0, osamp)[0] / 2
+        mean = (K.delay_by(a, a0, n, -half) + K.delay_by(b, b0, n, half)) / 2
+        lo, hi = (max(0, min(a0, b0)), min(n, max(a0 + len(a), b0 + len(b)))) if clip else (0, n)
+        return n, lo, mean[lo:hi]
+
+    return S.apply(rows, ["nsamp", "fwd_dstart", "fwd_data", "rev_dstart", "rev_data"], {"nsamp": "long", "dstart": "long", "data": "array<double>"}, kernel)
+
+
 def common_arrivals(tables: list[DataFrame]) -> DataFrame:
     """t, r, times: the keys that all targets have, values in target order."""
     rows = reduce(lambda a, b: a.join(b, PAIR), [t.select(*PAIR, F.col("time").alias(f"_{k}")) for k, t in enumerate(tables)])
@@ -103,14 +175,17 @@ def within_quartiles(rows: DataFrame, value: str, by: list | None = None, reach:
     The quartiles are exact, by group or of all rows (of another table if given).
     """
     base = of if of is not None else rows
+    if not by:
+        # numbers, found without one task that sees all rows
+        found = exact_quantiles(base, value, [0.25, 0.75])
+        if found is None:
+            return rows.limit(0)
+        lo, hi = found
+        return rows.where(F.col(value).between(lo - reach * (hi - lo), hi + reach * (hi - lo)))
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q")
-    if by:
-        names = [f"_g{k}" for k in range(len(by))]
-        keyed = lambda d: d.withColumns(dict(zip(names, by, strict=True)))
-        rows = keyed(rows).join(keyed(base).groupBy(*names).agg(q), names)
-    else:
-        names = []
-        rows = rows.crossJoin(F.broadcast(base.agg(q)))  # one row
+    names = [f"_g{k}" for k in range(len(by))]
+    keyed = lambda d: d.withColumns(dict(zip(names, by, strict=True)))
+    rows = keyed(rows).join(keyed(base).groupBy(*names).agg(q), names)
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     return rows.where((F.col(value) >= lo - reach * (hi - lo)) & (F.col(value) <= hi + reach * (hi - lo))).drop("_q", *names)
 
@@ -122,12 +197,15 @@ def clean_arrivals(arrivals: DataFrame, senders: DataFrame, receivers: DataFrame
     every stride-th valid row; outliers of speed against the quartiles of all valid rows.
     """
     from .rolling import every_nth
+    from .tomography import written
 
     rows = arrivals if with_backscatter else arrivals.where("t <> r")
     rows = with_endpoints(rows, senders, receivers).withColumn("speed", distance() / F.col("time"))
     if speeds:
         rows = rows.where((F.col("t") == F.col("r")) | F.col("speed").between(*speeds))
     valid = rows.select(*PAIR, "time", "speed")
+    if reach is not None:
+        valid = written(valid, "valid")  # read for the quartiles and for the rows
     taken = valid if stride == 1 and not start else every_nth(valid, PAIR, start, stride)
     return taken if reach is None else within_quartiles(taken, "speed", reach=reach, of=valid)
 

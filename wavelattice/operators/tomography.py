@@ -8,12 +8,15 @@ executor costs one step.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rays
@@ -24,10 +27,24 @@ PAIR = ["t", "r"]
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows stored in the folder of spark.checkpoint.dir (our own where that is unset) and read again."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wavelattice-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="wavelattice-")
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def unwritten(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing will read again."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def voxel_id(i: Column, j: Column, k: Column, shape: tuple[int, int, int]) -> Column:
@@ -102,28 +119,19 @@ def free_in_mask(mask: DataFrame) -> DataFrame:
 
 def free_pieces(masks: DataFrame, shape: tuple[int, int, int] | None = None, offset: int = 0) -> DataFrame:
     """masks (name, vid, w): an unknown a name in sorted order; 'unconstrained' has one a voxel, 'unconstrained_D<n>' one a cube of n voxels."""
-    names = [r.name for r in masks.select("name").distinct().orderBy("name").limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("too many named pieces")
-    out, base = None, offset
-    for name in names:
-        own = masks.where(F.col("name") == name)
-        if name.startswith("unconstrained"):
-            n = int(name.rpartition("_D")[2]) if "_D" in name else 1
-            if n > 1:
-                i, j, k = (F.floor(c / n) for c in voxel_place(F.col("vid"), shape))
-                own = own.withColumn("cell", voxel_id(i, j, k, tuple(-(-s // n) for s in shape)))
-                span = int(np.prod([-(-s // n) for s in shape]))
-            else:
-                own = own.withColumn("cell", F.col("vid"))
-                span = int(np.prod(shape))
-            part = own.select("vid", (F.col("cell") + base).alias("pid"), "w")
-            base += span
-        else:
-            part = own.select("vid", F.lit(base).cast("long").alias("pid"), "w")
-            base += 1
-        out = part if out is None else out.unionByName(part)
-    return out
+    side = F.coalesce(F.nullif(F.regexp_extract("name", r"^unconstrained.*_D([0-9]+)$", 1), F.lit("")).cast("long"), F.when(F.col("name").startswith("unconstrained"), F.lit(1)))
+    names = masks.select("name").distinct().withColumn("side", side)
+    cells = [F.ceil(F.lit(s) / F.col("side")) for s in shape] if shape else [F.lit(None).cast("long")] * 3
+    span = F.when(F.col("side").isNull(), F.lit(1)).otherwise(cells[0] * cells[1] * cells[2])
+    # a row a name
+    before = F.coalesce(F.sum(span).over(W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    names = names.select(F.col("name").alias("_name"), "side", (before + offset).alias("base"))
+    rows = masks.join(names, F.col("name") == F.col("_name"))
+    if not shape:
+        return rows.select("vid", F.col("base").cast("long").alias("pid"), "w")
+    i, j, k = (F.floor(c / F.col("side")) for c in voxel_place(F.col("vid"), shape))
+    cell = (i * cells[1] + j) * cells[2] + k
+    return rows.select("vid", (F.col("base") + F.when(F.col("side").isNull(), F.lit(0)).otherwise(cell)).cast("long").alias("pid"), "w")
 
 
 def expand(free: DataFrame, x: DataFrame) -> DataFrame:
@@ -259,40 +267,86 @@ def least_squares(matrix: DataFrame, rhs: DataFrame, iterations: int = 50, tol:
         back = matrix.join(q, "row").groupBy("col").agg(F.sum(F.col("w") * F.col("q")).alias("u"))
         moved = state.join(back, "col", "left").select("col", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("s") - alpha * (F.coalesce("u", F.lit(0.0)) + damp * F.col("p"))).alias("s"), "p")
         moved = written(moved, "state")
+        unwritten(q)
         new = _total(moved, F.col("s") * F.col("s"))
         state = moved.withColumn("p", F.col("s") + (new / gamma) * F.col("p"))
         gamma = new
     return state.select("col", "x")
 
 
-def straight_ray_inversion(paths: DataFrame, observed: DataFrame, voxels: DataFrame, epochs: int = 1, least: float = 1e-3, damp: float = 0.0, iterations: int = 30) -> DataFrame:
-    """vid, v: the change that fits the times along fixed paths, with columns scaled to like norms."""
+def straight_ray_inversion(paths: DataFrame, observed: DataFrame, voxels: DataFrame, epochs: int = 1, least: float = 1e-3, damp: float = 0.0, iterations: int = 30, smooth: Callable[[DataFrame], DataFrame] | None = None, save: str | None = None) -> DataFrame:
+    """vid, v: the change that fits the times along fixed paths, with columns scaled to like norms.
+
+    smooth: what becomes of the change after each epoch (``denoised``, say); save: a folder that
+    gets each epoch's change, by epoch.
+    """
     change = voxels.select("vid", F.lit(0.0).alias("v"))
+    paths = written(paths.select(*PAIR, "vid", "len"), "paths")
     matrix = paths.select(F.struct(*PAIR).alias("row"), F.col("vid").alias("col"), F.col("len").alias("w"))
-    norms = column_norms(matrix, least)
-    scaled = matrix.join(norms, "col").select("row", "col", (F.col("w") / F.col("norm")).alias("w"))
-    for _ in range(epochs):
+    norms = written(column_norms(matrix, least), "norms")
+    scaled = written(matrix.join(norms, "col").select("row", "col", (F.col("w") / F.col("norm")).alias("w")), "scaled")
+    for epoch in range(epochs):
         errors = residuals(paths, perturb(voxels, change), observed)
         rhs = errors.select(F.struct(*PAIR).alias("row"), (-F.col("err")).alias("b"))
         x = least_squares(scaled, rhs, iterations, damp=damp).join(norms, "col").select(F.col("col").alias("vid"), (F.col("x") / F.col("norm")).alias("v"))
-        change = written(perturb(change, x), "change")
+        change = perturb(change, x)
+        change = written(smooth(change) if smooth else change, "change")
+        if save:
+            save_epoch(change, save, epoch)
+    unwritten(scaled, norms)
     return change
 
 
-def two_medium_speeds(rows: DataFrame, eps: float = 1e-3, background: float | None = None) -> DataFrame:
+def denoised(volume: DataFrame, shape: tuple[int, int, int], weight: float = 0.1, steps: int = 200) -> DataFrame:
+    """Total-variation denoising of a volume (vid, v) of at most ``DENSE`` voxels, which one task holds; voxels without a value count as 0 and stay without."""
+    if int(np.prod(shape)) > DENSE:
+        raise ValueError("the volume is too large for one task")
+
+    def run(batches):
+        grid, vids = np.zeros(int(np.prod(shape))), []
+        for batch in batches:
+            vids.append(batch.column(0).to_numpy())
+            grid[vids[-1]] = batch.column(1).to_numpy()
+        if vids:
+            vid = np.concatenate(vids)
+            out = rays.denoise_tv(grid.reshape(shape), weight, steps).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(vid, pa.int64()), pa.array(out[vid])], names=["vid", "v"])
+
+    return volume.select("vid", "v").coalesce(1).mapInArrow(run, "vid long, v double")
+
+
+#: Voxels of a volume that one task may hold (128 MB).
+DENSE = 16 << 20
+
+
+def save_epoch(volume: DataFrame, folder: str, epoch: int, smooth: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """A volume as single precision under folder/epoch=<n>, in place of what an earlier try left there."""
+    rows = smooth(volume) if smooth else volume
+    rows.select("vid", F.col("v").cast("float").alias("v")).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+
+def two_medium_speeds(rows: DataFrame, eps: float = 1e-3, background: float | None = None, fixed: bool = False) -> DataFrame:
     """One row: exterior speed, interior speed, n hits, n misses, of rows (exlen, inlen, time).
 
-    Hits have inlen > eps * exlen.  The exterior speed is fixed, or (t . x) / (t . t) ... of the
-    misses' lengths and times; the interior one fits what remains of the hits' times.
+    Hits have inlen > eps * exlen.  The exterior speed is (t . x) / (t . t) of the misses'
+    lengths and times, or the background if that is fixed or there are no misses; the interior
+    one fits what remains of the hits' times.
     """
     hit = F.abs("inlen") > eps * F.abs("exlen")
     t, x = F.col("time"), F.col("exlen")
     sums = rows.agg(F.sum(F.when(~hit, t * x)).alias("tx"), F.sum(F.when(~hit, t * t)).alias("tt"), F.count(F.when(hit, 1)).alias("hits"), F.count(F.when(~hit, 1)).alias("misses"))
-    c = F.lit(background) if background is not None else F.col("tx") / F.col("tt")
-    out = rows.crossJoin(F.broadcast(sums.withColumn("exspd", c)))  # one row
+    c = F.lit(background).cast("double") if fixed else F.coalesce(F.col("tx") / F.col("tt"), F.lit(background).cast("double"))
+    sums = sums.select(c.alias("exspd"), "hits", "misses")
+    out = rows.crossJoin(F.broadcast(sums))  # one row
     rest = t - x / F.col("exspd")
-    fits = out.where(hit).agg(F.first("exspd").alias("exspd"), (F.sum(rest * F.col("inlen")) / F.sum(rest * rest)).alias("inspd"), F.first("hits").alias("hits"), F.first("misses").alias("misses"))
-    return fits
+    fits = out.where(hit).agg((F.sum(rest * F.col("inlen")) / F.sum(rest * rest)).alias("inspd"))
+    return sums.crossJoin(fits).select("exspd", "inspd", "hits", "misses")
+
+
+def path_speeds(rows: DataFrame, exspd: float, eps: float = 1e-3, keys=PAIR) -> DataFrame:
+    """keys, inspd: the interior speed along each path of its own; 0 where next to no time is left for the interior."""
+    rest = F.col("time") - F.col("exlen") / exspd
+    return rows.where(F.abs("inlen") > eps * F.abs("exlen")).select(*keys, F.when(F.abs(rest) > eps, F.col("inlen") / rest).otherwise(0.0).alias("inspd"))
 
 
 def joint_speeds(rows: DataFrame, start: float, eps: float = 1e-3) -> DataFrame:
@@ -306,4 +360,15 @@ def joint_speeds(rows: DataFrame, start: float, eps: float = 1e-3) -> DataFrame:
 
 
 def speed_statistics(rows: DataFrame, value: str) -> DataFrame:
-    return rows.agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n"))
+    """One row: mean, median, sd, n."""
+    from .pairs import exact_quantiles
+
+    middle = exact_quantiles(rows, value, [0.5])
+    return rows.agg(F.avg(value).alias("mean"), F.lit(middle[0] if middle else None).cast("double").alias("median"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n"))
+
+
+def save_speeds(folder: str, speeds: DataFrame, paths: DataFrame | None = None, eps: float = 1e-3) -> None:
+    """Speeds, and the paths (t, r, exlen, inlen, time) with whether they hit the interior, under a folder."""
+    speeds.coalesce(1).write.mode("overwrite").json(f"{folder}/speeds")
+    if paths is not None:
+        paths.withColumn("hit", F.abs("inlen") > eps * F.abs("exlen")).write.mode("overwrite").partitionBy("hit").parquet(f"{folder}/paths")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import geometry, locate, tomography
+from ..config import Config
+from ..operators import geometry, locate, models, tomography
 from . import bindings as B
 
 QUERIES: dict = {}
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-SHAPE = (8, 8, 8)
+SHAPE, ORIGIN = (8, 8, 8), (0.0, 0.0, 0.0)
 #: One path a line item: voxels by its keys, lengths by its quantity; times by its price.
 _PATHS = "paths as (select l_suppkey as t, l_partkey as r, (l_orderkey % 512)::bigint as vid, sum(l_quantity) / 10 as len from lineitem group by 1, 2, 3)"
 _VOXELS = "voxels as (select unnest(range(0, 512))::bigint as vid, 1 + (unnest(range(0, 512)) % 7) / 10.0 as v)"
@@ -53,11 +54,11 @@ def hit_map(spark, sf_dir):
     return tomography.hit_map(_paths(spark, sf_dir)).select("vid", "hits", F.round("len", 3).alias("len"))
 
 
-@query("cost_gradient", _ERR + " select vid, round(sum(len * err), 3) as g from paths join err using (t, r) group by vid")
+@query("cost_gradient", _ERR + " select vid, round(sum(len * err), 6) as g from paths join err using (t, r) group by vid")
 def cost_gradient(spark, sf_dir):
     paths = _paths(spark, sf_dir)
     errors = tomography.residuals(paths, _voxels(spark, sf_dir), _observed(spark, sf_dir))
-    return tomography.gradient(paths, errors).select("vid", F.round("g", 3).alias("g"))
+    return tomography.gradient(paths, errors).select("vid", F.round("g", 6).alias("g"))
 
 
 @query("cost_summary", _ERR + " select round(sum(err * err) / 2, 2) as cost, round(sqrt(avg(err * err)), 6) as rmse, count(*)::bigint as n from err where abs(err) <= 8")
@@ -72,42 +73,49 @@ def column_norms(spark, sf_dir):
     return tomography.column_norms(rows, 0.8).select("col", F.round("norm", 5).alias("norm"))
 
 
-@query("masked_perturb", f"with {_VOXELS}, x as (select vid, (vid % 5) / 10.0 - 0.2 as d from voxels where vid % 3 = 0) select vid, round((case when d is null then v else least(greatest(v + d, 0.95), 1.5) end)::double, 6) as v from voxels left join x using (vid)")
+@query("masked_perturb", B.sql("also x as (select vid, (vid % 5) / 10.0 - 0.2 as d from voxels where vid % 3 = 0) select vid, round((case when d is null then v else least(greatest(v + d, -0.5), 0.5) end)::double, 6) as v from voxels left join x using (vid)", "voxels"))
 def masked_perturb(spark, sf_dir):
-    voxels = _voxels(spark, sf_dir)
+    voxels, _ = B.voxels(spark, sf_dir)
     free = tomography.free_in_mask(voxels.select("vid", (F.col("vid") % 3 == 0).alias("free")))
     x = free.select("pid", ((F.col("pid") % 5) / 10 - 0.2).alias("x"))
-    change = tomography.clip_change(voxels, tomography.expand(free, x), 0.95, 1.5)
+    change = tomography.clip_change(voxels, tomography.expand(free, x), -0.5, 0.5)
     return tomography.perturb(voxels, change).select("vid", F.round("v", 6).alias("v"))
 
 
-@query("piecewise_spmv", """with grid as (select unnest(range(0, 512))::bigint as vid), basis as (
-select vid, 0::bigint as pid, 0.5 as w from grid where vid < 100 union all select vid, 1::bigint, 1.0 from grid where vid between 80 and 200
-union all select vid, ((vid // 64 // 2) * 4 + (vid // 8 % 8) // 2) * 4 + (vid % 8) // 2 + 2, 2.0 from grid where vid >= 300)
-select vid, round(sum(w * (pid % 9 + 1))::double, 6) as v from basis group by vid""")
+#: Voxels by slab: a piece each of two sets of slabs that overlap, cubes of two voxels, and single voxels.
+_MASKS = """also masks as (select 'a' as name, vid, 0.5::double as w from voxels where vid // 64 % 5 = 0 union all select 'b', vid, 1.0 from voxels where vid // 64 % 5 in (0, 1)
+union all select 'unconstrained', vid, 1.0 from voxels where vid // 64 % 5 = 4 union all select 'unconstrained_D2', vid, 2.0 from voxels where vid // 64 % 5 in (2, 3)),
+size as (select max(vid) + 1 as n from voxels),
+basis as (select vid, w, (case name when 'a' then 0 when 'b' then 1 when 'unconstrained' then 2 + vid else 2 + n + ((vid // 64 // 2) * 4 + (vid // 8 % 8) // 2) * 4 + (vid % 8) // 2 end)::bigint as pid from masks, size)"""
+
+
+def _free(spark, sf_dir):
+    voxels, shape = B.voxels(spark, sf_dir)
+    slab = F.floor(F.col("vid") / 64) % 5
+    part = lambda name, rule, w: voxels.where(rule).select(F.lit(name).alias("name"), "vid", F.lit(w).alias("w"))
+    masks = part("a", slab == 0, 0.5).unionByName(part("b", slab <= 1, 1.0)).unionByName(part("unconstrained", slab == 4, 1.0)).unionByName(part("unconstrained_D2", (slab == 2) | (slab == 3), 2.0))
+    return tomography.free_pieces(masks, shape), voxels
+
+
+@query("piecewise_spmv", B.sql(f"{_MASKS} select vid, round(sum(w * (pid % 9 + 1))::double, 6) as v from basis group by vid", "voxels"))
 def piecewise_spmv(spark, sf_dir):
-    grid = spark.range(512).select(F.col("id").alias("vid"))
-    part = lambda name, rule, w: grid.where(rule).select(F.lit(name).alias("name"), "vid", F.lit(w).alias("w"))
-    masks = part("a", "vid < 100", 0.5).unionByName(part("b", "vid between 80 and 200", 1.0)).unionByName(part("unconstrained_D2", "vid >= 300", 2.0))
-    free = tomography.free_pieces(masks, SHAPE)
+    free, _ = _free(spark, sf_dir)
     x = free.select("pid").distinct().select("pid", (F.col("pid") % 9 + 1).cast("double").alias("x"))
     return tomography.expand(free, x).select("vid", F.round("v", 6).alias("v"))
 
 
-@query("piecewise_project", "with grid as (select unnest(range(0, 512))::bigint as vid), basis as (select vid, 0::bigint as pid, 0.5 as w from grid where vid < 100 union all select vid, 1::bigint, 1.0 from grid where vid between 80 and 200) select pid, round(sum(w * (vid % 4))::double, 6) as x from basis group by pid")
+@query("piecewise_project", B.sql(f"{_MASKS} select pid, round(sum(w * (vid % 4))::double, 6) as x from basis group by pid", "voxels"))
 def piecewise_project(spark, sf_dir):
-    grid = spark.range(512).select(F.col("id").alias("vid"))
-    part = lambda name, rule, w: grid.where(rule).select(F.lit(name).alias("name"), "vid", F.lit(w).alias("w"))
-    free = tomography.free_pieces(part("a", "vid < 100", 0.5).unionByName(part("b", "vid between 80 and 200", 1.0)), SHAPE)
-    return tomography.project(free, grid.select("vid", (F.col("vid") % 4).cast("double").alias("g"))).select("pid", F.round("x", 6).alias("x"))
+    free, voxels = _free(spark, sf_dir)
+    return tomography.project(free, voxels.select("vid", (F.col("vid") % 4).cast("double").alias("g"))).select("pid", F.round("x", 6).alias("x"))
 
 
 _MEDIA = "media as (select l_extendedprice / 1000 as exlen, case when l_linenumber % 3 = 0 then l_quantity / 10 else 0 end as inlen, l_extendedprice / 1500 + case when l_linenumber % 3 = 0 then l_quantity / 16 else 0 end + l_tax as time from lineitem)"
 
 
-def _media(spark, sf_dir):
+def _media(spark, sf_dir, *keys):
     inside = F.when(F.col("l_linenumber") % 3 == 0, 1.0).otherwise(0.0)
-    return B.table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("exlen"), (inside * F.col("l_quantity") / 10).alias("inlen"), (F.col("l_extendedprice") / 1500 + inside * F.col("l_quantity") / 16 + F.col("l_tax")).alias("time"))
+    return B.table(spark, sf_dir, "lineitem").select(*keys, (F.col("l_extendedprice") / 1000).alias("exlen"), (inside * F.col("l_quantity") / 10).alias("inlen"), (F.col("l_extendedprice") / 1500 + inside * F.col("l_quantity") / 16 + F.col("l_tax")).alias("time"))
 
 
 @query("two_medium_speed", f"with {_MEDIA}, c as (select sum(time * exlen) / sum(time * time) as c, count(*)::bigint as misses from media where not inlen > 0.001 * exlen) select round(c, 6) as exspd, round(sum((time - exlen / c) * inlen) / sum(pow(time - exlen / c, 2)), 5) as inspd, count(*)::bigint as hits, misses from media, c where inlen > 0.001 * exlen group by c, misses")
@@ -128,17 +136,10 @@ def speed_statistics(spark, sf_dir):
     return rows.select(*(F.round(c, 6).alias(c) for c in ("mean", "median", "sd")), "n")
 
 
-_TARGETS = "targets as (select e as f, x as fx, y as fy, z as fz from receivers where e < 5)"
-
-
-def _targets(spark, sf_dir):
-    return B.receivers(spark, sf_dir).where("e < 5")
-
-
-@query("propagation_angles", B.sql(f"also {_TARGETS}, d as (select e, f, fx - x as dx, fy - y as dy, fz - z as dz from senders, targets) select e, f, round(sqrt(dx * dx + dy * dy + dz * dz) - 0.5, 6) as distance, round(acos(least(1, greatest(-1, -(0.6 * dx + 0.8 * dz) / sqrt(dx * dx + dy * dy + dz * dz)))), 6) as angle from d", "senders", "receivers"))
+@query("propagation_angles", B.sql("also d as (select s.e, f.e as f, f.x - s.x as dx, f.y - s.y as dy, f.z - s.z as dz from senders s, reflectors f) select e, f, round(sqrt(dx * dx + dy * dy + dz * dz) - 0.5, 6) as distance, round(acos(least(1, greatest(-1, -(0.6 * dx + 0.8 * dz) / sqrt(dx * dx + dy * dy + dz * dz)))), 6) as angle from d", "senders", "reflectors"))
 def propagation_angles(spark, sf_dir):
     elements = B.senders(spark, sf_dir).withColumns({"nx": F.lit(0.6), "ny": F.lit(0.0), "nz": F.lit(0.8)})
-    rows = geometry.wave_paths(elements, _targets(spark, sf_dir), 0.5)
+    rows = geometry.wave_paths(elements, B.reflectors(spark, sf_dir), 0.5)
     return rows.select("e", "f", F.round("distance", 6).alias("distance"), F.round("angle", 6).alias("angle"))
 
 
@@ -150,124 +151,220 @@ def surface_points(spark, sf_dir):
     return rows.select("e", "f", *(F.round(c, 5).alias(c) for c in ("x", "y", "z", "depth")))
 
 
-_EDGE = "least(greatest({0} + {1}, 0), 7)"
+@query("surface_at_radius", B.sql("""also miss as (select distinct l_suppkey as e, l_linenumber as f from lineitem where l_linenumber < 4), known as (select e, f, 1.5 + e % 9 * 0.25 as time from miss),
+rays as (select s.e, f.e as f, s.x, s.y, s.z, f.x as fx, f.y as fy, f.z as fz, k.time, sqrt(pow(f.x - s.x, 2) + pow(f.y - s.y, 2) + pow(f.z - s.z, 2)) as ll from senders s cross join reflectors f left join known k on k.e = s.e and k.f = f.e),
+deep as (select *, case when time is null then 1.25 else greatest(ll - time * 1.5 / 2, 1.25) end as depth from rays)
+select e, f, round(fx - (fx - x) * depth / ll, 5) as x, round(fy - (fy - y) * depth / ll, 5) as y, round(depth, 5) as depth, time is null as missed from deep where depth <= ll""", "senders", "reflectors"))
+def surface_at_radius(spark, sf_dir):
+    known = B.table(spark, sf_dir, "lineitem").where("l_linenumber < 4").select(F.col("l_suppkey").alias("t"), F.col("l_linenumber").cast("long").alias("r")).distinct().withColumn("time", 1.5 + F.col("t") % 9 * 0.25)
+    rows = geometry.surface_points(known, B.senders(spark, sf_dir), B.reflectors(spark, sf_dir), 1.5, None, radius=1.25, use_miss=True, at_least_radius=True)
+    rows = rows.join(known.select(F.col("t").alias("e"), F.col("r").alias("f"), F.lit(False).alias("missed")), ["e", "f"], "left")
+    return rows.select("e", "f", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("depth", 5).alias("depth"), F.coalesce("missed", F.lit(True)).alias("missed"))
+
+
+@query("flattened_surface", B.sql("also p as (select e // 64 as f, e, x, y, z from receivers), m as (select f, avg(x) as mx, avg(y) as my, min(z) as lo, max(z) as hi from p group by f) select f, e, round(case when hi - lo < 1e-6 then x else mx + (lo - (2 * hi - lo)) / (z - (2 * hi - lo)) * (x - mx) end, 5) as u, round(case when hi - lo < 1e-6 then y else my + (lo - (2 * hi - lo)) / (z - (2 * hi - lo)) * (y - my) end, 5) as v from p join m using (f)", "receivers"))
+def flattened_surface(spark, sf_dir):
+    rows = B.receivers(spark, sf_dir).select(F.floor(F.col("e") / 64).alias("f"), "e", "x", "y", "z")
+    return geometry.flattened(rows).select("f", "e", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
+
 
+_EDGE = "least(greatest({0} + {1}, 0), {2})"
 
-@query("median_halo", "with v as (select unnest(range(0, 512))::bigint as vid), n as (select v.vid, (%s * 64 + %s * 8 + %s) as u from v, (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b), (select unnest([-1, 0, 1]) as c)) select vid, round(median((u * 37 %% 101)::double), 6) as v from n group by vid" % (_EDGE.format("v.vid // 64", "a"), _EDGE.format("v.vid // 8 % 8", "b"), _EDGE.format("v.vid % 8", "c")))
+
+@query("median_halo", B.sql("also size as (select max(vid) // 64 as n from voxels), n as (select v.vid, (%s * 64 + %s * 8 + %s) as u from voxels v, size, (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b), (select unnest([-1, 0, 1]) as c)) select n.vid, round(median(x.v), 6) as v from n join voxels x on x.vid = n.u group by n.vid" % (_EDGE.format("v.vid // 64", "a", "n"), _EDGE.format("v.vid // 8 % 8", "b", 7), _EDGE.format("v.vid % 8", "c", 7)), "voxels"))
 def median_halo(spark, sf_dir):
-    voxels = spark.range(512).select(F.col("id").alias("vid"), (F.col("id") * 37 % 101).cast("double").alias("v"))
-    return tomography.median_filter(voxels, SHAPE).select("vid", F.round("v", 6).alias("v"))
+    return tomography.median_filter(*B.voxels(spark, sf_dir)).select("vid", F.round("v", 6).alias("v"))
+
+
+_STEPS = "also steps as (select b.v - a.v as d from voxels a join voxels b on b.vid = a.vid + 64 union all select b.v - a.v from voxels a join voxels b on b.vid = a.vid + 8 and a.vid // 8 % 8 < 7 union all select b.v - a.v from voxels a join voxels b on b.vid = a.vid + 1 and a.vid % 8 < 7)"
 
 
-@query("roughness", "with v as (select unnest(range(0, 512))::bigint as vid), w as (select vid, (vid * 37 % 101)::double as v from v) select 'tikhonov' as method, round(sum(pow(b.v - a.v, 2) / 2), 3) as value from w a join w b on (b.vid = a.vid + 64) or (b.vid = a.vid + 8 and a.vid // 8 % 8 < 7) or (b.vid = a.vid + 1 and a.vid % 8 < 7)")
+@query("roughness", B.sql(f"{_STEPS} select 'tikhonov' as method, round(sum(d * d / 2), 3) as value from steps union all select 'totvar', round(sum(sqrt(d * d + 0.01)), 3) from steps union all select 'epr', round(sum(0.01 * (sqrt(1 + d * d / 0.01) - 1)), 3) from steps", "voxels"))
 def roughness(spark, sf_dir):
-    voxels = spark.range(512).select(F.col("id").alias("vid"), (F.col("id") * 37 % 101).cast("double").alias("v"))
-    return tomography.regularizer(voxels, SHAPE, "tikhonov")[0].select(F.lit("tikhonov").alias("method"), F.round("value", 3).alias("value"))
+    voxels, shape = B.voxels(spark, sf_dir)
+    one = lambda method: tomography.regularizer(voxels, shape, method, 0.1)[0].select(F.lit(method).alias("method"), F.round("value", 3).alias("value"))
+    return one("tikhonov").unionByName(one("totvar")).unionByName(one("epr"))
 
 
 def _triangles(spark, sf_dir):
+    """Small triangles all over the box, one a part."""
     k = F.col("p_partkey")
-    corner = lambda c: [(k * a % 64 / 8.0).alias(f"{c}{x}") for x, a in zip("xyz", {"a": (3, 5, 7), "b": (11, 13, 17), "c": (19, 23, 29)}[c], strict=True)]
-    return B.table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(k.alias("tri"), *corner("a"), *corner("b"), *corner("c"))
+    at = dict(zip("xyz", (k * 3 % 64 / 8.0, k * 5 % 61 / 8.0, k * 7 % 59 / 8.0), strict=True))
+    steps = {"a": (0.0, 0.0, 0.0), "b": (0.75, 0.25, 0.125), "c": (-0.25, 0.875, 0.375)}
+    return B.table(spark, sf_dir, "part").select(k.alias("tri"), *((at[x] + d).alias(f"{c}{x}") for c in "abc" for x, d in zip("xyz", steps[c], strict=True)))
 
 
-_BOX = "select tri, " + ", ".join(f"least(tri * {a} % 64, tri * {b} % 64, tri * {c} % 64) / 8.0 as lo{x}, greatest(tri * {a} % 64, tri * {b} % 64, tri * {c} % 64) / 8.0 as hi{x}" for x, (a, b, c) in zip("xyz", ((3, 11, 19), (5, 13, 23), (7, 17, 29)), strict=True)) + " from (select p_partkey as tri from part where p_partkey % 10 = 0)"
+_TRI = "tris as (select tri, x as ax, y as ay, z as az, x + 0.75 as bx, y + 0.25 as by, z + 0.125 as bz, x - 0.25 as cx, y + 0.875 as cy, z + 0.375 as cz from (select p_partkey as tri, (p_partkey * 3 % 64)::double / 8 as x, (p_partkey * 5 % 61)::double / 8 as y, (p_partkey * 7 % 59)::double / 8 as z from part))"
+_BOX = f"{_TRI}, box as (select tri, " + ", ".join(f"least(a{x}, b{x}, c{x}) as lo{x}, greatest(a{x}, b{x}, c{x}) as hi{x}" for x in "xyz") + " from tris)"
 
 
-@query("depth_map", f"with box as ({_BOX}), g as (select unnest(range(0, 8))::bigint as i) select a.i, b.i as j, min(floor(loz))::bigint as depth from box join g a on a.i between floor(lox) and floor(hix) join g b on b.i between floor(loy) and floor(hiy) group by 1, 2")
+@query("depth_map", f"with {_BOX}, g as (select unnest(range(0, 8))::bigint as i) select a.i, b.i as j, min(floor(loz))::bigint as depth from box join g a on a.i between floor(lox) and floor(hix) join g b on b.i between floor(loy) and floor(hiy) group by 1, 2")
 def depth_map(spark, sf_dir):
-    return geometry.depth_map(_triangles(spark, sf_dir), (0.0, 0.0, 0.0), 1.0, SHAPE)
+    return geometry.depth_map(_triangles(spark, sf_dir), ORIGIN, 1.0, SHAPE)
 
 
-@query("depth_mask", f"with box as ({_BOX}), g as (select unnest(range(0, 8))::bigint as i), d as (select a.i, b.i as j, min(floor(loz)) as depth from box join g a on a.i between floor(lox) and floor(hix) join g b on b.i between floor(loy) and floor(hiy) group by 1, 2) select (a.i * 64 + b.i * 8 + c.i)::bigint as vid, coalesce(c.i >= depth and c.i <= 6, false) as free from g a, g b, g c left join d on d.i = a.i and d.j = b.i")
+@query("depth_mask", f"with {_BOX}, g as (select unnest(range(0, 8))::bigint as i), d as (select a.i, b.i as j, min(floor(loz)) as depth from box join g a on a.i between floor(lox) and floor(hix) join g b on b.i between floor(loy) and floor(hiy) group by 1, 2) select (a.i * 64 + b.i * 8 + c.i)::bigint as vid, coalesce(c.i >= depth and c.i <= 6, false) as free from g a, g b, g c left join d on d.i = a.i and d.j = b.i")
 def depth_mask(spark, sf_dir):
     return geometry.depth_mask(spark, depth_map(spark, sf_dir), SHAPE, 6)
 
 
-def _segments(spark, sf_dir):
-    s = B.senders(spark, sf_dir).where("e < 8").select(F.col("e").alias("t"), (F.col("y") % 8).alias("sx"), (F.col("e") % 8).cast("double").alias("sy"), F.lit(0.25).alias("sz"))
-    e = B.receivers(spark, sf_dir).where("e < 8").select(F.col("e").alias("r"), (F.col("y") % 8).alias("ex"), F.col("z").alias("ey"), F.lit(7.75).alias("ez"))
-    return s.crossJoin(e)  # eight by eight
-
-
-@query("march_lengths", B.sql("select s.e as t, p.e as r, round(sqrt(pow(p.y % 8 - s.y % 8, 2) + pow(p.z - s.e % 8, 2) + 7.5 * 7.5), 6) as len from senders s, receivers p where s.e < 8 and p.e < 8", "senders", "receivers"))
+@query("march_lengths", B.sql("select t, r, round(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)), 6) as len from segments", "segments"))
 def march_lengths(spark, sf_dir):
-    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
-    paths = tomography.march(rows, (0.0, 0.0, 0.0), 1.0, (16, 16, 16))
+    paths = tomography.march(B.points(B.segments(spark, sf_dir)), ORIGIN, 1.0, SHAPE)
     return paths.groupBy("t", "r").agg(F.round(F.sum("len"), 6).alias("len"))
 
 
-@query("path_media")
+_HITS = f"""also {_TRI}, d as (select t, r, sx, sy, sz, ex - sx as dx, ey - sy as dy, ez - sz as dz from segments),
+m as (select *, bx - ax as ux, by - ay as uy, bz - az as uz, cx - ax as vx, cy - ay as vy, cz - az as vz, sx - ax as wx, sy - ay as wy, sz - az as wz from d, tris),
+h as (select *, dy * vz - dz * vy as hx, dz * vx - dx * vz as hy, dx * vy - dy * vx as hz, wy * uz - wz * uy as qx, wz * ux - wx * uz as qy, wx * uy - wy * ux as qz from m),
+k as (select *, ux * hx + uy * hy + uz * hz as det from h),
+hits as (select t, r, tri, (vx * qx + vy * qy + vz * qz) / det as at from k where abs(det) > 1e-14 and (wx * hx + wy * hy + wz * hz) / det >= -1e-9 and (dx * qx + dy * qy + dz * qz) / det >= -1e-9
+  and (wx * hx + wy * hy + wz * hz) / det + (dx * qx + dy * qy + dz * qz) / det <= 1 + 1e-9 and (vx * qx + vy * qy + vz * qz) / det between 0 and 1)"""
+
+
+@query("path_media", B.sql(f"""{_HITS}, numbered as (select t, r, at, row_number() over (partition by t, r order by at) as n, count(*) over (partition by t, r) as c from hits),
+inside as (select t, r, max(c) as c, sum(case when n % 2 = 0 then at else -at end) as share from numbered group by t, r)
+select t, r, round((1 - coalesce(share, 0)) * len, 6) as exlen, round(coalesce(share, 0) * len, 6) as inlen from (select t, r, sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) as len from segments) left join inside using (t, r) where coalesce(c, 0) % 2 = 0""", "segments"))
 def path_media(spark, sf_dir):
-    segments = _segments(spark, sf_dir)
-    hits = geometry.path_crossings(segments, _triangles(spark, sf_dir), (0.0, 0.0, 0.0), 1.0, (16, 16, 16))
-    rows = geometry.path_media(segments, hits)
+    segments = B.segments(spark, sf_dir)
+    rows = geometry.path_media(segments, geometry.path_crossings(segments, _triangles(spark, sf_dir), ORIGIN, 1.0, SHAPE))
     return rows.select("t", "r", F.round("exlen", 6).alias("exlen"), F.round("inlen", 6).alias("inlen"))
 
 
-@query("fresnel_paths")
+_ALONG = """also cells as (select a.i, b.i as j, c.i as k from (select unnest(range(0, 8)) as i) a, (select unnest(range(0, 8)) as i) b, (select unnest(range(0, 8)) as i) c),
+span as (select *, sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) as len from segments),
+along as (select *, ((i - sx) * (ex - sx) + (j - sy) * (ey - sy) + (k - sz) * (ez - sz)) / len as a from span, cells),
+off as (select *, sqrt(pow(i - sx - a * (ex - sx) / len, 2) + pow(j - sy - a * (ey - sy) / len, 2) + pow(k - sz - a * (ez - sz) / len, 2)) as o, sqrt(1.5 * a * (len - a) / len) as radius from along where a > 0 and a < len),
+zone as (select t, r, (i * 64 + j * 8 + k)::bigint as vid, len, 1 - o / radius as w, sqrt(pow(i - sx, 2) + pow(j - sy, 2) + pow(k - sz, 2)) as d1, sqrt(pow(i - ex, 2) + pow(j - ey, 2) + pow(k - ez, 2)) as d2 from off where o < radius)"""
+
+
+@query("fresnel_paths", B.sql(f"{_ALONG} select t, r, vid, round(len * w / sum(w) over (partition by t, r), 5) as len from zone", "segments"))
 def fresnel_paths(spark, sf_dir):
-    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
-    return geometry.fresnel_paths(rows, 1.5, SHAPE).select("t", "r", "vid", F.round("len", 6).alias("len"))
+    return geometry.fresnel_paths(B.points(B.segments(spark, sf_dir)), 1.5, SHAPE).select("t", "r", "vid", F.round("len", 5).alias("len"))
 
 
 @query("bent_ray")
 def bent_ray(spark, sf_dir):
-    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
     grid = 1 + np.indices((12, 12, 12))[0] * 0.1
-    return geometry.bent_rays(rows, grid, 4).select("t", "r", F.round("straight", 5).alias("straight"), F.round("bent", 4).alias("bent"))
+    return geometry.bent_rays(B.points(B.segments(spark, sf_dir)), grid, 4).select("t", "r", F.round("straight", 5).alias("straight"), F.round("bent", 4).alias("bent"))
+
+
+@query("straight_ray", B.sql("select t, r, round(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) * (1 + 0.1 * (sx + ex) / 2), 5) as time from segments", "segments"))
+def straight_ray(spark, sf_dir):
+    grid = 1 + np.indices((12, 12, 12))[0] * 0.1
+    return geometry.bent_rays(B.points(B.segments(spark, sf_dir)), grid, 1).select("t", "r", F.round("straight", 5).alias("time"))
 
 
 @query("compensated_times")
 def compensated_times(spark, sf_dir):
-    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
     grid = 1 + np.indices((12, 12, 12))[0] * 0.02
-    found = geometry.plausible_times(geometry.compensated_times(rows, grid), 0.9)
+    found = geometry.plausible_times(geometry.compensated_times(B.points(B.segments(spark, sf_dir)), grid), 0.9)
     return found.select("t", "r", F.round("compensated", 6).alias("compensated"), F.round("straight", 6).alias("straight"))
 
 
-@query("rytov_paths")
+@query("rytov_paths", B.sql(f"{_ALONG} select t, r, vid, round(0.7 / 1.5 * sin(2 * pi() / 1.5 * (d1 + d2 - len)) * len / greatest(d1 * d2, 1e-9), 5) as w from zone", "segments"))
 def rytov_paths(spark, sf_dir):
-    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
-    return geometry.rytov_paths(rows, 1.5, 0.7, SHAPE).select("t", "r", "vid", F.round("w", 6).alias("w"))
+    return geometry.rytov_paths(B.points(B.segments(spark, sf_dir)), 1.5, 0.7, SHAPE).select("t", "r", "vid", F.round("w", 5).alias("w"))
+
+
+def _facets(spark, sf_dir):
+    return B.receivers(spark, sf_dir).select(F.floor(F.col("e") / 4).alias("facet"), (F.col("e") % 4).alias("place"), "x", "y", "z")
 
 
-@query("facet_normals")
+@query("facet_normals", B.sql("""also l as (select e // 4 as facet, list([x, y, z] order by e) as p, [avg(x), avg(y), avg(z)] as m from receivers group by 1),
+d as (select facet, len(p) as n, m, [p[2][i] - p[1][i] for i in [1, 2, 3]] as a, [p[-1][i] - p[1][i] for i in [1, 2, 3]] as b from l),
+c as (select facet, n, m, case when n >= 3 then [a[2] * b[3] - a[3] * b[2], a[3] * b[1] - a[1] * b[3], a[1] * b[2] - a[2] * b[1]] else m end as v from d),
+s as (select facet, [v[i] / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) * case when v[1] * m[1] + v[2] * m[2] + v[3] * m[3] >= 0 then 1 else -1 end for i in [1, 2, 3]] as u from c)
+select facet, round(u[1], 5) as nx, round(u[2], 5) as ny, round(u[3], 5) as nz from s""", "receivers"))
 def facet_normals(spark, sf_dir):
-    rows = B.receivers(spark, sf_dir).select(F.floor(F.col("e") / 4).alias("facet"), (F.col("e") % 4).alias("place"), "x", "y", "z")
-    out = geometry.facet_normals(rows, all_points=True)
+    out = geometry.facet_normals(_facets(spark, sf_dir))
+    return out.select("facet", *(F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")))
+
+
+@query("plane_normals")
+def plane_normals(spark, sf_dir):
+    out = geometry.facet_normals(_facets(spark, sf_dir), all_points=True)
     return out.select("facet", *(F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")))
 
 
 @query("delaunay")
 def delaunay(spark, sf_dir):
-    rows = B.receivers(spark, sf_dir).where("e < 200").select((F.col("e") % 4).alias("f"), "e", (F.col("x") + F.col("e") / 1000).alias("u"), F.col("y").alias("v"))
+    rows = B.receivers(spark, sf_dir).select(F.floor(F.col("e") / 64).alias("f"), "e", (F.col("x") + F.col("e") % 97 / 1000).alias("u"), F.col("y").alias("v"))
     return geometry.triangulate(rows)
 
 
-@query("trilaterate")
+@query("trilaterate", B.sql("select e as target, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from reflectors", "reflectors"))
 def trilaterate(spark, sf_dir):
-    elements = B.senders(spark, sf_dir)
-    targets = _targets(spark, sf_dir).withColumn("target", F.col("e")).drop("e")
-    d = F.sqrt(sum(((F.col(c) - F.col(f"f{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-    far = targets.select("target", *(F.col(c).alias(f"f{c}") for c in "xyz"))
-    times = elements.crossJoin(F.broadcast(far)).select("target", "e", (2 * d / 1.5).alias("time"))
-    guesses = targets.select(F.col("target").alias("e"), *((F.col(c) + 0.3).alias(c) for c in "xyz"))
+    elements, targets = B.senders(spark, sf_dir), B.reflectors(spark, sf_dir)
+    times = geometry.wave_paths(elements.withColumns({f"n{c}": F.lit(0.0) for c in "xyz"}), targets).select(F.col("f").alias("target"), "e", (2 * F.col("distance") / 1.5).alias("time"))
+    guesses = targets.select("e", *((F.col(c) + 0.3).alias(c) for c in "xyz"))
     found = locate.locate_targets(times, elements, guesses, 1.5)
     return found.select("target", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
-@query("element_times")
+_OWN = "1 + e * 37 % 101 / 10.0"
+
+
+@query("element_times", B.sql(f"select e, round(({_OWN})::double, 3) as time from (select t as e from waves union select r from waves)", "waves"))
 def element_times(spark, sf_dir):
-    rows = B.arrivals(spark, sf_dir).where("t < 12 and r < 40").withColumn("r", F.col("r") + 1000)
-    return locate.element_times(rows, 12).select("e", F.round("time", 3).alias("time"))
+    rows = B.waves(spark, sf_dir).select("t", "r")
+    own = lambda c: 1 + F.col(c) * 37 % 101 / 10
+    return locate.element_times(rows.withColumn("time", (own("t") + own("r")) / 2)).select("e", F.round("time", 3).alias("time"))
+
+
+@query("element_positions", B.sql("select e, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from senders", "senders"))
+def element_positions(spark, sf_dir):
+    elements, targets = B.senders(spark, sf_dir), B.reflectors(spark, sf_dir)
+    times = geometry.wave_paths(elements.withColumns({f"n{c}": F.lit(0.0) for c in "xyz"}), targets).select(F.col("f").alias("target"), "e", (2 * (F.col("distance") - 0.25) / 1.5).alias("time"))
+    known = targets.select(F.col("e").alias("target"), "x", "y", "z", F.lit(1.5).alias("c"), F.lit(0.25).alias("radius"))
+    moved = elements.select("e", *((F.col(c) + 0.2).alias(c) for c in "xyz"))
+    return locate.locate_elements(times, moved, known, 16).select("e", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
 @query("sgd_inversion")
 def sgd_inversion(spark, sf_dir):
-    rows = _segments(spark, sf_dir).select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
-    paths = tomography.written(tomography.march(rows, (0.0, 0.0, 0.0), 1.0, SHAPE), "paths")
+    paths = tomography.written(tomography.march(B.points(B.segments(spark, sf_dir)), ORIGIN, 1.0, SHAPE), "paths")
     voxels = spark.range(512).select(F.col("id").alias("vid"), F.lit(1.0).alias("v"))
     true = voxels.select("vid", (F.col("v") + F.when(F.col("vid") % 64 > 31, 0.1).otherwise(0.0)).alias("v"))
     change, _ = tomography.sgd(paths, tomography.trace(paths, true), voxels, tomography.free_everywhere(voxels), epochs=1, updates=2)
     return change.select("vid", F.round("v", 4).alias("v"))
+
+
+@query("path_speeds", f"with {_MEDIA.replace('select ', 'select l_suppkey as t, l_orderkey as r, l_linenumber as n, ', 1)} select t, r, n, round(case when abs(time - exlen / 1.4) > 0.001 then inlen / (time - exlen / 1.4) else 0 end, 5) as inspd from media where inlen > 0.001 * exlen")
+def path_speeds(spark, sf_dir):
+    rows = _media(spark, sf_dir, F.col("l_suppkey").alias("t"), F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("n"))
+    return tomography.path_speeds(rows, 1.4, keys=("t", "r", "n")).select("t", "r", "n", F.round("inspd", 5).alias("inspd"))
+
+
+@query("speeds_without_misses", f"with {_MEDIA} select 1.45 as exspd, round(sum((time - exlen / 1.45) * inlen) / sum(pow(time - exlen / 1.45, 2)), 5) as inspd, count(*)::bigint as hits, 0::bigint as misses from media where inlen > 0.001 * exlen")
+def speeds_without_misses(spark, sf_dir):
+    rows = tomography.two_medium_speeds(_media(spark, sf_dir).where("inlen > 0.001 * exlen"), background=1.45)
+    return rows.select("exspd", F.round("inspd", 5).alias("inspd"), "hits", "misses")
+
+
+_TRACER = models.Tracer("straight", (0.0, 0.0, 0.0), (8.0, 8.0, 8.0), SHAPE, "cubic")
+
+
+@query("path_times", B.sql("select s.e as t, f.e as r, case when s.x between 0 and 8 and s.y between 0 and 8 and s.z between 0 and 8 and f.x between 0 and 8 and f.y between 0 and 8 and f.z between 0 and 8 then round(0.7 * sqrt(pow(s.x - f.x, 2) + pow(s.y - f.y, 2) + pow(s.z - f.z, 2)), 5) end as time from senders s, reflectors f", "senders", "reflectors"))
+def path_times(spark, sf_dir):
+    rows = models.path_times(_TRACER, np.full(SHAPE, 0.7), B.senders(spark, sf_dir), B.reflectors(spark, sf_dir))
+    return rows.select("t", "r", F.when(~F.isnan("time"), F.round("time", 5)).alias("time"))
+
+
+@query("listed_path_times", B.sql("also pairs as (select t, r from arrivals where t <> r), box as (select p.t, p.r, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as len from pairs p join senders a on a.e = p.t join receivers b on b.e = p.r where a.x between 0 and 64 and a.y between 0 and 64 and a.z between 0 and 64 and b.x between 0 and 64 and b.y between 0 and 64 and b.z between 0 and 64) select t, r, round(0.5 * len, 4) as time from box", "arrivals", "senders", "receivers"))
+def listed_path_times(spark, sf_dir):
+    tracer = models.Tracer.from_config(Config({"tracer": {"instance": "straight", "grid": {"lo": [0, 0, 0], "hi": [64, 64, 64], "ncell": [8, 8, 8]}, "interpolator": "linear", "prefilter": {"method": "median"}}}))
+    wanted = B.arrivals(spark, sf_dir).where("t <> r").select("t", "r")
+    rows = models.path_times(tracer, np.full(SHAPE, 0.5), B.senders(spark, sf_dir), B.receivers(spark, sf_dir), wanted)
+    return rows.where(~F.isnan("time")).select("t", "r", F.round("time", 4).alias("time"))
+
+
+@query("model_times", B.sql("select s.e as t, f.e as r, true as close from senders s, reflectors f", "senders", "reflectors"))
+def model_times(spark, sf_dir):
+    """First arrivals in an even medium: never before the straight ray, and at most a tenth and a voxel after it."""
+    sources, targets = B.senders(spark, sf_dir), B.reflectors(spark, sf_dir)
+    tracer = models.Tracer("straight", (-1.0, -1.0, -1.0), (31.0, 31.0, 31.0), (16, 16, 16))
+    grid = np.full((16, 16, 16), 0.7)
+    traced = models.model_times(tracer, grid, sources, targets).withColumnRenamed("time", "traced")
+    rows = models.model_times(tracer, grid, sources, targets, eikonal=True).join(traced, ["t", "r"])
+    return rows.select("t", "r", ((F.col("time") >= 0.98 * F.col("traced") - 0.7) & (F.col("time") <= 1.1 * F.col("traced") + 1.4)).alias("close"))

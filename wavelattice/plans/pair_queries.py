@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import decode, pairs, rolling
+from ..operators import arrivals, decode, geometry, pairs, rolling
 from . import bindings as B
 
 QUERIES: dict = {}
@@ -179,9 +180,9 @@ def capture_shape(spark, sf_dir):
     return rows.groupBy("channel").agg(F.count("*").alias("n"), F.countDistinct("rep").alias("reps"))
 
 
-@query("round_trip_times", B.sql("also near as (select * from receivers where e < 6) select s.e, p.e as f, round(2 * (sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2) + pow(s.z - p.z, 2)) - 0.25) / 1.5 + 3, 6) as time from senders s, near p", "senders", "receivers"))
+@query("round_trip_times", B.sql("select s.e, p.e as f, round(2 * (sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2) + pow(s.z - p.z, 2)) - 0.25) / 1.5 + 3, 6) as time from senders s, reflectors p", "senders", "reflectors"))
 def round_trip_times(spark, sf_dir):
-    near = B.receivers(spark, sf_dir).where("e < 6")
+    near = B.reflectors(spark, sf_dir)
     rows = pairs.round_trip_times(B.senders(spark, sf_dir), near, 1.5, 0.25, 3.0)
     order = near.agg(F.array_sort(F.collect_list("e")).alias("fs"))
     rows = rows.crossJoin(F.broadcast(order)).select("e", F.explode(F.arrays_zip("fs", "times")).alias("p"))
@@ -240,6 +241,112 @@ def number_ranges(spark, sf_dir):
     return spark.range(1).select(F.explode(A.number_ranges(F.lit("5, 2,7-12,8-9"))).alias("n"))
 
 
-@query("random_pairs")
+@query("random_pairs", B.sql("select floor(count(*) * 0.1)::bigint as n, floor(count(*) * 0.1)::bigint as distinct_pairs, floor(count(*) * 0.1)::bigint as known, true as alike from arrivals", "arrivals"))
 def random_pairs(spark, sf_dir):
-    return pairs.random_pairs(B.arrivals(spark, sf_dir), 0.1, 7)
+    """A tenth of the pairs, each once, all of them there, the same when drawn again."""
+    rows = B.arrivals(spark, sf_dir)
+    one, two = pairs.random_pairs(rows, 0.1, 7), pairs.random_pairs(rows, 0.1, 7)
+    known = one.join(rows.select("t", "r"), ["t", "r"], "left_semi").agg(F.count("*").alias("known"))
+    same = one.select("t", "r").exceptAll(two.select("t", "r")).agg((F.count("*") == 0).alias("alike"))
+    return one.agg(F.count("*").alias("n"), F.countDistinct("t", "r").alias("distinct_pairs")).crossJoin(known).crossJoin(same)
+
+
+@query("shuffled", B.sql("select t, r, round(time, 6) as time from arrivals", "arrivals"))
+def shuffled(spark, sf_dir):
+    return pairs.shuffled(B.arrivals(spark, sf_dir), 3).select("t", "r", F.round("time", 6).alias("time"))
+
+
+@query("arrival_columns", B.sql("also parts as (select l_suppkey as t, l_partkey as r, l_linenumber % 2 as f, list(l_quantity order by l_quantity) as v from lineitem group by 1, 2, 3), whole as (select t, r, flatten(list(v order by f)) as v from parts group by t, r) select t, r, round(v[1] * 20, 4) as first, round(v[-1] * 20, 4) as last from whole where len(v) = (select max(len(v)) from whole)", "arrivals"))
+def arrival_columns(spark, sf_dir):
+    rows = B.table(spark, sf_dir, "lineitem")
+    file = lambda k: rows.where(F.col("l_linenumber") % 2 == k).groupBy(F.col("l_suppkey").alias("t"), F.col("l_partkey").alias("r")).agg(F.array_sort(F.collect_list("l_quantity")).alias("values"))
+    out = arrivals.arrival_columns([file(0), file(1)], [0, -1], 20.0)
+    return out.select("t", "r", F.round(F.col("times")[0], 4).alias("first"), F.round(F.col("times")[1], 4).alias("last"))
+
+
+@query("merged_batches", "select l_suppkey as src, l_linenumber::bigint as grp, (row_number() over (partition by l_suppkey, l_linenumber order by l_orderkey, l_partkey, l_quantity) - 1)::bigint as pos from lineitem")
+def merged_batches(spark, sf_dir):
+    """Groups cut into three batches of their own numbering, put together again and dealt by group."""
+    rows = B.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_linenumber").cast("long").alias("grp"), F.struct("l_orderkey", "l_partkey", "l_quantity").alias("o"))
+    cut = pairs.near_equal_batches(rows, 3, ["src", "grp"], "o")
+    local = cut.withColumn("pos", F.row_number().over(W.partitionBy("src", "grp", "batch").orderBy("o")).cast("long") - 1)
+    return pairs.regroup(pairs.merge_batches(local)).select("src", "grp", "pos")
+
+
+@query("member_shifts", B.sql("also w as (select t, r, 2.0::double + r % 3 as first, 2.0::double + (r % 3) * 2 as second from waves) select t, r, 0::bigint as member, 0.0::double as shift from w union all select t, r, 1, case when r % 4 = 0 then 0 else first - second end from w", "waves"))
+def member_shifts(spark, sf_dir):
+    w = B.waves(spark, sf_dir)
+    groups = w.select("t", "r", F.array("data", "data").alias("members"))
+    times = w.where("r % 4 <> 0").select("t", "r", F.array(2.0 + F.col("r") % 3, 2.0 + F.col("r") % 3 * 2).alias("times"))
+    rows = pairs.shifted_members(groups, times)
+    return rows.select("t", "r", F.col("member").cast("long").alias("member"), F.col("shift").cast("double").alias("shift"))
+
+
+@query("content_hash", "select item_id, sha256(substr(text, 1, 20)) as digest from benchmark")
+def content_hash(spark, sf_dir):
+    """Names of the first bytes; the second engine has 256 bits only, so those are shown."""
+    rows = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    named = pairs.content_hash(rows, 20)
+    check = rows.select("path", F.sha2(F.substring("content", 1, 20), 512).alias("hash"), F.sha2(F.substring("content", 1, 20), 256).alias("digest"))
+    return named.join(check, ["path", "hash"]).select(F.col("path").alias("item_id"), "digest")
+
+
+@query("first_hits", B.sql("select t, r, tri from (select l_suppkey as t, l_linenumber::bigint as r, l_partkey as tri, row_number() over (partition by l_suppkey, l_linenumber order by l_extendedprice, l_partkey) as k from lineitem) where k <= 2", "arrivals"))
+def first_hits(spark, sf_dir):
+    rows = B.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("t"), F.col("l_linenumber").cast("long").alias("r"), F.col("l_partkey").alias("tri"), F.col("l_extendedprice").alias("at"))
+    return geometry.first_hits(rows, 2).select("t", "r", "tri")
+
+
+def _records(spark, sf_dir):
+    """A channel each 20 embeddings, transmissions in groups of four."""
+    k = F.col("vec_id")
+    return B.table(spark, sf_dir, "embeddings").select(
+        F.floor(k / 20).alias("rid"), (k % 20).alias("row"), (F.floor(k / 20) % 4).alias("li"), F.floor(F.floor(k / 20) / 4).alias("gi"), *((F.floor(k / 20) * s).cast("double").alias(c) for c, s in (("px", 1.0), ("py", 0.5), ("pz", 0.25))),
+        F.lit(4).cast("long").alias("ws"), F.lit(64).cast("long").alias("wl"), F.col("embedding").cast("array<double>").alias("data"),
+    )
+
+
+_RECORDS = "also records as (select vec_id // 20 as rid, vec_id % 20 as row, unnest(range(0, 64))::bigint + 4 as s, unnest(embedding)::double as v from embeddings)"
+
+
+def _record_samples(rows):
+    return rolling.to_samples(rows, keys=("rid", "row"), start="ws").select("rid", "row", "s", F.round("v", 6).alias("v"))
+
+
+@query("record_window", "with " + _RECORDS.removeprefix("also ") + ", g as (select unnest(range(0, 3)) as place, unnest([7, 0, 19])::bigint as row), s as (select unnest(range(-2, 10))::bigint as s) select place::bigint as place, g.row, s.s, round(coalesce(v, 0), 6) as v from g, s left join records r on r.rid = 3 and r.row = g.row and r.s = s.s")
+def record_window(spark, sf_dir):
+    rows = decode.select_record(_records(spark, sf_dir), 3, [7, 0, 19], -2, 12)
+    return rolling.to_samples(rows, keys=("place", "row"), start="ws").select(F.col("place").cast("long").alias("place"), "row", "s", F.round("v", 6).alias("v"))
+
+
+@query("record_headers", "select distinct vec_id // 20 as rid, vec_id // 20 % 4 as li, vec_id // 20 // 4 as gi, (vec_id // 20)::double as px, (vec_id // 20) * 0.5::double as py, (vec_id // 20) * 0.25::double as pz, 4::bigint as ws, 64::bigint as wl from embeddings")
+def record_headers(spark, sf_dir):
+    return decode.headers(_records(spark, sf_dir))
+
+
+@query("record_global_time", "with " + _RECORDS.removeprefix("also ") + " select rid, row, s - 9 as s, round(v, 6) as v from records where s >= 9")
+def record_global_time(spark, sf_dir):
+    return _record_samples(decode.to_global_time(_records(spark, sf_dir), -9, 72))
+
+
+@query("changed_records", "with " + _RECORDS.removeprefix("also ") + " select rid, row, s, round(case when rid % 3 = 1 then -2 * v when rid % 3 = 2 then 0 else v end, 6) as v from records where rid % 5 <> 0 or rid > 10".replace("rid % 5 <> 0 or rid > 10", "rid not in (0, 5, 10)"))
+def changed_records(spark, sf_dir):
+    """Some channels replaced, some emptied, some deleted."""
+    rows = _records(spark, sf_dir)
+    twice = rows.where("rid % 3 = 1").withColumn("data", A.scale(F.col("data"), -2.0))
+    empty = rows.where("rid % 3 = 2").withColumn("data", F.lit(None).cast("array<double>"))
+    return _record_samples(decode.delete_records(decode.upsert_records(rows, twice.unionByName(empty), 68), [0, 5, 10]))
+
+
+@query("group_map_faults", "select distinct vec_id // 20 as e from embeddings where vec_id // 20 % 7 = 3")
+def group_map_faults(spark, sf_dir):
+    heads = decode.headers(_records(spark, sf_dir))
+    claimed = heads.select(F.col("rid").alias("e"), F.col("li").alias("l"), (F.col("gi") + F.when(F.col("rid") % 7 == 3, 1).otherwise(0)).alias("g"))
+    return decode.check_group_map(claimed, heads).select("e")
+
+
+@query("transmissions", "with n as (select count(*) as n from supplier), r as (select unnest(range(0, n)) as row, n from n) select row::bigint as row, ((row + 5) % n)::bigint as tx, ((row + 5) % n)::bigint as e, 0::bigint as l, row::bigint as g from r")
+def transmissions(spark, sf_dir):
+    n = B.table(spark, sf_dir, "supplier").count()
+    rows = decode.transmit_indices(spark, 5, n, n)
+    return rows.join(decode.single_groups(rows).withColumn("row", F.col("g")), "row").select("row", "tx", "e", "l", "g")

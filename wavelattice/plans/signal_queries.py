@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import kernels as K
 from ..functions import spectral as S
-from ..operators import decode, rolling
+from ..operators import arrivals, decode, images, rolling
 from . import bindings as B
 
 QUERIES: dict = {}
@@ -113,8 +114,6 @@ def xcorr_lag(spark, sf_dir):
     pairs = w.where("t > 0").join(w.where("t = 0").select("r", F.col("data").alias("ref"), F.col("dstart").alias("ref_start")), "r")
 
     def kernel(d, x, s, y):
-        from ..functions import kernels as K
-
         lags, c = K.correlate(x, d, y, s)
         return lags, c
 
@@ -130,18 +129,25 @@ def xcorr_delay(spark, sf_dir):
     return S.delay(pairs).select("t", "r", "delay")
 
 
-@query("hadamard_decode", B.sql("select t as rid, (r // 8)::bigint as g, l, s, round(sum(v * (1 - 2 * (bit_count((r % 8)::bigint & l) % 2))) / 8, 6) as v from samples, (select unnest(range(0, 8))::bigint as l) where r < 24 group by 1, 2, 3, 4", "samples"))
+#: Channels of 20 transmissions each, coded in groups of four.
+_CODED = "also coded as (select vec_id // 20 as rid, vec_id % 20 as row, unnest(range(0, 64))::bigint as s, unnest(embedding)::double as v from embeddings)"
+
+
+def _coded(spark, sf_dir):
+    rows = B.table(spark, sf_dir, "embeddings")
+    return rows.select(F.floor(F.col("vec_id") / 20).alias("rid"), (F.col("vec_id") % 20).alias("row"), F.lit(0).cast("long").alias("ws"), F.col("embedding").cast("array<double>").alias("data"))
+
+
+@query("hadamard_decode", "with " + _CODED.removeprefix("also ") + " select rid, (row // 4)::bigint as g, l, s, round(sum(v * (1 - 2 * (bit_count((row % 4)::bigint & l) % 2))) / 4, 6) as v from coded, (select unnest(range(0, 4))::bigint as l) group by 1, 2, 3, 4")
 def hadamard_decode(spark, sf_dir):
-    w = B.waves(spark, sf_dir).where("r < 24")
-    rows = w.select(F.col("t").alias("rid"), F.col("r").alias("row"), F.col("dstart").alias("ws"), "data")
-    out = decode.hadamard_decode(rows, 8, B.NSAMP)
+    out = decode.hadamard_decode(_coded(spark, sf_dir), 4, B.NSAMP)
     return out.select("rid", "g", "l", F.posexplode("re").alias("s", "v")).select("rid", "g", "l", F.col("s").cast("long").alias("s"), F.round("v", 6).alias("v"))
 
 
 @query("hadamard_join", SQL["hadamard_decode"])
 def hadamard_join(spark, sf_dir):
-    rows = B.samples(spark, sf_dir).where("r < 24").select(F.col("t").alias("rid"), F.floor(F.col("r") / 8).alias("g"), (F.col("r") % 8).alias("row"), "s", "v")
-    return decode.hadamard_join(rows, 8).select("rid", "g", F.col("l").cast("long").alias("l"), "s", F.round("v", 6).alias("v"))
+    rows = _coded(spark, sf_dir).select("rid", F.floor(F.col("row") / 4).alias("g"), (F.col("row") % 4).alias("row"), F.posexplode("data").alias("s", "v"))
+    return decode.hadamard_join(rows, 4).select("rid", "g", F.col("l").cast("long").alias("l"), F.col("s").cast("long").alias("s"), F.round("v", 6).alias("v"))
 
 
 @query("tgc_gain", B.sql("select t, r, s, round(v * pow(10, -(s // 16) / 20.0), 6) as v from samples", "samples"))
@@ -236,16 +242,14 @@ def extremum(spark, sf_dir):
 _HANN8 = "(0.5 - 0.5 * cos(2 * pi() * i / 7))"
 
 
-@query("stft_power", B.sql(f"""also frames as (select x.t, x.r, x.s as frame, i, y.v * {_HANN8} as v from samples x, (select unnest(range(0, 8)) as i), samples y where x.t < 4 and y.t = x.t and y.r = x.r and y.s = x.s + i - 4)
+@query("stft_power", B.sql(f"""also frames as (select x.t, x.r, x.s as frame, i, y.v * {_HANN8} as v from samples x, (select unnest(range(0, 8)) as i), samples y where y.t = x.t and y.r = x.r and y.s = x.s + i - 4)
 select t, r, frame as s, k, round(pow(sum(v * cos(2 * pi() * k * i / 8)), 2) + pow(sum(v * sin(2 * pi() * k * i / 8)), 2), 5) as power from frames, (select unnest(range(0, 3))::bigint as k) group by t, r, frame, k""", "samples"))
 def stft_power(spark, sf_dir):
     def kernel(n, d, x):
-        from ..functions import kernels as K
-
         y = K.stft(x, K.hann(8), 8)[:, :3]
         return ((y.real**2 + y.imag**2).ravel(),)
 
-    rows = S.apply(B.waves(spark, sf_dir).where("t < 4"), S.WAVE, {"power": "array<double>"}, kernel).select("t", "r", F.posexplode("power").alias("i", "p"))
+    rows = S.apply(B.waves(spark, sf_dir), S.WAVE, {"power": "array<double>"}, kernel).select("t", "r", F.posexplode("power").alias("i", "p"))
     return rows.select("t", "r", F.floor(F.col("i") / 3).alias("s"), (F.col("i") % 3).cast("long").alias("k"), F.round("p", 5).alias("power"))
 
 
@@ -254,14 +258,19 @@ def fft_round_trip(spark, sf_dir):
     return long_form(S.inverse(S.transform(B.waves(spark, sf_dir)), B.NSAMP).withColumn("dstart", F.lit(0)))
 
 
-@query("spectrum_index", "select unnest(range(0, 7))::bigint as i, unnest([0, 1, 2, 3, -3, -2, -1])::bigint as full_index, unnest([0, 1, 2, 3, null, null, null])::bigint as real_index")
+@query("spectrum_index", "with n as (select n_nationkey + 2 as n from nation), i as (select n, unnest(range(0, n))::bigint as i from n) select n::bigint as n, i, (case when i < (n + 1) // 2 then i else i - n end)::bigint as full_index, (case when i <= n // 2 then i end)::bigint as real_index from i")
 def spectrum_index(spark, sf_dir):
-    rows = spark.range(1).select(F.posexplode(A.spectrum_index(F.lit(7), False)).alias("i", "full_index"))
-    real = spark.range(1).select(F.posexplode(A.spectrum_index(F.lit(7), True)).alias("i", "real_index"))
-    return rows.join(real, "i", "left").select(F.col("i").cast("long").alias("i"), F.col("full_index").cast("long").alias("full_index"), F.col("real_index").cast("long").alias("real_index"))
+    n = B.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2).cast("long").alias("n"))
+    rows = n.select("n", F.posexplode(A.spectrum_index(F.col("n"), False)).alias("i", "full_index"))
+    real = n.select("n", F.posexplode(A.spectrum_index(F.col("n"), True)).alias("i", "real_index"))
+    return rows.join(real, ["n", "i"], "left").select("n", *(F.col(c).cast("long").alias(c) for c in ("i", "full_index", "real_index")))
+
 
+#: The transform of 64 samples: re and im by bin.
+_DFT = "also dft as (select t, r, k, sum(v * cos(2 * pi() * k * s / 64)) as re, -sum(v * sin(2 * pi() * k * s / 64)) as im from samples, (select unnest(range(0, 33)) as k) group by t, r, k)"
 
-@query("fft_envelope")
+
+@query("fft_envelope", B.sql(_DFT + ", back as (select t, r, s, sum(case when k in (0, 32) then 1 else 2 end * (re * cos(2 * pi() * k * s / 64) - im * sin(2 * pi() * k * s / 64))) / 64 as a, sum(case when k in (0, 32) then 1 else 2 end * (re * sin(2 * pi() * k * s / 64) + im * cos(2 * pi() * k * s / 64))) / 64 as b from dft, (select unnest(range(0, 64))::bigint as s) group by t, r, s) select t, r, s, round(sqrt(a * a + b * b), 6) as v from back", "samples"))
 def fft_envelope(spark, sf_dir):
     return long_form(S.envelope(B.waves(spark, sf_dir)))
 
@@ -277,26 +286,137 @@ def peak_isolation(spark, sf_dir):
     return rows.select("t", "r", "peak", F.round("prominence", 6).alias("prominence"), "width", "dstart", F.size("data").alias("n"), "status")
 
 
-@query("oversampled_delay")
+@query("oversampled_delay", B.sql("""also dft as (select t, r, k, sum(v * cos(2 * pi() * k * s / 128)) as re, -sum(v * sin(2 * pi() * k * s / 128)) as im from samples, (select unnest(range(0, 65)) as k) group by t, r, k),
+part as (select a.t, a.r, a.k, a.re * b.re + a.im * b.im as re, a.im * b.re - a.re * b.im as im from dft a join dft b on b.t = 0 and a.t > 0 and a.r = b.r and a.k = b.k),
+lags as (select t, r, m, sum(case when k in (0, 64) then 1 else 2 end * (re * cos(2 * pi() * k * m / 512) - im * sin(2 * pi() * k * m / 512))) as c from part, (select unnest(range(-252, 253)) as m) group by t, r, m)
+select t, r, arg_max(m, abs(c))::double / 4 as delay, arg_max(case when c < 0 then -1 else 1 end, abs(c))::integer as sign from lags group by t, r""", "samples"))
 def oversampled_delay(spark, sf_dir):
     w = B.waves(spark, sf_dir)
     pairs = w.where("t > 0").join(w.where("t = 0").select("r", F.col("data").alias("ref"), F.col("dstart").alias("ref_start")), "r")
     return S.delay(pairs, osamp=4, negative=True).select("t", "r", "delay", "sign")
 
 
-@query("fractional_shift")
+@query("oversample", B.sql("select t, r, s, round(v, 6) as v from samples", "samples"))
+def oversample(spark, sf_dir):
+    """Every third of the samples between which two were put."""
+    rows = long_form(S.oversample(B.waves(spark, sf_dir), 3)).where("s % 3 = 0")
+    return rows.withColumn("s", (F.col("s") / 3).cast("long"))
+
+
+@query("fractional_shift", B.sql(_DFT + " select t, r, s, round(sum(case when k = 0 then re when k = 32 then re * cos(pi() * 2.25) * cos(pi() * s) else 2 * (re * cos(2 * pi() * k * (s - 2.25) / 64) - im * sin(2 * pi() * k * (s - 2.25) / 64)) end) / 64, 6) as v from dft, (select unnest(range(0, 64))::bigint as s) group by t, r, s", "samples"))
 def fractional_shift(spark, sf_dir):
     return long_form(S.shift(B.waves(spark, sf_dir).withColumn("d", F.lit(2.25)), "d", cyclic=True))
 
 
-@query("arrival_samples")
+#: The improved ratio with an average of three: far less near, the last one repeated.
+_IMER3 = _MER + """, smooth as (select t, r, s, v, avg(fmer) over w - avg(nmer) over w as c from mer window w as (partition by t, r order by s rows between 1 preceding and 1 following)),
+curve as (select t, r, s, v, case when s = 63 then lag(c) over (partition by t, r order by s) else c end as c from smooth),
+crossed as (select t, r, min(s) as s from (select *, avg(c) over (partition by t, r) as m from curve) where c >= m group by t, r)"""
+_ARRIVAL = {"prewin": 4, "postwin": 4, "vpwin": 2, "avgwin": 3}
+
+
+@query("arrival_samples", B.sql(_IMER3 + " select t, r, s::double as at, 'ok' as status from crossed", "samples"))
 def arrival_samples(spark, sf_dir):
-    return S.arrivals(B.waves(spark, sf_dir), prewin=4, postwin=4, vpwin=2, avgwin=3).select("t", "r", F.round("at", 6).alias("at"), "status")
+    return S.arrivals(B.waves(spark, sf_dir), **_ARRIVAL).select("t", "r", F.round("at", 6).alias("at"), "status")
+
+
+_LEAKS = _IMER3 + """, leaks as (select c.t, c.r, c.s, sum(case when x.s <= c.s - 1 then x.v * x.v else 0 end) / sum(x.v * x.v) as share from crossed c join samples x on x.t = c.t and x.r = c.r group by 1, 2, 3),
+told as (select t, r, s, case when s < 1 then 'out-of-bounds' when share >= 0.3 then 'leaky' else 'valid' end as status from leaks)"""
+
+
+@query("arrival_times", B.sql(_LEAKS + ", sides as (select t, r, s, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as d from told join senders a on a.e = t join senders b on b.e = r where status = 'valid' and t <> r), slow as (select t, r, s, s / d as w from sides), q as (select quantile_cont(w, 0.25) as lo, quantile_cont(w, 0.75) as hi from slow) select t, r, round(s * 0.05 + 3, 6) as time from slow, q where w between lo - 1.5 * (hi - lo) and hi + 1.5 * (hi - lo)", "samples", "senders"))
+def arrival_times(spark, sf_dir):
+    """The whole job: crossings, leaks, outliers of slowness, times."""
+    rows, _ = arrivals.arrival_times(B.waves(spark, sf_dir), 0.05, 3.0, B.senders(spark, sf_dir), reach=1.5, imer=dict(_ARRIVAL), leak=0.3)
+    return rows.select("t", "r", F.round("time", 6).alias("time"))
+
+
+@query("arrival_statuses", B.sql(_LEAKS + " select case when t % 4 = 0 then 'cached' else status end as status, count(*)::bigint as n from told group by 1", "samples"))
+def arrival_statuses(spark, sf_dir):
+    waves = B.waves(spark, sf_dir)
+    cache = waves.where("t % 4 = 0").select("t", "r", F.lit(9.0).alias("delay"))
+    return arrivals.arrival_times(waves, 0.05, 3.0, cache=cache, imer=dict(_ARRIVAL), leak=0.3)[1]
+
 
+@query("correlated_times", B.sql(_LAGS + ", best as (select t, r, max(round(c, 9)) as c from lags group by t, r), at as (select l.t, l.r, min(l.lag) as lag from lags l join best b on l.t = b.t and l.r = b.r and round(l.c, 9) = b.c group by 1, 2) select t, r, round(lag * 0.5 + 40, 6) as time from at", "samples"))
+def correlated_times(spark, sf_dir):
+    """Delays against a reference signal of each receiver, one after the other: those of its first transmission."""
+    waves = B.waves(spark, sf_dir)
+    pairs = waves.where("t > 0").join(waves.where("t = 0").select("r", F.col("data").alias("ref"), F.col("dstart").alias("ref_start")), "r")
+    return S.delay(pairs).select("t", "r", F.round(F.col("delay") * 0.5 + 40, 6).alias("time"))
 
-@query("prony")
+
+@query("neighbourhood_average", B.sql("select x.t, x.r, y.s, round(avg(y.v), 6) as v from waves x join samples y on abs(y.t - x.t) <= 1 and abs(y.r - x.r) <= 1 group by 1, 2, 3", "waves", "samples"))
+def neighbourhood_average(spark, sf_dir):
+    waves = B.waves(spark, sf_dir)
+    ends = waves.select(F.col("t").alias("e")).unionByName(waves.select(F.col("r").alias("e"))).distinct()
+    near = ends.select("e", F.explode(F.array(F.col("e") - 1, F.col("e") + 1)).alias("n"))
+    return long_form(arrivals.neighbourhood_average(waves, near))
+
+
+@query("prony", "select c_custkey as t, round(-(0.05 + c_custkey % 37 / 40.0), 5) as decay, round((1 + c_custkey % 11)::double, 4) as amplitude from customer")
 def prony(spark, sf_dir):
-    rows = S.exponents(B.waves(spark, sf_dir), 3)
-    return rows.select("t", "r", *(F.transform(c, lambda v: F.round(v, 5)).alias(c) for c in ("decay", "frequency", "amplitude")))
+    k = F.col("c_custkey")
+    decay, size = 0.05 + k % 37 / 40, (1 + k % 11).cast("double")
+    data = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda s: size * F.exp(-decay * s))
+    waves = B.table(spark, sf_dir, "customer").select(k.alias("t"), F.lit(0).cast("long").alias("r"), F.lit(16).cast("long").alias("nsamp"), F.lit(0).cast("long").alias("dstart"), data.alias("data"))
+    return S.exponents(waves, 1).select("t", F.round(F.get("decay", F.lit(0)), 5).alias("decay"), F.round(F.get("amplitude", F.lit(0)), 4).alias("amplitude"))
+
+
+def _pulses(spark, sf_dir):
+    """A smooth pulse a customer, delayed by its own number of samples."""
+    k = F.col("c_custkey")
+    data = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda s: F.exp(-((s - k % 20) ** 2) / 8))
+    return B.table(spark, sf_dir, "customer").select(k.alias("t"), F.lit(0).cast("long").alias("r"), F.lit(64).cast("long").alias("nsamp"), F.lit(0).cast("long").alias("dstart"), data.alias("data"))
+
+
+@query("zero_time", "select c_custkey as t, true as close from customer where c_custkey % 20 >= 6")
+def zero_time(spark, sf_dir):
+    """The slope of the phase gives the delay of a whole pulse."""
+    rows = S.apply(_pulses(spark, sf_dir).where("t % 20 >= 6"), S.WAVE, {"delay": "double"}, lambda n, d, x: (K.zero_time(x, d, n, 1, 12),))
+    return rows.select("t", (F.abs(F.col("delay") - F.col("t") % 20) < 0.01).alias("close"))
+
+
+@query("directivity", B.sql(_DFT + " select t, r, k::bigint as k, round(exp(-(k / 16.0) * sin(0.5)) * sqrt(re * re + im * im), 5) as mag from dft", "samples"))
+def directivity(spark, sf_dir):
+    def kernel(re, im):
+        a, b = K.directivity(re, im, np.arange(33) / 16, 0.5)
+        return (np.hypot(a, b),)
+
+    rows = S.apply(S.transform(B.waves(spark, sf_dir)), ["re", "im"], {"mag": "array<double>"}, kernel).select("t", "r", F.posexplode("mag").alias("k", "m"))
+    return rows.select("t", "r", F.col("k").cast("long").alias("k"), F.round("m", 5).alias("mag"))
+
+
+@query("spectral_ratio", B.sql(_DFT + ", big as (select t, r, max(sqrt(re * re + im * im)) as m from dft group by t, r) select t, r, k::bigint as k, case when sqrt(re * re + im * im) > 0.25 * m then 2.5 else 0 end::double as ratio from dft join big using (t, r)", "samples"))
+def spectral_ratio(spark, sf_dir):
+    """Of a signal and 2.5 times it, where the signal has something to tell."""
+    rows = S.apply(B.waves(spark, sf_dir), ["data"], {"ratio": "array<double>"}, lambda x: (K.spectral_ratio(2.5 * x, x, 0.25).real,)).select("t", "r", F.posexplode("ratio").alias("k", "v"))
+    return rows.select("t", "r", F.col("k").cast("long").alias("k"), F.round("v", 6).alias("ratio"))
+
+
+@query("spectral_scale", B.sql(_DFT + " select t, r, s, round(sum(1.0 / (1 + k) * case when k in (0, 32) then 1 else 2 end * (re * cos(2 * pi() * k * s / 64) - im * sin(2 * pi() * k * s / 64))) / 64, 6) as v from dft, (select unnest(range(0, 64))::bigint as s) group by t, r, s", "samples"))
+def spectral_scale(spark, sf_dir):
+    gain = 1 / (1 + np.arange(33))
+    rows = S.apply(B.waves(spark, sf_dir), ["data"], {"data2": "array<double>"}, lambda x: (K.spectral_scale(x, gain),))
+    return long_form(rows.select("t", "r", F.col("data2").alias("data"), F.lit(0).alias("dstart")))
+
+
+@query("stft_round_trip", B.sql("select t, r, s, round(v, 6) as v from samples", "samples"))
+def stft_round_trip(spark, sf_dir):
+    """Frames under a Gaussian window, put together again."""
+    win = K.gabor_window(2.0)
+    rows = S.apply(B.waves(spark, sf_dir), S.WAVE, {"data2": "array<double>"}, lambda n, d, x: (K.istft(K.stft(x, win), win),))
+    return long_form(rows.select("t", "r", F.col("data2").alias("data"), F.lit(0).alias("dstart")))
+
+
+@query("image_table", B.sql("select row_number() over (order by t, r) - 1 as row, s::bigint as s, round(greatest(20 * log10(abs(v) / max(abs(v)) over ()), -40), 4) as v from (select t, r, s, v from samples where s between 8 and 39)".replace("row_number() over (order by t, r) - 1 as row", "(dense_rank() over (order by t, r) - 1)::bigint as row").replace("s::bigint as s", "(s - 8)::bigint as s"), "samples"))
+def image_table(spark, sf_dir):
+    rows = images.image_table(B.waves(spark, sf_dir), 8, 32, scale="log", floor_db=-40.0)
+    return rows.select(F.col("row").cast("long").alias("row"), "s", F.round("v", 4).alias("v"))
 
 
+@query("frame_table", B.sql("also p as (select t, r, max(abs(v)) as p from samples where s between 8 and 39 group by t, r), g as (select t, max(p) as top from p group by t), l as (select t, avg(p / top) + 1.5 * stddev_pop(p / top) as lim from p join g using (t) group by t) select t, r as member, (s - 8)::bigint as s, round(v / top, 6) as v, round(lim, 6) as lim from samples join g using (t) join l using (t) where s between 8 and 39", "samples"))
+def frame_table(spark, sf_dir):
+    groups = B.waves(spark, sf_dir).select("t", F.col("r").alias("member"), "dstart", "data")
+    rows = images.frame_table(groups, 8, 32, keys=("t",), deviations=1.5).select("t", "member", F.posexplode("data").alias("s", "v"), "limit")
+    return rows.select("t", "member", F.col("s").cast("long").alias("s"), F.round("v", 6).alias("v"), F.round("limit", 6).alias("lim"))

@@ -1,4 +1,7 @@
-"""Zip files of waveforms by pair: a JSON header and a data block for each store operation."""
+"""Zip files of waveforms by pair: a JSON header and a data block for each store operation.
+
+Complex samples have their imaginary part in ``im``, which is null for real ones.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import read_files
+from .files import listed, open_file, read_files, seekable
 
 #: Entries are named prefix.header.id and prefix.data.id; any prefix is read.
 ENTRY = re.compile(r"(.+)\.(header|data)\.([0-9a-f]+)")
@@ -21,9 +24,9 @@ PREFIX = "waves"
 METHODS = {None: zipfile.ZIP_STORED, "deflate": zipfile.ZIP_DEFLATED, "bzip2": zipfile.ZIP_BZIP2, "lzma": zipfile.ZIP_LZMA}
 
 
-def parse_map(data: bytes, keys_only: bool = False):
-    """(t, r, nsamp, dstart, samples) of every record; entries without their partner are passed over."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+def parse_map(data, keys_only: bool = False):
+    """(t, r, nsamp, dstart, samples) of every record of a file's bytes, or of an open file; entries without their partner are passed over."""
+    with zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data) as z:
         parts: dict[tuple[str, str], dict[str, str]] = {}
         for name in z.namelist():
             if m := ENTRY.fullmatch(name):
@@ -56,22 +59,28 @@ def parse_map(data: bytes, keys_only: bool = False):
 
 
 def read_maps(spark: SparkSession, *paths: str, keys_only: bool = False) -> DataFrame:
-    """path, seq, t, r, nsamp, dstart, data in file order; with keys_only no data block is opened."""
-    names, kinds = ["path", "seq", "t", "r", "nsamp", "dstart", "data"], [pa.string(), *[pa.int64()] * 5, pa.list_(pa.float64())]
+    """path, seq, t, r, nsamp, dstart, data, im in file order; with keys_only the headers alone are read, by seeking."""
+    names, kinds = ["path", "seq", "t", "r", "nsamp", "dstart", "data", "im"], [pa.string(), *[pa.int64()] * 5, *[pa.list_(pa.float64())] * 2]
+    seek = keys_only and seekable(*paths)
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(path, k, t, r, n, d, None if x is None else x.real.astype(float).tolist()) for k, (t, r, n, d, x) in enumerate(parse_map(content.as_py(), keys_only))]
-                for lo in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows[lo : lo + 1000]], kind) for k, kind in enumerate(kinds)], names=names)
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                rows: list[tuple] = []
+                for seq, (t, r, n, d, x) in enumerate(parse_map(open_file(path) if seek else batch.column(1)[k].as_py(), keys_only)):
+                    rows.append((path, seq, t, r, n, d, None if x is None else x.real.astype(float), x.imag.astype(float) if np.iscomplexobj(x) else None))
+                    if len(rows) == 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array([row[c] for row in rows], kind) for c, kind in enumerate(kinds)], names=names)
+                        rows = []
+                yield pa.RecordBatch.from_arrays([pa.array([row[c] for row in rows], kind) for c, kind in enumerate(kinds)], names=names)
 
-    return read_files(spark, *paths).mapInArrow(run, "path string, seq long, t long, r long, nsamp long, dstart long, data array<double>")
+    files = listed(spark, *paths) if seek else read_files(spark, *paths)
+    return files.mapInArrow(run, "path string, seq long, t long, r long, nsamp long, dstart long, data array<double>, im array<double>")
 
 
 def last_of_each(rows: DataFrame) -> DataFrame:
     """One row a pair: the last in file order."""
-    return rows.groupBy("t", "r").agg(F.max_by(F.struct("nsamp", "dstart", "data"), F.struct("path", "seq")).alias("w")).select("t", "r", "w.*")
+    return rows.groupBy("t", "r").agg(F.max_by(F.struct("nsamp", "dstart", "data", "im"), F.struct("path", "seq")).alias("w")).select("t", "r", "w.*")
 
 
 def single_wave(rows: DataFrame) -> DataFrame:
@@ -83,7 +92,7 @@ def single_wave(rows: DataFrame) -> DataFrame:
 
 
 def encode_map(waves: list[tuple], dtype: str = "<f4", compression: str | None = None, before: bytes | None = None, prefix: str = PREFIX) -> bytes:
-    """A zip file of (t, r, nsamp, dstart, data) of one nsamp, or one more submap in a file's bytes."""
+    """A zip file of (t, r, nsamp, dstart, data), a submap for each nsamp, or more submaps in a file's bytes."""
     if compression not in METHODS:
         raise ValueError(f"compression {compression!r} is unknown")
     held = io.BytesIO(before or b"")
@@ -101,12 +110,29 @@ def encode_map(waves: list[tuple], dtype: str = "<f4", compression: str | None =
     return held.getvalue()
 
 
+#: Waves that a file of ``map_files`` holds at most.
+FILE_WAVES = 10_000
+
+
 def map_files(waves: DataFrame, dtype: str = "<f4", compression: str | None = None, prefix: str = PREFIX) -> DataFrame:
-    """name, content: a file for each partition of waves."""
+    """name, content: files of at most FILE_WAVES waves, one after the other from each partition."""
+    held = waves.select("t", "r", "nsamp", "dstart", "data", waves["im"] if "im" in waves.columns else F.lit(None).cast("array<double>").alias("im"))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f"part-{uuid.uuid4().hex}.wmz"]), pa.array([encode_map(rows, dtype, compression, prefix=prefix)], pa.binary())], names=["name", "content"])
 
     def run(batches):
-        rows = [tuple(r[k] for k in ("t", "r", "nsamp", "dstart", "data")) for b in batches for r in b.to_pylist()]
+        rows: list[tuple] = []
+        for b in batches:
+            views = [b.column(c).to_pylist() for c in range(4)]
+            for k, (t, r, n, d) in enumerate(zip(*views, strict=True)):
+                data, im = (b.column(c)[k] for c in (4, 5))
+                x = data.values.to_numpy(zero_copy_only=False)
+                rows.append((t, r, n, d, x + 1j * im.values.to_numpy(zero_copy_only=False) if im.is_valid else x))
+                if len(rows) == FILE_WAVES:
+                    yield made(rows)
+                    rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{uuid.uuid4().hex}.wmz"]), pa.array([encode_map(rows, dtype, compression, prefix=prefix)], pa.binary())], names=["name", "content"])
+            yield made(rows)
 
-    return waves.select("t", "r", "nsamp", "dstart", "data").mapInArrow(run, "name string, content binary")
+    return held.mapInArrow(run, "name string, content binary")

@@ -1,20 +1,25 @@
 """Binary waveform sets ('WAVE' files, versions 1.0 to 1.6 read, 1.6 written).
 
 A file is a header (see ``schemas.SETS``) and a record for each receive channel; tables hold
-one row a channel and transmission (``schemas.RECORDS``, with ``path``).
+one row a channel and transmission (``schemas.RECORDS``, with ``path``).  Complex samples have
+their imaginary part in ``im``, which is null for real ones.  Headers are read by seeking, so
+no samples are; sets are written row by row, so none is held whole.
 """
 
 from __future__ import annotations
 
+import io
 import struct
+import uuid
 import warnings
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import opened, packed, read_files
+from .files import listed, open_file, opened, read_files, seekable, system_of
 
 #: Fixed values of the format: sample types by code.
 TYPES = {b"I2": "<i2", b"I4": "<i4", b"I8": "<i8", b"F2": "<f2", b"F4": "<f4", b"F8": "<f8", b"C4": "<c8", b"C8": "<c16"}
@@ -26,29 +31,34 @@ class FormatError(ValueError):
     """A file is not what it should be."""
 
 
-class _Cursor:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+class Cursor:
+    """Reads an open file from its start on."""
 
-    def take(self, layout: str) -> tuple:
-        size = struct.calcsize(layout)
-        if self.at + size > len(self.data):
+    def __init__(self, file):
+        self.file = file
+
+    def _bytes(self, size: int) -> bytes:
+        out = self.file.read(size)
+        if len(out) < size:
             raise EOFError
-        out = struct.unpack_from(layout, self.data, self.at)
-        self.at += size
         return out
 
+    def take(self, layout: str) -> tuple:
+        return struct.unpack(layout, self._bytes(struct.calcsize(layout)))
+
     def values(self, dtype: str, n: int) -> np.ndarray:
-        size = np.dtype(dtype).itemsize * n
-        if self.at + size > len(self.data):
-            raise EOFError
-        out = np.frombuffer(self.data, dtype, n, self.at)
-        self.at += size
-        return out
+        return np.frombuffer(self._bytes(np.dtype(dtype).itemsize * n), dtype)
 
+    def skip(self, dtype: str, n: int) -> None:
+        """Pass over values; their last byte must be there."""
+        if n:
+            self.file.seek(np.dtype(dtype).itemsize * n - 1, io.SEEK_CUR)
+            self._bytes(1)
 
-def parse_header(data: bytes) -> tuple[dict, _Cursor]:
-    c = _Cursor(data)
+
+def parse_header(data) -> tuple[dict, Cursor]:
+    """The header of a file's bytes, or of an open file, and what follows it."""
+    c = Cursor(io.BytesIO(data) if isinstance(data, bytes) else data)
     try:
         magic, major, minor = c.take("<4s2I")
     except EOFError:
@@ -86,8 +96,8 @@ def parse_header(data: bytes) -> tuple[dict, _Cursor]:
     return head, c
 
 
-def parse_records(head: dict, c: _Cursor, duplicates: bool = False, skip_empty: bool = True, strict: bool = True):
-    """(rid, li, gi, position, ws, wl, samples (ntx, wl)) of each channel; reading stops at the first repeated one unless allowed."""
+def parse_records(head: dict, c: Cursor, duplicates: bool = False, skip_empty: bool = True, strict: bool = True, headers_only: bool = False):
+    """(rid, li, gi, position, ws, wl, samples (ntx, wl), or None for headers alone) of each channel; reading stops at the first repeated one unless allowed."""
     minor, dtype, seen, n, running = head["minor"], TYPES[head["typecode"].encode()], set(), 0, -1
     while head["nrx"] == 0 or n < head["nrx"]:
         try:
@@ -105,7 +115,7 @@ def parse_records(head: dict, c: _Cursor, duplicates: bool = False, skip_empty:
             if not duplicates and rid in seen:
                 warnings.warn(f"channel {rid} is repeated; the rest is not read", stacklevel=2)
                 break
-            block = c.values(dtype, head["ntx"] * wl).reshape(head["ntx"], wl)
+            block = c.skip(dtype, head["ntx"] * wl) if headers_only else c.values(dtype, head["ntx"] * wl).reshape(head["ntx"], wl)
         except EOFError:
             break
         seen.add(rid)
@@ -122,38 +132,48 @@ _HEAD = ["path", "version", "temps", "typecode", "f2c", "nsamp", "nrx", "ntx", "
 _HEAD_DDL = "path string, version string, temps array<double>, typecode string, f2c long, nsamp long, nrx long, ntx long, gcount long, gsize long, txstart long, tgc array<double>"
 
 
+def _files(spark: SparkSession, paths: tuple[str, ...], seek: bool) -> tuple[DataFrame, Callable]:
+    """Rows to open, and what opens them: path, file of each row of a batch."""
+    if seek and seekable(*paths):
+        return listed(spark, *paths), lambda batch: ((p, open_file(p)) for p in batch.column(0).to_pylist())
+    return read_files(spark, *paths), lambda batch: ((p, opened(c.as_py())) for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+
+
 def read_sets(spark: SparkSession, *paths: str) -> DataFrame:
     """The files' headers."""
+    files, each = _files(spark, paths, True)
 
     def run(batches):
         for batch in batches:
-            heads = [{"path": p, **parse_header(opened(c.as_py()))[0]} for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            heads = [{"path": p, **parse_header(f)[0]} for p, f in each(batch)]
             kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.string(), *[pa.int64()] * 7, pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in heads], t) for k, t in zip(_HEAD, kinds, strict=True)], names=_HEAD)
 
-    return read_files(spark, *paths).mapInArrow(run, _HEAD_DDL)
+    return files.mapInArrow(run, _HEAD_DDL)
 
 
-_RECORD = ["path", "rid", "row", "li", "gi", "px", "py", "pz", "ws", "wl", "data"]
+_RECORD = ["path", "rid", "row", "li", "gi", "px", "py", "pz", "ws", "wl", "data", "im"]
 
 
 def read_records(spark: SparkSession, *paths: str, duplicates: bool = False, skip_empty: bool = True, strict: bool = True, headers_only: bool = False) -> DataFrame:
-    """A row a channel and transmission; with headers_only one a channel, with neither row nor data."""
-    kinds = [pa.string(), *[pa.int64()] * 4, *[pa.float64()] * 3, *[pa.int64()] * 2, pa.list_(pa.float64())]
+    """A row a channel and transmission; with headers_only one a channel, with neither row nor samples."""
+    kinds = [pa.string(), *[pa.int64()] * 4, *[pa.float64()] * 3, *[pa.int64()] * 2, pa.list_(pa.float64()), pa.list_(pa.float64())]
+    files, each = _files(spark, paths, headers_only)
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                head, c = parse_header(opened(content.as_py()))
-                order = head["txlist"] or range(head["ntx"])
-                for rid, li, gi, pos, ws, wl, block in parse_records(head, c, duplicates, skip_empty, strict):
-                    rows = [None] if headers_only else order
-                    data = [None] if headers_only else [x.real.astype(float).tolist() for x in block]
-                    columns = [[path], [rid], None, [li], [gi], *[[p] for p in pos], [ws], [wl], None]
-                    arrays = [pa.array(list(rows) if k == 2 else data if k == 10 else v * len(rows), t) for k, (v, t) in enumerate(zip(columns, kinds, strict=True))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=_RECORD)
+            for path, file in each(batch):
+                head, c = parse_header(file)
+                order = list(head["txlist"] or range(head["ntx"]))
+                for rid, li, gi, pos, ws, wl, block in parse_records(head, c, duplicates, skip_empty, strict, headers_only):
+                    rows = [None] if block is None else order
+                    data = [None] if block is None else list(block.real.astype(float))
+                    im = list(block.imag.astype(float)) if block is not None and np.iscomplexobj(block) else [None] * len(rows)
+                    own = [[path], [rid], None, [li], [gi], *[[p] for p in pos], [ws], [wl]]
+                    arrays = [pa.array(rows if v is None else v * len(rows), t) for v, t in zip(own, kinds[:10], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(data, kinds[10]), pa.array(im, kinds[11])], names=_RECORD)
 
-    return read_files(spark, *paths).mapInArrow(run, "path string, rid long, row long, li long, gi long, px double, py double, pz double, ws long, wl long, data array<double>")
+    return files.mapInArrow(run, "path string, rid long, row long, li long, gi long, px double, py double, pz double, ws long, wl long, data array<double>, im array<double>")
 
 
 def channel_list(records: DataFrame) -> DataFrame:
@@ -167,26 +187,68 @@ def gain_curves(sets: DataFrame) -> DataFrame:
     return sets.select("path", F.posexplode("tgc").alias("k", "tgc"))
 
 
-def encode_set(records: DataFrame, name: str = "path", typecode: str = "F4", nsamp: int | None = None, f2c: int = 0, txstart: int = 0, groups: tuple[int, int] | None = None, temps: tuple[float, float] | None = None, tgc: list[float] | None = None, compression: str | None = None) -> DataFrame:
-    """name, content of a version 1.6 file for each set; channels in order, their windows all of one length each."""
-    dtype = TYPES[typecode.encode()]
-    rows = records.groupBy(name, "rid").agg(*(F.first(c).alias(c) for c in ("li", "gi", "px", "py", "pz", "ws", "wl")), F.array_sort(F.collect_list(F.struct("row", "data"))).alias("rows"))
-    sets = rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("rid", "li", "gi", "px", "py", "pz", "ws", "wl", "rows"))).alias("channels"))
-
-    def run(batches):
+def file_header(typecode: str, f2c: int, nsamp: int, nrx: int, ntx: int, groups: tuple[int, int] | None = None, txstart: int = 0, temps: tuple[float, float] | None = None, tgc: list[float] | None = None) -> bytes:
+    """The header of a version 1.6 file; no number of channels (0) means all that follow."""
+    raw = [struct.pack("<4s2I", b"WAVE", 1, 6), np.array(temps or (np.nan, np.nan), "<f4").tobytes(), struct.pack("<2s4I2HI", typecode.encode(), f2c, nsamp, nrx, ntx, *(groups or (0, 0)), txstart)]
+    return b"".join([*raw, struct.pack("<I", len(tgc or [])), np.array(tgc or [], "<f4").tobytes()])
+
+
+def write_sets(records: DataFrame, folder: str, name: str = "path", typecode: str = "F4", nsamp: int | None = None, f2c: int = 0, txstart: int = 0, groups: tuple[int, int] | None = None, temps: tuple[float, float] | None = None, tgc: list[float] | None = None, compression: str | None = None, append: bool = False, open_ended: bool = False) -> int:
+    """Write a version 1.6 file for each set, named by a column; channels in order; how many files were written.
+
+    A file is written row by row from a sorted partition.  open_ended files state no number of
+    channels, and ``append`` adds channels to such a file, of the same type and transmissions.
+    """
+    if append and compression:
+        raise ValueError("a compressed file cannot be added to")
+    dtype = np.dtype(TYPES[typecode.encode()])
+    complex_ = dtype.kind == "c"
+    records = records if "im" in records.columns else records.withColumn("im", F.lit(None).cast("array<double>"))
+    channels = records.groupBy(F.col(name).alias("_name"), "rid").agg(F.count("*").alias("n"), F.max(F.col("ws") + F.col("wl")).alias("end"), F.min(F.size("data") == F.col("wl")).alias("fits"), (F.min("wl") == F.max("wl")).alias("even"))
+    sums = channels.groupBy("_name").agg(F.count("*").alias("_nrx"), F.min("n").alias("_lo"), F.max("n").alias("_ntx"), F.max("end").alias("_end"), F.min(F.col("fits") & F.col("even")).alias("_fits"))
+    rows = records.join(sums, F.col(name) == F.col("_name")).select("_name", "rid", "row", "li", "gi", "px", "py", "pz", "ws", "wl", "data", "im", "_nrx", "_lo", "_ntx", "_end", "_fits")
+    rows = rows.repartition("_name").sortWithinPartitions("_name", "rid", "row")
+
+    def start(row: dict, system, root: str):
+        n, path = nsamp if nsamp is not None else row["_end"], f"{root}/{row['_name']}"
+        if row["_lo"] != row["_ntx"] or not row["_fits"] or row["_end"] > n:
+            raise FormatError(f"a channel does not fit set {row['_name']}")
+        if append:
+            with system.open_input_file(path) as f:
+                head, _ = parse_header(f)
+            if head["nrx"] or head["typecode"] != typecode or head["ntx"] != row["_ntx"] or row["_end"] > head["nsamp"]:
+                raise FormatError(f"set {row['_name']} takes no such channels")
+            with system.open_input_file(path) as f:
+                before = f.read()
+        else:
+            before = file_header(typecode, f2c, n, 0 if open_ended else row["_nrx"], row["_ntx"], groups, txstart, temps, tgc)
+        half = f"{root}/.{row['_name']}.{uuid.uuid4().hex}"
+        out = system.open_output_stream(half, compression={"gzip": "gzip", "bzip2": "bz2", None: None}[compression])
+        out.write(before)
+        return out, half, path
+
+    def write(batches):
+        system, root = system_of(folder)
+        system.create_dir(root, recursive=True)
+        out, own, done = None, None, 0
         for batch in batches:
-            out = []
-            for channels in batch.column(1).to_pylist():
-                ntx = len(channels[0]["rows"])
-                n = nsamp if nsamp is not None else max(c["ws"] + c["wl"] for c in channels)
-                raw = [struct.pack("<4s2I", b"WAVE", 1, 6), np.array(temps or (np.nan, np.nan), "<f4").tobytes(), struct.pack("<2s4I2HI", typecode.encode(), f2c, n, len(channels), ntx, *(groups or (0, 0)), txstart)]
-                raw.append(struct.pack("<I", len(tgc or [])) + np.array(tgc or [], "<f4").tobytes())
-                for c in channels:
-                    if len(c["rows"]) != ntx or any(len(r["data"]) != c["wl"] for r in c["rows"]) or c["ws"] + c["wl"] > n:
-                        raise FormatError(f"channel {c['rid']} does not fit its set")
-                    raw.append(struct.pack("<3I3f2I", c["rid"], c["li"], c["gi"], c["px"], c["py"], c["pz"], c["ws"], c["wl"]))
-                    raw.append(np.array([r["data"] for r in c["rows"]]).astype(dtype).tobytes())
-                out.append(packed(b"".join(raw), compression))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["name", "content"])
-
-    return sets.mapInArrow(run, "name string, content binary")
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("data", "im")}
+                if own is None or row["_name"] != own[0]:
+                    if out:
+                        out.close()
+                        system.move(half, path)
+                    (out, half, path), own, done = start(row, system, root), (row["_name"], None), done + 1
+                if row["rid"] != own[1]:
+                    out.write(struct.pack("<3I3f2I", *(row[c] for c in ("rid", "li", "gi", "px", "py", "pz", "ws", "wl"))))
+                    own = (row["_name"], row["rid"])
+                data = batch.column("data")[k].values.to_numpy(zero_copy_only=False)
+                if complex_ and (im := batch.column("im")[k]).is_valid:
+                    data = data + 1j * im.values.to_numpy(zero_copy_only=False)
+                out.write(data.astype(dtype).tobytes())
+        if out:
+            out.close()
+            system.move(half, path)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
