@@ -40,11 +40,11 @@ def test_candidates_whose_shingles_have_different_majors(spark):
     assert [tuple(r) for r in ngram_join._candidates(rows).collect()] == [(1, 2)]
 
 
-def test_lm_scores_do_not_depend_on_how_many_words_have_ids(spark):
+def test_lm_scores_do_not_depend_on_pieces_and_buckets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     good = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").select("doc_id")
-    every, few, none = (sorted(tuple(r) for r in lm_score.cross_entropy_difference(docs, good, size=size).collect()) for size in (lm_score.VOCABULARY, 300, 0))
-    assert len(every) > 100 and np.allclose(every, few) and np.allclose(every, none)
+    usual, small = (sorted(tuple(r) for r in lm_score.cross_entropy_difference(docs, good, piece=piece, bucket_keys=keys).collect()) for piece, keys in ((lm_score.PIECE, lm_score.BUCKET_KEYS), (3000, 500)))
+    assert len(usual) > 100 and np.allclose(usual, small)
 
 
 def test_long_documents_do_not_end_the_training_sample(spark, monkeypatch):
