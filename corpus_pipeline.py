@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelattice.llm import decontam, fm_dedup, ngram_join, quality, sentencepiece_codec
-from wavelattice.llm._shared import bound_batches, stored
+from wavelattice.llm._shared import bound_batches, drop, scratch, stored
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -83,7 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what a stage stores for itself is deleted with it, and its result once the next one is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(docs)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -162,10 +162,10 @@ def surface_at_radius(spark, sf_dir):
     return rows.select("e", "f", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("depth", 5).alias("depth"), F.coalesce("missed", F.lit(True)).alias("missed"))
 
 
-@query("flattened_surface", B.sql("also p as (select e // 64 as f, e, x, y, z from receivers), m as (select f, avg(x) as mx, avg(y) as my, min(z) as lo, max(z) as hi from p group by f) select f, e, round(case when hi - lo < 1e-6 then x else mx + (lo - (2 * hi - lo)) / (z - (2 * hi - lo)) * (x - mx) end, 5) as u, round(case when hi - lo < 1e-6 then y else my + (lo - (2 * hi - lo)) / (z - (2 * hi - lo)) * (y - my) end, 5) as v from p join m using (f)", "receivers"))
+@query("flattened_surface", B.sql("also p as (select e // 64 as f, e, x, y, z from receivers), m as (select f, avg(x) as mx, avg(y) as my, min(z) as lo, max(z) as hi from p group by f) select f, e, round(case when hi - lo < 1e-6 then x else mx + (lo - (2 * hi - lo)) / (z - (2 * hi - lo)) * (x - mx) end, 8) as u, round(case when hi - lo < 1e-6 then y else my + (lo - (2 * hi - lo)) / (z - (2 * hi - lo)) * (y - my) end, 8) as v from p join m using (f)", "receivers"))
 def flattened_surface(spark, sf_dir):
     rows = B.receivers(spark, sf_dir).select(F.floor(F.col("e") / 64).alias("f"), "e", "x", "y", "z")
-    return geometry.flattened(rows).select("f", "e", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
+    return geometry.flattened(rows).select("f", "e", F.round("u", 8).alias("u"), F.round("v", 8).alias("v"))
 
 
 _EDGE = "least(greatest({0} + {1}, 0), {2})"
@@ -194,8 +194,8 @@ def _triangles(spark, sf_dir):
     return B.table(spark, sf_dir, "part").select(k.alias("tri"), *((at[x] + d).alias(f"{c}{x}") for c in "abc" for x, d in zip("xyz", steps[c], strict=True)))
 
 
-_TRI = "tris as (select tri, x as ax, y as ay, z as az, x + 0.75 as bx, y + 0.25 as by, z + 0.125 as bz, x - 0.25 as cx, y + 0.875 as cy, z + 0.375 as cz from (select p_partkey as tri, (p_partkey * 3 % 64)::double / 8 as x, (p_partkey * 5 % 61)::double / 8 as y, (p_partkey * 7 % 59)::double / 8 as z from part))"
-_BOX = f"{_TRI}, box as (select tri, " + ", ".join(f"least(a{x}, b{x}, c{x}) as lo{x}, greatest(a{x}, b{x}, c{x}) as hi{x}" for x in "xyz") + " from tris)"
+_TRI = "tris as (select tri, x as p1x, y as p1y, z as p1z, x + 0.75 as p2x, y + 0.25 as p2y, z + 0.125 as p2z, x - 0.25 as p3x, y + 0.875 as p3y, z + 0.375 as p3z from (select p_partkey as tri, (p_partkey * 3 % 64)::double / 8 as x, (p_partkey * 5 % 61)::double / 8 as y, (p_partkey * 7 % 59)::double / 8 as z from part))"
+_BOX = f"{_TRI}, box as (select tri, " + ", ".join(f"least(p1{x}, p2{x}, p3{x}) as lo{x}, greatest(p1{x}, p2{x}, p3{x}) as hi{x}" for x in "xyz") + " from tris)"
 
 
 @query("depth_map", f"with {_BOX}, g as (select unnest(range(0, 8))::bigint as i) select a.i, b.i as j, min(floor(loz))::bigint as depth from box join g a on a.i between floor(lox) and floor(hix) join g b on b.i between floor(loy) and floor(hiy) group by 1, 2")
@@ -215,15 +215,15 @@ def march_lengths(spark, sf_dir):
 
 
 _HITS = f"""also {_TRI}, d as (select t, r, sx, sy, sz, ex - sx as dx, ey - sy as dy, ez - sz as dz from segments),
-m as (select *, bx - ax as ux, by - ay as uy, bz - az as uz, cx - ax as vx, cy - ay as vy, cz - az as vz, sx - ax as wx, sy - ay as wy, sz - az as wz from d, tris),
+m as (select *, p2x - p1x as ux, p2y - p1y as uy, p2z - p1z as uz, p3x - p1x as vx, p3y - p1y as vy, p3z - p1z as vz, sx - p1x as wx, sy - p1y as wy, sz - p1z as wz from d, tris),
 h as (select *, dy * vz - dz * vy as hx, dz * vx - dx * vz as hy, dx * vy - dy * vx as hz, wy * uz - wz * uy as qx, wz * ux - wx * uz as qy, wx * uy - wy * ux as qz from m),
 k as (select *, ux * hx + uy * hy + uz * hz as det from h),
-hits as (select t, r, tri, (vx * qx + vy * qy + vz * qz) / det as at from k where abs(det) > 1e-14 and (wx * hx + wy * hy + wz * hz) / det >= -1e-9 and (dx * qx + dy * qy + dz * qz) / det >= -1e-9
+hits as (select t, r, tri, (vx * qx + vy * qy + vz * qz) / det as hit from k where abs(det) > 1e-14 and (wx * hx + wy * hy + wz * hz) / det >= -1e-9 and (dx * qx + dy * qy + dz * qz) / det >= -1e-9
   and (wx * hx + wy * hy + wz * hz) / det + (dx * qx + dy * qy + dz * qz) / det <= 1 + 1e-9 and (vx * qx + vy * qy + vz * qz) / det between 0 and 1)"""
 
 
-@query("path_media", B.sql(f"""{_HITS}, numbered as (select t, r, at, row_number() over (partition by t, r order by at) as n, count(*) over (partition by t, r) as c from hits),
-inside as (select t, r, max(c) as c, sum(case when n % 2 = 0 then at else -at end) as share from numbered group by t, r)
+@query("path_media", B.sql(f"""{_HITS}, numbered as (select t, r, hit, row_number() over (partition by t, r order by hit) as n, count(*) over (partition by t, r) as c from hits),
+inside as (select t, r, max(c) as c, sum(case when n % 2 = 0 then hit else -hit end) as share from numbered group by t, r)
 select t, r, round((1 - coalesce(share, 0)) * len, 6) as exlen, round(coalesce(share, 0) * len, 6) as inlen from (select t, r, sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) as len from segments) left join inside using (t, r) where coalesce(c, 0) % 2 = 0""", "segments"))
 def path_media(spark, sf_dir):
     segments = B.segments(spark, sf_dir)
@@ -312,13 +312,13 @@ def element_times(spark, sf_dir):
     return locate.element_times(rows.withColumn("time", (own("t") + own("r")) / 2)).select("e", F.round("time", 3).alias("time"))
 
 
-@query("element_positions", B.sql("select e, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from senders", "senders"))
+@query("element_positions", B.sql("select e, round(x, 5) as x, round(y, 5) as y, round(z, 5) as z from senders", "senders"))
 def element_positions(spark, sf_dir):
     elements, targets = B.senders(spark, sf_dir), B.reflectors(spark, sf_dir)
     times = geometry.wave_paths(elements.withColumns({f"n{c}": F.lit(0.0) for c in "xyz"}), targets).select(F.col("f").alias("target"), "e", (2 * (F.col("distance") - 0.25) / 1.5).alias("time"))
     known = targets.select(F.col("e").alias("target"), "x", "y", "z", F.lit(1.5).alias("c"), F.lit(0.25).alias("radius"))
     moved = elements.select("e", *((F.col(c) + 0.2).alias(c) for c in "xyz"))
-    return locate.locate_elements(times, moved, known, 16).select("e", *(F.round(c, 4).alias(c) for c in "xyz"))
+    return locate.locate_elements(times, moved, known, 16).select("e", *(F.round(c, 5).alias(c) for c in "xyz"))
 
 
 @query("sgd_inversion")
@@ -336,7 +336,7 @@ def path_speeds(spark, sf_dir):
     return tomography.path_speeds(rows, 1.4, keys=("t", "r", "n")).select("t", "r", "n", F.round("inspd", 5).alias("inspd"))
 
 
-@query("speeds_without_misses", f"with {_MEDIA} select 1.45 as exspd, round(sum((time - exlen / 1.45) * inlen) / sum(pow(time - exlen / 1.45, 2)), 5) as inspd, count(*)::bigint as hits, 0::bigint as misses from media where inlen > 0.001 * exlen")
+@query("speeds_without_misses", f"with {_MEDIA} select 1.45::double as exspd, round(sum((time - exlen / 1.45) * inlen) / sum(pow(time - exlen / 1.45, 2)), 5) as inspd, count(*)::bigint as hits, 0::bigint as misses from media where inlen > 0.001 * exlen")
 def speeds_without_misses(spark, sf_dir):
     rows = tomography.two_medium_speeds(_media(spark, sf_dir).where("inlen > 0.001 * exlen"), background=1.45)
     return rows.select("exspd", F.round("inspd", 5).alias("inspd"), "hits", "misses")

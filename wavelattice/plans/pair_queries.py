@@ -282,7 +282,7 @@ def member_shifts(spark, sf_dir):
     return rows.select("t", "r", F.col("member").cast("long").alias("member"), F.col("shift").cast("double").alias("shift"))
 
 
-@query("content_hash", "select item_id, sha256(substr(text, 1, 20)) as digest from benchmark")
+@query("content_hash", "select item_id, sha256(unhex(substring(hex(encode(text)), 1, 40))) as digest from benchmark")
 def content_hash(spark, sf_dir):
     """Names of the first bytes; the second engine has 256 bits only, so those are shown."""
     rows = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("path"), F.encode("text", "UTF-8").alias("content"))

@@ -324,7 +324,7 @@ _LEAKS = _IMER3 + """, leaks as (select c.t, c.r, c.s, sum(case when x.s <= c.s
 told as (select t, r, s, case when s < 1 then 'out-of-bounds' when share >= 0.3 then 'leaky' else 'valid' end as status from leaks)"""
 
 
-@query("arrival_times", B.sql(_LEAKS + ", sides as (select t, r, s, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as d from told join senders a on a.e = t join senders b on b.e = r where status = 'valid' and t <> r), slow as (select t, r, s, s / d as w from sides), q as (select quantile_cont(w, 0.25) as lo, quantile_cont(w, 0.75) as hi from slow) select t, r, round(s * 0.05 + 3, 6) as time from slow, q where w between lo - 1.5 * (hi - lo) and hi + 1.5 * (hi - lo)", "samples", "senders"))
+@query("arrival_times", B.sql(_LEAKS + ", sides as (select t, r, s, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as d from told join senders a on a.e = t join senders b on b.e = r where status = 'valid' and t <> r), slow as (select t, r, s, s / d as w from sides), q as (select quantile_cont(w, 0.25) as lo, quantile_cont(w, 0.75) as hi from slow) select t, r, round(s * 0.05::double + 3, 6) as time from slow, q where w between lo - 1.5 * (hi - lo) and hi + 1.5 * (hi - lo)", "samples", "senders"))
 def arrival_times(spark, sf_dir):
     """The whole job: crossings, leaks, outliers of slowness, times."""
     rows, _ = arrivals.arrival_times(B.waves(spark, sf_dir), 0.05, 3.0, B.senders(spark, sf_dir), reach=1.5, imer=dict(_ARRIVAL), leak=0.3)
@@ -338,7 +338,7 @@ def arrival_statuses(spark, sf_dir):
     return arrivals.arrival_times(waves, 0.05, 3.0, cache=cache, imer=dict(_ARRIVAL), leak=0.3)[1]
 
 
-@query("correlated_times", B.sql(_LAGS + ", best as (select t, r, max(round(c, 9)) as c from lags group by t, r), at as (select l.t, l.r, min(l.lag) as lag from lags l join best b on l.t = b.t and l.r = b.r and round(l.c, 9) = b.c group by 1, 2) select t, r, round(lag * 0.5 + 40, 6) as time from at", "samples"))
+@query("correlated_times", B.sql(_LAGS + ", best as (select t, r, max(round(c, 9)) as c from lags group by t, r), early as (select l.t, l.r, min(l.lag) as lag from lags l join best b on l.t = b.t and l.r = b.r and round(l.c, 9) = b.c group by 1, 2) select t, r, round(lag * 0.5::double + 40, 6) as time from early", "samples"))
 def correlated_times(spark, sf_dir):
     """Delays against a reference signal of each receiver, one after the other: those of its first transmission."""
     waves = B.waves(spark, sf_dir)
