@@ -189,12 +189,12 @@ def roughness(spark, sf_dir):
 def _triangles(spark, sf_dir):
     """Small triangles all over the box, one a part."""
     k = F.col("p_partkey")
-    at = dict(zip("xyz", (k * 3 % 64 / 8.0, k * 5 % 61 / 8.0, k * 7 % 59 / 8.0), strict=True))
+    at = dict(zip("xyz", (k * 3 % 64 / 8 + k % 97 * 0.0013, k * 5 % 61 / 8 + k % 89 * 0.0011, k * 7 % 59 / 8 + k % 83 * 0.0017), strict=True))
     steps = {"a": (0.0, 0.0, 0.0), "b": (0.75, 0.25, 0.125), "c": (-0.25, 0.875, 0.375)}
     return B.table(spark, sf_dir, "part").select(k.alias("tri"), *((at[x] + d).alias(f"{c}{x}") for c in "abc" for x, d in zip("xyz", steps[c], strict=True)))
 
 
-_TRI = "tris as (select tri, x as p1x, y as p1y, z as p1z, x + 0.75 as p2x, y + 0.25 as p2y, z + 0.125 as p2z, x - 0.25 as p3x, y + 0.875 as p3y, z + 0.375 as p3z from (select p_partkey as tri, (p_partkey * 3 % 64)::double / 8 as x, (p_partkey * 5 % 61)::double / 8 as y, (p_partkey * 7 % 59)::double / 8 as z from part))"
+_TRI = "tris as (select tri, x as p1x, y as p1y, z as p1z, x + 0.75 as p2x, y + 0.25 as p2y, z + 0.125 as p2z, x - 0.25 as p3x, y + 0.875 as p3y, z + 0.375 as p3z from (select p_partkey as tri, (p_partkey * 3 % 64)::double / 8 + p_partkey % 97 * 0.0013::double as x, (p_partkey * 5 % 61)::double / 8 + p_partkey % 89 * 0.0011::double as y, (p_partkey * 7 % 59)::double / 8 + p_partkey % 83 * 0.0017::double as z from part))"
 _BOX = f"{_TRI}, box as (select tri, " + ", ".join(f"least(p1{x}, p2{x}, p3{x}) as lo{x}, greatest(p1{x}, p2{x}, p3{x}) as hi{x}" for x in "xyz") + " from tris)"
 
 
@@ -222,7 +222,8 @@ hits as (select t, r, tri, (vx * qx + vy * qy + vz * qz) / det as hit from k whe
   and (wx * hx + wy * hy + wz * hz) / det + (dx * qx + dy * qy + dz * qz) / det <= 1 + 1e-9 and (vx * qx + vy * qy + vz * qz) / det between 0 and 1)"""
 
 
-@query("path_media", B.sql(f"""{_HITS}, numbered as (select t, r, hit, row_number() over (partition by t, r order by hit) as n, count(*) over (partition by t, r) as c from hits),
+@query("path_media", B.sql(f"""{_HITS}, apart as (select t, r, hit, hit - lag(hit) over (partition by t, r order by hit) as gap from hits),
+numbered as (select t, r, hit, row_number() over (partition by t, r order by hit) as n, count(*) over (partition by t, r) as c from apart where gap is null or gap > 1e-7),
 inside as (select t, r, max(c) as c, sum(case when n % 2 = 0 then hit else -hit end) as share from numbered group by t, r)
 select t, r, round((1 - coalesce(share, 0)) * len, 6) as exlen, round(coalesce(share, 0) * len, 6) as inlen from (select t, r, sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) as len from segments) left join inside using (t, r) where coalesce(c, 0) % 2 = 0""", "segments"))
 def path_media(spark, sf_dir):
@@ -249,10 +250,10 @@ def bent_ray(spark, sf_dir):
     return geometry.bent_rays(B.points(B.segments(spark, sf_dir)), grid, 4).select("t", "r", F.round("straight", 5).alias("straight"), F.round("bent", 4).alias("bent"))
 
 
-@query("straight_ray", B.sql("select t, r, round(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) * (1 + 0.1 * (sx + ex) / 2), 5) as time from segments", "segments"))
+@query("straight_ray", B.sql("select t, r, round(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) * (1 + 0.1 * (sx + ex) / 2), 10) as time from segments", "segments"))
 def straight_ray(spark, sf_dir):
     grid = 1 + np.indices((12, 12, 12))[0] * 0.1
-    return geometry.bent_rays(B.points(B.segments(spark, sf_dir)), grid, 1).select("t", "r", F.round("straight", 5).alias("time"))
+    return geometry.bent_rays(B.points(B.segments(spark, sf_dir)), grid, 1).select("t", "r", F.round("straight", 10).alias("time"))
 
 
 @query("compensated_times")
@@ -345,18 +346,18 @@ def speeds_without_misses(spark, sf_dir):
 _TRACER = models.Tracer("straight", (0.0, 0.0, 0.0), (8.0, 8.0, 8.0), SHAPE, "cubic")
 
 
-@query("path_times", B.sql("select s.e as t, f.e as r, case when s.x between 0 and 8 and s.y between 0 and 8 and s.z between 0 and 8 and f.x between 0 and 8 and f.y between 0 and 8 and f.z between 0 and 8 then round(0.7 * sqrt(pow(s.x - f.x, 2) + pow(s.y - f.y, 2) + pow(s.z - f.z, 2)), 5) end as time from senders s, reflectors f", "senders", "reflectors"))
+@query("path_times", B.sql("select s.e as t, f.e as r, case when s.x between 0 and 8 and s.y between 0 and 8 and s.z between 0 and 8 and f.x between 0 and 8 and f.y between 0 and 8 and f.z between 0 and 8 then round(0.7 * sqrt(pow(s.x - f.x, 2) + pow(s.y - f.y, 2) + pow(s.z - f.z, 2)), 9) end as time from senders s, reflectors f", "senders", "reflectors"))
 def path_times(spark, sf_dir):
     rows = models.path_times(_TRACER, np.full(SHAPE, 0.7), B.senders(spark, sf_dir), B.reflectors(spark, sf_dir))
-    return rows.select("t", "r", F.when(~F.isnan("time"), F.round("time", 5)).alias("time"))
+    return rows.select("t", "r", F.when(~F.isnan("time"), F.round("time", 9)).alias("time"))
 
 
-@query("listed_path_times", B.sql("also pairs as (select t, r from arrivals where t <> r), box as (select p.t, p.r, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as len from pairs p join senders a on a.e = p.t join receivers b on b.e = p.r where a.x between 0 and 64 and a.y between 0 and 64 and a.z between 0 and 64 and b.x between 0 and 64 and b.y between 0 and 64 and b.z between 0 and 64) select t, r, round(0.5 * len, 4) as time from box", "arrivals", "senders", "receivers"))
+@query("listed_path_times", B.sql("also pairs as (select t, r from arrivals where t <> r), box as (select p.t, p.r, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as len from pairs p join senders a on a.e = p.t join receivers b on b.e = p.r where a.x between 0 and 64 and a.y between 0 and 64 and a.z between 0 and 64 and b.x between 0 and 64 and b.y between 0 and 64 and b.z between 0 and 64) select t, r, round(0.5 * len, 9) as time from box", "arrivals", "senders", "receivers"))
 def listed_path_times(spark, sf_dir):
     tracer = models.Tracer.from_config(Config({"tracer": {"instance": "straight", "grid": {"lo": [0, 0, 0], "hi": [64, 64, 64], "ncell": [8, 8, 8]}, "interpolator": "linear", "prefilter": {"method": "median"}}}))
     wanted = B.arrivals(spark, sf_dir).where("t <> r").select("t", "r")
     rows = models.path_times(tracer, np.full(SHAPE, 0.5), B.senders(spark, sf_dir), B.receivers(spark, sf_dir), wanted)
-    return rows.where(~F.isnan("time")).select("t", "r", F.round("time", 4).alias("time"))
+    return rows.where(~F.isnan("time")).select("t", "r", F.round("time", 9).alias("time"))
 
 
 @query("model_times", B.sql("select s.e as t, f.e as r, true as close from senders s, reflectors f", "senders", "reflectors"))
