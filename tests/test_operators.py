@@ -26,6 +26,12 @@ def test_energy_ratios_agree_with_the_kernel(spark):
         rolling.energy_ratio(rolling.to_samples(w), 0)
 
 
+def test_samples_are_arrays_again(spark):
+    w = waves(spark, [(0, 1, 9, 3, [1.0, 2.0, 3.0]), (2, 2, 9, 0, [4.0])])
+    assert sorted(map(tuple, rolling.to_waves(rolling.to_samples(w)).collect())) == [(0, 1, 3, [1.0, 2.0, 3.0]), (2, 2, 0, [4.0])]
+    assert decode.empty_like(w).schema == w.schema and decode.empty_like(w).count() == 0
+
+
 def test_strict_numbers_and_keys_refuse(spark):
     one = spark.createDataFrame([(1.5, 70000, 1)], "x double, t long, r long")
     for c in (A.strict_int(F.col("x")), A.pack_key(F.col("t"), F.col("r"))):

@@ -150,6 +150,10 @@ def test_captures_matrices_and_spectral_groups(spark, tmp_path):
     assert [len(g) for g in matrices.spectral_groups(matrices.encode_spectral(groups))] == [2, 0]
     with pytest.raises(ValueError):
         matrices.spectral_groups(matrices.encode_spectral(groups)[:-32])
+    (tmp_path / "s.bin").write_bytes(matrices.encode_spectral(groups))
+    rows = matrices.read_spectral(spark, str(tmp_path / "s.bin")).orderBy("pos").collect()
+    assert [(r.grp, r.pos, r.re, r.im, r.idx) for r in rows] == [(0, 0, 1.0, 2.0, 4), (0, 1, 3.0, 0.0, 5)]
+    assert sorted((r.grp, r.n) for r in matrices.read_spectral(spark, str(tmp_path / "s.bin"), counts_only=True).collect()) == [(0, 2), (1, 0)]
 
 
 def test_names(spark, tmp_path):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import geometry_queries, pair_queries, signal_queries
+from . import file_queries, geometry_queries, pair_queries, signal_queries
 
-QUERIES = signal_queries.QUERIES | pair_queries.QUERIES | geometry_queries.QUERIES
-SQL = signal_queries.SQL | pair_queries.SQL | geometry_queries.SQL
+_PARTS = (signal_queries, pair_queries, geometry_queries, file_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -67,12 +67,6 @@ def opened(data: bytes) -> bytes:
     return bz2.decompress(data) if data[:3] == b"BZh" else data
 
 
-def packed(data: bytes, compression: str | None) -> bytes:
-    if compression is None:
-        return data
-    return {"gzip": gzip.compress, "bzip2": bz2.compress}[compression](data)
-
-
 def write_files(files: DataFrame, folder: str) -> int:
     """Write each row (name, content) as a file; how many were written."""
 

@@ -73,6 +73,32 @@ def encode_keymat(rows: list[tuple], comment: str | None = None, compressed: boo
     return held.getvalue()
 
 
+#: Rows that a file of ``keymat_files`` holds at most.
+FILE_KEYS = 100_000
+
+
+def keymat_files(rows: DataFrame, compressed: bool = False) -> DataFrame:
+    """name, content: npz files of at most FILE_KEYS rows (keys, values) each, by ranges of the keys in order."""
+    ranged = rows.select("keys", "values").repartitionByRange("keys").sortWithinPartitions("keys")
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        name = "-".join(map(str, held[0][0]))
+        return pa.RecordBatch.from_arrays([pa.array([f"keys-{name}.npz"]), pa.array([encode_keymat(held, compressed=compressed)], pa.binary())], names=["name", "content"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for k in range(len(batch)):
+                held.append(tuple(c[k].values.to_numpy(zero_copy_only=False) for c in batch.columns))
+                if len(held) == FILE_KEYS:
+                    yield made(held)
+                    held = []
+        if held:
+            yield made(held)
+
+    return ranged.mapInArrow(run, "name string, content binary")
+
+
 def keymat_lines(rows: DataFrame) -> DataFrame:
     """value: lines of key then value columns, for the text writer."""
     return rows.orderBy("keys").select(F.concat_ws(" ", F.transform("keys", lambda k: k.cast("string")), F.transform("values", lambda v: v.cast("string"))).alias("value"))
