@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import drop, partitions, stored
+from ._shared import partitions, stored
 
 #: Smoothing mass of the target model's unigrams and bigrams, in words.
 MASS_1, MASS_2 = 5000.0, 20.0

@@ -45,7 +45,7 @@ from . import _text as X
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct parts that a worker remembers before it starts anew.
-CACHE = 1 << 21
+CACHE = 1 << 19
 #: Bytes of text that are put together at once.
 BLOCK = 2 << 20
 #: Threads of a batch; more spend their time waiting for each other.
