@@ -75,7 +75,7 @@ def _straight_pairs(ends: np.ndarray, sample: Callable) -> np.ndarray:
     """``_straight`` of many paths of two points at once."""
     d = ends[:, 1] - ends[:, 0]
     at = ends[:, None, 0] + rays.NODES[None, :, None] * d[:, None]
-    return sample(at.reshape(-1, 3))[0].reshape(len(ends), -1) @ rays.WEIGHTS * np.linalg.norm(d, axis=1)
+    return sample(at.reshape(-1, 3))[0].reshape(len(ends), len(rays.NODES)) @ rays.WEIGHTS * np.linalg.norm(d, axis=1)
 
 
 def _bent(grid, points, options):
