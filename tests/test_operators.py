@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from wavelattice.functions import arrays as A
 from wavelattice.functions import kernels as K
+from wavelattice.functions import rays
 from wavelattice.functions import spectral as S
-from wavelattice.operators import decode, geometry, locate, pairs, rolling, tomography
+from wavelattice.operators import decode, geometry, locate, models, pairs, rolling, tomography
 
 
 def waves(spark, rows):
@@ -149,3 +150,16 @@ def test_medians_go_by_cubes(spark, monkeypatch):
         near = [np.clip(np.array(np.unravel_index(vid, shape)) + s, 0, np.array(shape) - 1) for s in np.array(list(np.ndindex(5, 5, 5))) - reach]
         values = [known[k] for k in (int(np.ravel_multi_index(tuple(p), shape)) for p in near) if known.get(k) is not None]
         assert v == np.median(values)
+
+
+def test_crossings_are_found_by_voxel(spark):
+    rng = np.random.default_rng(11)
+    tri, ends = rng.random((400, 1, 3)) * 3.4 + rng.random((400, 3, 3)), rng.random((20, 2, 3)) * 4
+    tri[1] = tri[0]  # one hit, not two
+    segments = spark.createDataFrame([(k, 100 + k, *map(float, e.ravel())) for k, e in enumerate(ends)], "t long, r long, sx double, sy double, sz double, ex double, ey double, ez double")
+    tris = spark.createDataFrame([(k, *map(float, p.ravel())) for k, p in enumerate(tri)], "tri long, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz"))
+    rows = geometry.path_crossings(segments, tris, (0.0, 0.0, 0.0), 1.0, (5, 5, 5))
+    got = {r.t: r["at"] for r in rows.collect()}
+    assert all(np.allclose(got[k], rays.crossings(*e, tri)) for k, e in enumerate(ends)) and sum(map(len, got.values())) > 20
+    # pairs of paths and triangles are not rows
+    assert "FlatMapCoGroupsInArrow" in rows._jdf.queryExecution().toString()

@@ -295,6 +295,28 @@ def plane_normal(points: np.ndarray) -> np.ndarray:
     return n * (1 if n @ mean >= 0 else -1)
 
 
+#: Parameters no further apart are one hit.
+SAME_HIT = 1e-7
+
+
+def crossings_of(ends: np.ndarray, tri: np.ndarray, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of segments (n, 2, 3) and the parameters at which they meet triangles (m, 3, 3): a row a hit."""
+    d, e1, e2 = (ends[:, 1] - ends[:, 0]).T[:, :, None], (tri[:, 1] - tri[:, 0]).T[:, None], (tri[:, 2] - tri[:, 0]).T[:, None]
+    s = ends[:, 0].T[:, :, None] - tri[:, 0].T[:, None]
+    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    h = cross(d, e2)
+    det = dot(e1, h)
+    u = dot(s, h) / np.where(det == 0, 1, det)
+    own, each = np.nonzero((np.abs(det) > 1e-14) & (u >= -eps) & (u <= 1 + eps))
+    # few are left
+    det, u, s, d, e1, e2 = det[own, each], u[own, each], s[:, own, each], d[:, own, 0], e1[:, 0, each], e2[:, 0, each]
+    q = cross(s, e1)
+    v, t = dot(d, q) / det, dot(e2, q) / det
+    hit = (v >= -eps) & (u + v <= 1 + eps) & (t >= 0) & (t <= 1)
+    return own[hit], t[hit]
+
+
 def crossings(start, end, tri: np.ndarray, eps: float = 1e-9) -> np.ndarray:
     """Sorted distinct parameters at which a segment meets triangles (n, 3, 3); hits on shared edges count once."""
     d = np.asarray(end, float) - start
@@ -309,7 +331,7 @@ def crossings(start, end, tri: np.ndarray, eps: float = 1e-9) -> np.ndarray:
     v = np.einsum("j,ij->i", d, q) * inv
     t = np.einsum("ij,ij->i", e2, q) * inv
     hit = np.sort(t[ok & (u >= -eps) & (v >= -eps) & (u + v <= 1 + eps) & (t >= 0) & (t <= 1)])
-    return hit[np.concatenate(([True], np.diff(hit) > 1e-7))] if len(hit) else hit
+    return hit[np.concatenate(([True], np.diff(hit) > SAME_HIT))] if len(hit) else hit
 
 
 def delaunay(points: np.ndarray) -> np.ndarray:

@@ -102,6 +102,7 @@ def triangulate(points: DataFrame, key: str = "f") -> DataFrame:
 
 
 _CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
+_ENDS = [f"{p}{c}" for p in "se" for c in "xyz"]
 
 
 def _box_range(d: int, lo, size: float, shape) -> tuple[Column, Column]:
@@ -137,25 +138,27 @@ def depth_mask(spark, depths: DataFrame, shape, top: int | None = None) -> DataF
 def path_crossings(segments: DataFrame, tris: DataFrame, lo, size: float, shape) -> DataFrame:
     """t, r, at: sorted parameters where each segment (ax.. to bx..) meets the surface.
 
-    Triangles and paths meet in the voxels that both touch; a path's triangles are tested
-    together, so hits on shared edges count once.
+    Triangles and paths meet in the voxels that both touch, and only hits leave them; a path's
+    hits are sorted together, so those of several voxels or on shared edges count once.
     """
     from .tomography import march
 
     points = segments.select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
-    cells = march(points, lo, size, shape).select("t", "r", "vid")
-    boxes = triangle_cells(tris, lo, size, shape).select("tri", *_CORNERS, voxel_id(F.col("i"), F.col("j"), F.col("k"), shape).alias("vid"))
-    near = cells.join(boxes, "vid").groupBy("t", "r", "tri").agg(F.first(F.array(*_CORNERS)).alias("c"))
-    near = near.groupBy("t", "r").agg(F.collect_list("c").alias("tris")).join(points, ["t", "r"])
-
-    def meet(batches):
-        for batch in batches:
-            out = []
-            for tri, (a, b) in zip(batch.column("tris").to_pylist(), batch.column("points").to_pylist(), strict=True):
-                out.append(rays.crossings(np.asarray(a), np.asarray(b), np.asarray(tri, float).reshape(-1, 3, 3)).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("r"), pa.array(out, pa.list_(pa.float64()))], names=["t", "r", "at"])
-
-    found = near.mapInArrow(meet, "t long, r long, at array<double>")
+    cells = march(points, lo, size, shape).select("t", "r", "vid").join(segments, ["t", "r"]).select("vid", "t", "r", *_ENDS)
+    boxes = triangle_cells(tris, lo, size, shape).select(*_CORNERS, voxel_id(F.col("i"), F.col("j"), F.col("k"), shape).alias("vid"))
+
+    def meet(paths: pa.Table, near: pa.Table) -> pa.Table:
+        ends = np.stack([paths.column(c).to_numpy() for c in _ENDS], axis=-1).reshape(-1, 2, 3)
+        tri = np.stack([near.column(c).to_numpy() for c in _CORNERS], axis=-1).reshape(-1, 3, 3)
+        found = [rays.crossings_of(ends[k : k + 64], tri) for k in range(0, len(ends), 64)] if len(tri) else []
+        own = np.concatenate([np.zeros(0, np.int64), *(o + 64 * k for k, (o, _) in enumerate(found))])
+        take = pa.array(own, pa.int64())
+        return pa.table([paths.column("t").take(take), paths.column("r").take(take), pa.array(np.concatenate([np.zeros(0), *(a for _, a in found)]))], names=["t", "r", "at"])
+
+    hits = cells.groupBy("vid").cogroup(boxes.groupBy("vid")).applyInArrow(meet, "t long, r long, at double")
+    hits = hits.groupBy("t", "r").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    apart = F.filter("at", lambda x, k: (k == 0) | (x - F.get("at", k - 1) > rays.SAME_HIT))
+    found = hits.select("t", "r", apart.alias("at"))
     return segments.select("t", "r").join(found, ["t", "r"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<double>")))
 
 
