@@ -163,3 +163,18 @@ def test_crossings_are_found_by_voxel(spark):
     assert all(np.allclose(got[k], rays.crossings(*e, tri)) for k, e in enumerate(ends)) and sum(map(len, got.values())) > 20
     # pairs of paths and triangles are not rows
     assert "FlatMapCoGroupsInArrow" in rows._jdf.queryExecution().toString()
+
+
+def test_paths_are_bent_together(spark):
+    i = np.indices((9, 9, 9))
+    grid = 1.5 + 0.5 * np.sin(i[0] / 2) * np.cos(i[1] / 3 + i[2] / 5)
+    points = np.random.default_rng(3).random((40, 3, 3)) * 8
+    each = [rays.bent_path(grid, p, 8)[1] for p in points]
+    assert np.allclose(rays.bent_integrals(grid, points, 8), each, atol=1e-3)
+    rows = [(k, 0, p[: 2 + k % 2].tolist()) for k, p in enumerate(points)]
+    got = geometry.bent_rays(spark.createDataFrame(rows, "t long, r long, points array<array<double>>").coalesce(1), grid, 4)
+    for r in got.collect():
+        p = np.array(rows[r.t][2])
+        assert np.isclose(r.straight, rays.path_integral(grid, p)[0]) and np.isclose(r.bent, rays.bent_path(grid, p, 4)[1], atol=1e-3)
+    # rows of one partition are dealt out
+    assert got.rdd.getNumPartitions() > 1

@@ -34,16 +34,20 @@ def trilinear(grid: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndar
     top = np.array(grid.shape) - 1
     p = np.clip(points, 0, top)
     base = np.minimum(np.floor(p).astype(int), np.maximum(top - 1, 0))
-    f = p - base
-    value, slope = np.zeros(len(p)), np.zeros((len(p), 3))
-    for corner in np.ndindex(2, 2, 2):
-        at = np.minimum(base + corner, top)
-        v = grid[at[:, 0], at[:, 1], at[:, 2]]
-        w = np.where(np.array(corner), f, 1 - f)
-        value += v * w.prod(axis=1)
-        for d in range(3):
-            rest = np.delete(w, d, axis=1).prod(axis=1)
-            slope[:, d] += v * rest * (1 if corner[d] else -1)
+    fx, fy, fz = (p - base).T
+    flat, (nx, ny, nz) = grid.ravel(), grid.shape
+    at = (base[:, 0] * ny + base[:, 1]) * nz + base[:, 2]
+    i, j, k = ny * nz * (nx > 1), nz * (ny > 1), int(nz > 1)
+    near, far = [[flat[at + s + y] for y in (0, j)] for s in (0, k)], [[flat[at + i + s + y] for y in (0, j)] for s in (0, k)]
+    # along x, then along y, then along z
+    dx = [[q - p for p, q in zip(a, b, strict=True)] for a, b in zip(near, far, strict=True)]
+    vx = [[p + fx * d for p, d in zip(a, b, strict=True)] for a, b in zip(near, dx, strict=True)]
+    dy = [b - a for a, b in vx]
+    vy = [a + fy * d for (a, _), d in zip(vx, dy, strict=True)]
+    sx = [a + fy * (b - a) for a, b in dx]
+    dz = vy[1] - vy[0]
+    value = vy[0] + fz * dz
+    slope = np.stack((sx[0] + fz * (sx[1] - sx[0]), dy[0] + fz * (dy[1] - dy[0]), dz), axis=-1)
     slope[(points < 0) | (points > top)] = 0
     return value, slope
 
@@ -128,6 +132,51 @@ def first_arrivals(slowness: np.ndarray, source: np.ndarray, tol: float = 1e-9,
     return time
 
 
+def first_arrivals_of(slowness: np.ndarray, sources: np.ndarray, tol: float = 1e-9, rounds: int = 10_000) -> np.ndarray:
+    """``first_arrivals`` of many sources (n, 3) at once: the same rounds, but only at voxels of which a neighbour has changed."""
+    n, shape = len(sources), slowness.shape
+    wide = tuple(k + 2 for k in shape)
+    inner = (slice(None), *[slice(1, -1)] * 3)
+    sources = np.asarray(sources, float)
+    near = np.indices(shape).reshape(3, -1).T - sources[:, None]
+    close = np.abs(near).max(axis=2) <= 1.5
+    local = trilinear(slowness, sources)[0]
+    start = np.where(close, np.linalg.norm(near, axis=2) * (local[:, None] + slowness.reshape(-1)) / 2, np.inf)
+    time, free = np.full((n, *wide), np.inf), np.zeros((n, *wide), bool)
+    time[inner], free[inner] = start.reshape(n, *shape), ~close.reshape(n, *shape)
+    slow = np.pad(slowness, 1).ravel()
+    time, free, cells = time.reshape(-1), free.reshape(-1), len(slow)
+    steps = (wide[1] * wide[2], wide[2], 1)
+    moved = np.flatnonzero(np.isfinite(time))
+    for _ in range(rounds):
+        mark = np.zeros(len(time), bool)
+        for k in steps:
+            mark[moved - k] = mark[moved + k] = True
+        at = np.flatnonzero(mark & free)
+        a, b, c = (np.minimum(time[at - k], time[at + k]) for k in steps)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        b, c = np.minimum(b, c), np.maximum(b, c)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        s = slow[at % cells]
+        with np.errstate(invalid="ignore"):
+            new, total, square = a + s, a, a**2
+            for k, low in ((2, b), (3, c)):
+                total, square = total + low, square + low**2
+                mean = total / k
+                root = mean**2 - (square - s**2) / k
+                new = np.where((root >= 0) & (new > low), np.minimum(new, mean + np.sqrt(np.maximum(root, 0))), new)
+            old = time[at]
+            better = new < old
+            going = np.zeros(n, bool)
+            going[at[new < old - tol] // cells] = True
+        moved = at[better]
+        time[moved] = new[better]
+        moved = moved[going[moved // cells]]
+        if not len(moved):
+            break
+    return time.reshape(n, *wide)[inner]
+
+
 def path_integral(grid: np.ndarray, points: np.ndarray, sample=None) -> tuple[float, np.ndarray]:
     """Integral of a grid along a polyline (voxel units) and its derivative by the points; sample: points -> values and gradients, if not linear."""
     a, b = points[:-1], points[1:]
@@ -179,6 +228,96 @@ def minimise(f, x: np.ndarray, steps: int = 60, memory: int = 8, tol: float = 1e
     return x, value
 
 
+def path_integrals(grid: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``path_integral`` of many polylines (n, m, 3) at once."""
+    a, b = points[:, :-1], points[:, 1:]
+    d = b - a
+    length = np.linalg.norm(d, axis=2)
+    at = a[:, :, None] + NODES[:, None] * d[:, :, None]
+    value, slope = trilinear(grid, at.reshape(-1, 3))
+    value, slope = value.reshape(at.shape[:3]), slope.reshape(at.shape)
+    mean = value @ WEIGHTS
+    unit = d / np.maximum(length, 1e-300)[..., None] * mean[..., None]
+    grad = np.zeros_like(points)
+    grad[:, :-1] += length[..., None] * np.einsum("psnd,n->psd", slope, WEIGHTS * (1 - NODES)) - unit
+    grad[:, 1:] += length[..., None] * np.einsum("psnd,n->psd", slope, WEIGHTS * NODES) + unit
+    return (length * mean).sum(axis=1), grad
+
+
+def minimise_many(f, x: np.ndarray, steps: int = 60, memory: int = 8, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """``minimise`` of many vectors (n, d), each by itself; f gives values and gradients of the rows that it is given by number and place."""
+    x = x.copy()
+    value, g = f(np.arange(len(x)), x)
+    count = np.zeros(len(x), int)  # of the pairs that a row has; the newest is last
+    s, y = np.zeros((2, memory, *x.shape))
+    sy = np.ones((memory, len(x)))
+    dot = lambda a, b: np.einsum("nd,nd->n", a, b)
+    live = np.arange(len(x))
+    for _ in range(steps):
+        q, alphas, used = g[live], [], [k for k in range(memory) if (count[live] >= memory - k).any()]
+        for k in reversed(used):
+            alphas.append(np.where(count[live] >= memory - k, dot(s[k, live], q) / sy[k, live], 0))
+            q = q - alphas[-1][:, None] * y[k, live]
+        if used:
+            size = dot(y[-1, live], y[-1, live])
+            q *= np.where(count[live] > 0, sy[-1, live] / np.where(size > 0, size, 1), 1)[:, None]
+        for k, alpha in zip(used, reversed(alphas), strict=True):
+            q += s[k, live] * np.where(count[live] >= memory - k, alpha - dot(y[k, live], q) / sy[k, live], 0)[:, None]
+        slope = dot(g[live], q)
+        up = slope <= 0
+        q[up], count[live[up]] = g[live[up]], 0
+        slope[up] = dot(q[up], q[up])
+        go = slope > tol * tol
+        live, q, slope = live[go], q[go], slope[go]
+        new, after, h = np.empty_like(q), np.empty(len(q)), np.empty_like(q)
+        step, todo = 1.0, np.arange(len(live))
+        while len(todo) and step > 1e-12:
+            own = live[todo]
+            new[todo] = x[own] - step * q[todo]
+            after[todo], h[todo] = f(own, new[todo])
+            todo = todo[~(after[todo] <= value[own] - 1e-4 * step * slope[todo])]
+            step /= 2
+        found = np.ones(len(live), bool)
+        found[todo] = False
+        live, new, after, h = live[found], new[found], after[found], h[found]
+        ds, dy = new - x[live], h - g[live]
+        curve = dot(ds, dy)
+        good = curve > 1e-14
+        own = live[good]
+        for kept, last in ((s, ds), (y, dy), (sy, curve)):
+            kept[:-1, own] = kept[1:, own]
+            kept[-1, own] = last[good]
+        count[own] = np.minimum(count[own] + 1, memory)
+        done = value[live] - after <= tol * np.abs(value[live])
+        x[live], value[live], g[live] = new, after, h
+        live = live[~done]
+        if not len(live):
+            break
+    return x, value
+
+
+def bent_integrals(grid: np.ndarray, points: np.ndarray, segments: int = 16, tol: float = 1e-6) -> np.ndarray:
+    """The integrals of ``bent_path`` of many polylines (n, m, 3) at once."""
+    out = path_integrals(grid, points)[0]
+    best, live = out.copy(), np.arange(len(points))
+    while len(live) and points.shape[1] - 1 < segments:
+        points = np.insert(points, np.arange(1, points.shape[1]), (points[:, :-1] + points[:, 1:]) / 2, axis=1)
+
+        def f(rows, x, points=points):
+            whole = points[rows]
+            whole[:, 1:-1] = x.reshape(len(x), -1, 3)
+            value, g = path_integrals(grid, whole)
+            return value, g[:, 1:-1].reshape(len(x), -1)
+
+        inner, value = minimise_many(f, points[:, 1:-1].reshape(len(points), -1))
+        points[:, 1:-1] = inner.reshape(len(points), -1, 3)
+        out[live] = np.minimum(best, value)
+        more = best - value >= tol * np.abs(best)
+        out[live[more]] = value[more]
+        points, live, best = points[more], live[more], value[more]
+    return out
+
+
 def adaptive_integral(f, start: np.ndarray, end: np.ndarray, atol: float = 1e-6, rtol: float = 1e-6, depth: int = 30) -> tuple[float, float]:
     """Integral of f (points -> values) over a segment and its error: intervals are halved until 15 points agree with the same on both halves."""
     d = np.asarray(end, float) - start
@@ -387,20 +526,30 @@ def compensated_integral(grid: np.ndarray, start, end, panels: int = 8, weight:
     of the integral counts by the cosine between normal and ray.  The first value is None where
     the angle exceeds max_angle (degrees).  Points are in voxel units.
     """
-    start, end = np.asarray(start, float), np.asarray(end, float)
-    length = np.linalg.norm(end - start)
-    if not length:
-        return 0.0, 0.0, np.zeros(3)
-    ray = (end - start) / length
+    comp, straight, normal = compensated_integrals(grid, np.array([[start, end]], float), panels, weight, max_angle)
+    return None if np.isnan(comp[0]) else float(comp[0]), float(straight[0]), normal[0]
+
+
+def compensated_integrals(grid: np.ndarray, ends: np.ndarray, panels: int = 8, weight: float = 1.0, max_angle: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``compensated_integral`` of many rays (n, 2, 3) at once; NaN where the angle exceeds max_angle."""
+    start, d = ends[:, 0], ends[:, 1] - ends[:, 0]
+    length = np.linalg.norm(d, axis=1)
+    some = length > 0
+    ray = d / np.where(some, length, 1)[:, None]
     at = ((np.arange(panels)[:, None] + NODES) / panels).ravel()
-    value, slope = trilinear(grid, start + at[:, None] * (end - start))
-    if np.any(value == 0):
+    value, slope = trilinear(grid, (start[:, None] + at[:, None] * d[:, None]).reshape(-1, 3))
+    value, slope = value.reshape(len(ends), -1), slope.reshape(len(ends), -1, 3)
+    if np.any(value[some] == 0):
         raise ValueError("the grid vanishes on the path")
-    turn, normal, last, cosine = weight * length * slope / value[:, None], ray, 0.0, np.empty(len(at))
+    value = np.where(some[:, None], value, 1)
+    ray = np.where(some[:, None], ray, 1.0)
+    turn, normal, last, cosine = weight * length[:, None, None] * slope / value[..., None], ray, 0.0, np.empty(value.shape)
     for k, u in enumerate(at):
-        normal = normal + (u - last) / (ray @ normal) * turn[k]
-        normal = normal / np.linalg.norm(normal)
-        cosine[k], last = normal @ ray, u
-    part = np.tile(WEIGHTS / panels, panels) * value * length
-    good = max_angle is None or cosine.min() >= np.cos(np.radians(max_angle))
-    return float(part @ cosine) if good else None, float(part.sum()), normal
+        normal = normal + ((u - last) / np.einsum("nd,nd->n", ray, normal))[:, None] * turn[:, k]
+        normal /= np.linalg.norm(normal, axis=1)[:, None]
+        cosine[:, k], last = np.einsum("nd,nd->n", normal, ray), u
+    part = np.tile(WEIGHTS / panels, panels) * value * length[:, None]
+    comp = np.einsum("nk,nk->n", part, cosine)
+    if max_angle is not None:
+        comp[some & (cosine.min(axis=1) < np.cos(np.radians(max_angle)))] = np.nan
+    return comp, part.sum(axis=1), np.where(some[:, None], normal, 0.0)

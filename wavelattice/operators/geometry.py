@@ -197,6 +197,27 @@ def fresnel_paths(paths: DataFrame, wavelength: float, shape, keys=("t", "r")) -
     return paths.select(*keys, "points").mapInArrow(run, ", ".join([*kinds, "vid long", "len double"]))
 
 
+#: Paths that a task works on at once.
+TOGETHER = 512
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that cost much each, dealt evenly over all cores: a small file is one partition otherwise."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def polylines(column: pa.ListArray, most: int = TOGETHER):
+    """Row numbers and points (n, m, 3) of the polylines of a batch, those of as many points together, at most so many."""
+    points = column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+    size = column.value_lengths().to_numpy()
+    first = np.cumsum(size) - size
+    for m in np.unique(size):
+        rows = np.flatnonzero(size == m)
+        for k in range(0, len(rows), most):
+            own = rows[k : k + most]
+            yield own, points[first[own][:, None] + np.arange(m)]
+
+
 #: Cells of a grid that may be sent to every worker (32 MB).
 MAX_GRID = 4 << 20
 
@@ -210,14 +231,12 @@ def bent_rays(paths: DataFrame, grid: np.ndarray, segments: int = 8, keys=("t",
 
     def run(batches):
         for batch in batches:
-            out = [[], []]
-            for points in batch.column("points").to_pylist():
-                p = np.asarray(points, float)
-                out[0].append(rays.path_integral(held.value, p)[0])
-                out[1].append(rays.bent_path(held.value, p, segments)[1])
+            out = np.empty((2, len(batch)))
+            for own, points in polylines(batch.column("points")):
+                out[0, own], out[1, own] = rays.path_integrals(held.value, points)[0], rays.bent_integrals(held.value, points, segments)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *map(pa.array, out)], names=[*keys, "straight", "bent"])
 
-    return paths.select(*keys, "points").mapInArrow(run, ", ".join([*kinds, "straight double", "bent double"]))
+    return spread(paths.select(*keys, "points")).mapInArrow(run, ", ".join([*kinds, "straight double", "bent double"]))
 
 
 def compensated_times(paths: DataFrame, grid: np.ndarray, panels: int = 8, weight: float = 1.0, max_angle: float | None = None, keys=("t", "r")) -> DataFrame:
