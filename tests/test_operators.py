@@ -178,3 +178,15 @@ def test_paths_are_bent_together(spark):
         assert np.isclose(r.straight, rays.path_integral(grid, p)[0]) and np.isclose(r.bent, rays.bent_path(grid, p, 4)[1], atol=1e-3)
     # rows of one partition are dealt out
     assert got.rdd.getNumPartitions() > 1
+
+
+def test_fields_of_many_sources_are_computed_together(spark):
+    slowness = 0.3 + np.random.default_rng(4).random((7, 6, 5))
+    places = [(k, 0.7 * k, k % 5 + 0.3, k % 3 + 0.2) for k in range(9)]
+    fields = [rays.first_arrivals(slowness, np.array(p[1:]) - 0.5) for p in places]
+    assert np.allclose(rays.first_arrivals_of(slowness, np.array(places)[:, 1:] - 0.5), fields)
+    ends = spark.createDataFrame(places, "e long, x double, y double, z double").coalesce(1)
+    times = models.eikonal_times(ends, ends, slowness)
+    assert times.rdd.getNumPartitions() > 1 and times.count() == 81
+    for r in times.collect():
+        assert np.isclose(r.time, rays.trilinear(fields[r.t], np.array([places[r.r][1:]]) - 0.5)[0][0])

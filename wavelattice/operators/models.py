@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError
 from ..functions import rays
-from .geometry import MAX_GRID
+from .geometry import MAX_GRID, polylines, spread
 
 PAIR = ("t", "r")
 
@@ -138,15 +138,15 @@ class Tracer:
         def run(batches):
             options["sample"] = make(held.value)
             for batch in batches:
-                every, out = batch.column("points").to_pylist(), []
-                if time is _straight and all(len(p) == 2 for p in every):
-                    ends = np.array(every, float).reshape(-1, 2, 3)
-                    good = np.all((ends >= lo) & (ends <= hi), axis=(1, 2))
-                    value = np.full(len(ends), np.nan)
-                    value[good] = _straight_pairs((ends[good] - lo) / size - 0.5, options["sample"]) * size[0]
+                if time is _straight and set(batch.column("points").value_lengths().to_pylist()) == {2}:
+                    value = np.full(len(batch), np.nan)
+                    for own, ends in polylines(batch.column("points")):
+                        good = np.all((ends >= lo) & (ends <= hi), axis=(1, 2))
+                        value[own[good]] = _straight_pairs((ends[good] - lo) / size - 0.5, options["sample"]) * size[0]
                     yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(value, pa.float64(), from_pandas=True)], names=[*keys, "time"])
                     continue
-                for points in every:
+                out = []
+                for points in batch.column("points").to_pylist():
                     p = np.asarray(points, float)
                     inside = np.all((p >= lo) & (p <= hi)) and np.isfinite(p).all()
                     # voxel centres stand at whole numbers; lengths are in world units
@@ -179,6 +179,10 @@ def path_times(tracer: Tracer, slowness: np.ndarray, sources: DataFrame, targets
     return tracer.times(paths_between(sources, targets, wanted), slowness).withColumn("time", F.coalesce("time", F.lit(float("nan"))))
 
 
+#: Voxels of the fields that a task computes at once: about 16 fields of 4,096 voxels, one of a large grid.
+FIELD_CELLS = 64 << 10
+
+
 def eikonal_times(sources: DataFrame, targets: DataFrame, slowness: np.ndarray, lo=(0.0, 0.0, 0.0), size: float = 1.0) -> DataFrame:
     """t, r, time: first arrivals from the field of each source, computed once a source, at every target (whose number is checked)."""
     if slowness.size > MAX_GRID:
@@ -188,17 +192,19 @@ def eikonal_times(sources: DataFrame, targets: DataFrame, slowness: np.ndarray,
         raise ValueError("too many targets")
     sc = targets.sparkSession.sparkContext
     held = sc.broadcast((np.asarray(slowness, float), np.array([[p.x, p.y, p.z] for p in places], float).reshape(-1, 3), [p.e for p in places]))
-    corner = np.asarray(lo, float)
+    corner, some = np.asarray(lo, float), max(1, FIELD_CELLS // slowness.size)
 
     def run(batches):
         grid, points, names = held.value
         for batch in batches:
-            for t, *place in zip(*(batch.column(c).to_pylist() for c in "exyz"), strict=True):
-                field = rays.first_arrivals(grid, (np.array(place, float) - corner) / size - 0.5) * size
-                value, _ = rays.trilinear(field, (points - corner) / size - 0.5)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(value)], names=["t", "r", "time"])
-
-    return sources.select("e", "x", "y", "z").mapInArrow(run, "t long, r long, time double")
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "xyz"], axis=-1)
+            for k in range(0, len(batch), some):
+                fields = rays.first_arrivals_of(grid, (place[k : k + some] - corner) / size - 0.5) * size
+                value = np.concatenate([rays.trilinear(field, (points - corner) / size - 0.5)[0] for field in fields])
+                t = batch.column("e").slice(k, some).cast(pa.int64()).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t, len(names))), pa.array(names * len(t), pa.int64()), pa.array(value)], names=["t", "r", "time"])
+
+    return spread(sources.select("e", "x", "y", "z")).mapInArrow(run, "t long, r long, time double")
 
 
 def model_times(tracer: Tracer, slowness: np.ndarray, sources: DataFrame, targets: DataFrame, eikonal: bool = False) -> DataFrame:
