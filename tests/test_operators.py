@@ -190,3 +190,26 @@ def test_fields_of_many_sources_are_computed_together(spark):
     assert times.rdd.getNumPartitions() > 1 and times.count() == 81
     for r in times.collect():
         assert np.isclose(r.time, rays.trilinear(fields[r.t], np.array([places[r.r][1:]]) - 0.5)[0][0])
+
+
+def test_compensated_times_of_many_paths(spark):
+    grid = 1 + np.random.default_rng(6).random((7, 7, 7))
+    points = np.random.default_rng(8).random((30, 2, 3)) * 6
+    points[3, 1] = points[3, 0]
+    rows = spark.createDataFrame([(k, 0, p.tolist()) for k, p in enumerate(points)], "t long, r long, points array<array<double>>").coalesce(1)
+    got = geometry.compensated_times(rows, grid, max_angle=20.0)
+    assert got.rdd.getNumPartitions() > 1
+    for r in got.collect():
+        a, b = points[r.t]
+        u = (np.arange(8)[:, None] + rays.NODES).ravel() / 8
+        value, slope = rays.trilinear(grid, a + u[:, None] * (b - a))
+        length, normal, last, cosine = np.linalg.norm(b - a), b - a, 0.0, []
+        ray = normal = (b - a) / (length or 1)
+        for v, s, at in zip(value, slope, u, strict=True):
+            normal = normal + (at - last) / ((ray @ normal) or 1) * length * s / v
+            normal = normal / (np.linalg.norm(normal) or 1)
+            cosine.append(normal @ ray)
+            last = at
+        part = np.tile(rays.WEIGHTS / 8, 8) * value * length
+        assert np.isclose(r.straight, part.sum()) and np.allclose((r.nx, r.ny, r.nz), normal)
+        assert (r.compensated is None) if length and min(cosine) < np.cos(np.radians(20)) else np.isclose(r.compensated, part @ cosine)

@@ -252,15 +252,15 @@ def compensated_times(paths: DataFrame, grid: np.ndarray, panels: int = 8, weigh
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for points in batch.column("points").to_pylist():
-                a, b = points[0], points[-1]
-                comp, straight, normal = rays.compensated_integral(held.value, a, b, panels, weight, max_angle)
-                half = rays.compensated_integral(held.value, a, b, max(1, panels // 2), weight, max_angle)[0]
-                rows.append((comp, straight, None if comp is None or half is None else abs(comp - half), *normal))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(6))], names=[*keys, *names])
-
-    return paths.select(*keys, "points").mapInArrow(run, ", ".join([*kinds, *(f"{n} double" for n in names)]))
+            out = np.full((6, len(batch)), np.nan)
+            for own, points in polylines(batch.column("points")):
+                ends = points[:, [0, -1]]
+                out[0, own], out[1, own], normal = rays.compensated_integrals(held.value, ends, panels, weight, max_angle)
+                half = rays.compensated_integrals(held.value, ends, max(1, panels // 2), weight, max_angle)[0]
+                out[2, own], out[3:, own] = np.abs(out[0, own] - half), normal.T
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(c, from_pandas=True) for c in out)], names=[*keys, *names])
+
+    return spread(paths.select(*keys, "points")).mapInArrow(run, ", ".join([*kinds, *(f"{n} double" for n in names)]))
 
 
 def plausible_times(times: DataFrame, least: float) -> DataFrame:
