@@ -93,13 +93,14 @@ def hadamard_join(samples: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("rid", "g", "l", "s").agg((F.sum("w") / size).alias("v"))
 
 
-def hadamard_decode(records: DataFrame, size: int, nsamp: int, f2c: int = 0, signs: DataFrame | None = None, tgc: list[float] | None = None, tgc_samples: int = 16, band: tuple[int, int, int] | None = None, time_domain: bool = True) -> DataFrame:
+def hadamard_decode(records: DataFrame, size: int, nsamp: int, f2c: int = 0, signs: DataFrame | None = None, tgc: list[float] | None = None, tgc_samples: int = 16, band: tuple[int, int, int] | None = None, time_domain: bool = True, whole: bool = True) -> DataFrame:
     """rid, g, l, re, im (or data): the full decoding of each channel.
 
     Records are cut to [0, nsamp) in global time, a group's transmissions are transformed and
     divided by their number, flipped by sign, multiplied by the gain curve, transformed to
     frequency, limited to a band (start, end, tail), and brought back on request.  A group
-    that is not whole, or of a size that is no power of two, is an error.
+    that is not whole (unless ``whole`` is false: then what it lacks is silent), or of a size that
+    is no power of two, is an error.
     """
     if size & (size - 1):
         raise ValueError("a group's size must be a power of two")
@@ -117,9 +118,12 @@ def hadamard_decode(records: DataFrame, size: int, nsamp: int, f2c: int = 0, sig
             out: list[list] = [[] for _ in range(5)]
             for row in batch.to_pylist():
                 parts = row["parts"]
-                if [p["l"] for p in parts] != list(range(size)):
+                places = [p["l"] for p in parts]
+                if len(set(places)) < len(places) or (whole and len(places) < size):
                     raise ValueError(f"group {row['g']} of channel {row['rid']} is not whole")
-                x = K.walsh_hadamard(np.array([p["data"] for p in parts], float)) / size if size > 1 else np.array([p["data"] for p in parts], float)
+                x = np.zeros((size, nsamp))
+                x[places] = [p["data"] for p in parts]
+                x = K.walsh_hadamard(x) / size if size > 1 else x
                 for p in row["signs"] or ():
                     if size > 1:
                         x[p["l"]] *= p["sign"]

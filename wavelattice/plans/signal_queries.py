@@ -140,7 +140,7 @@ def _coded(spark, sf_dir):
 
 @query("hadamard_decode", "with " + _CODED.removeprefix("also ") + " select rid, (row // 4)::bigint as g, l, s, round(sum(v * (1 - 2 * (bit_count((row % 4)::bigint & l) % 2))) / 4, 6) as v from coded, (select unnest(range(0, 4))::bigint as l) group by 1, 2, 3, 4")
 def hadamard_decode(spark, sf_dir):
-    out = decode.hadamard_decode(_coded(spark, sf_dir), 4, B.NSAMP)
+    out = decode.hadamard_decode(_coded(spark, sf_dir), 4, B.NSAMP, whole=False)
     return out.select("rid", "g", "l", F.posexplode("re").alias("s", "v")).select("rid", "g", "l", F.col("s").cast("long").alias("s"), F.round("v", 6).alias("v"))
 
 
