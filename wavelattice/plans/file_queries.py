@@ -26,7 +26,7 @@ def _sets(spark, sf_dir) -> str:
     """A file for each four channels."""
     folder = shared_path(spark, "sets")
     rows = _records(spark, sf_dir).withColumn("path", F.concat(F.lit("set"), F.floor(F.col("rid") / 4).cast("string")))
-    waveset.write_sets(rows, folder, typecode="F8", nsamp=72)
+    waveset.write_sets(rows, folder, typecode="F8", nsamp=72, ntx=20)
     return folder
 
 
@@ -88,6 +88,6 @@ def keymat_text(spark, sf_dir):
 
 @query("decoded_set", "with " + _RECORDS.removeprefix("also ") + " select rid, (row // 4)::bigint as g, l, s - 4 as s, round(sum(v * (1 - 2 * (bit_count((row % 4)::bigint & l) % 2))) / 4, 6) as v from records, (select unnest(range(0, 4))::bigint as l) group by 1, 2, 3, 4")
 def decoded_set(spark, sf_dir):
-    """A file's transmissions, four by four, decoded from sample 4 on."""
-    out = decode.hadamard_decode(waveset.read_records(spark, _sets(spark, sf_dir)), 4, 64, f2c=-4)
+    """A file's transmissions, four by four, decoded from sample 4 on; those that a channel lacks are silent."""
+    out = decode.hadamard_decode(waveset.read_records(spark, _sets(spark, sf_dir)), 4, 64, f2c=-4, whole=False)
     return out.select("rid", "g", "l", F.posexplode("re").alias("s", "v")).select("rid", "g", "l", F.col("s").cast("long").alias("s"), F.round("v", 6).alias("v"))
