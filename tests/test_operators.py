@@ -222,3 +222,10 @@ def test_wide_keys_run_into_each_other_on_request(spark):
     assert {tuple(r) for r in rows} == {(t, r, t << 16 | r, (t << 16 | r) >> 16, (t << 16 | r) & 65535) for t, r in pairs_}
     with pytest.raises(Exception, match="outside"):
         spark.createDataFrame(pairs_, "t long, r long").select(A.pack_key(F.col("t"), F.col("r"))).collect()
+
+
+def test_levels_and_noise_of_zero_have_ratios(spark):
+    samples = spark.createDataFrame([(0, k, v) for k, v in enumerate([0.0, 0.0, 0.0, 2.0, 0.0, 1.0])] + [(1, 0, 1.0), (1, 1, 0.0), (1, 2, 1.0), (1, 3, 0.0)], "ch long, s long, v double")
+    got = {(r.ch, r.s): r.snr for r in rolling.rolling_snr(samples, 2, ("ch",)).collect()}
+    assert all(np.isnan(got[0, k]) for k in (0, 1, 2)) and got[0, 3] == np.inf and got[0, 4] == -np.inf and np.isclose(got[0, 5], 20 * np.log10(1 / np.sqrt(2)))
+    assert got[1, 1] == got[1, 3] == -np.inf and np.isfinite(got[1, 2])
