@@ -229,3 +229,18 @@ def test_levels_and_noise_of_zero_have_ratios(spark):
     got = {(r.ch, r.s): r.snr for r in rolling.rolling_snr(samples, 2, ("ch",)).collect()}
     assert all(np.isnan(got[0, k]) for k in (0, 1, 2)) and got[0, 3] == np.inf and got[0, 4] == -np.inf and np.isclose(got[0, 5], 20 * np.log10(1 / np.sqrt(2)))
     assert got[1, 1] == got[1, 3] == -np.inf and np.isfinite(got[1, 2])
+
+
+def test_normals_of_corners_in_a_line(spark):
+    line = [(0, k, 8.0 + 0.1 * k, 3.0 + 0.3 * k, 1.0 + 0.7 * k) for k in range(4)]
+    exact = [(1, k, 1.0 + k, 2.0, 3.0) for k in range(3)]
+    others = [(2, 0, 1.0, 0.0, 0.0), (2, 1, 0.0, 1.0, 0.0), (2, 2, 0.0, 0.0, 1.0), (3, 0, 3.0, 0.0, 4.0)]
+    rows = spark.createDataFrame(line + exact + others, "facet long, place long, x double, y double, z double")
+    points = {f: np.array([r[2:] for r in [*line, *exact, *others] if r[0] == f]) for f in range(4)}
+    for r in geometry.facet_normals(rows).collect():
+        assert np.allclose((r.nx, r.ny, r.nz), rays.facet_normal(points[r.facet]))
+    got = {r.facet: (r.nx, r.ny, r.nz) for r in geometry.facet_normals(rows, flat=None).collect()}
+    p = points[0]
+    n = np.cross(p[1] - p[0], p[-1] - p[0])
+    assert n.any() and np.allclose(np.abs(got[0]), np.abs(n / np.linalg.norm(n)))
+    assert np.isnan(got[1]).all() and np.allclose(got[2], 3**-0.5) and np.allclose(got[3], (0.6, 0, 0.8))

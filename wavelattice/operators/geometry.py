@@ -19,20 +19,45 @@ def norm(*parts: Column) -> Column:
     return F.sqrt(sum((p * p for p in parts), F.lit(0.0)))
 
 
-def facet_normals(corners: DataFrame, all_points: bool = False) -> DataFrame:
+def facet_normals(corners: DataFrame, all_points: bool = False, flat: float | None = 1e-12) -> DataFrame:
     """facet, nx, ny, nz: outward unit normals of facets (facet, place, x, y, z), of three corners or of the best plane.
 
-    A facet has few elements; one group is one facet.
+    A facet has few elements; one group is one facet.  Corners whose cross product is no more
+    than flat times the square of the largest coordinate lie in a line, and the mean stands for
+    their normal; with flat None the cross product stands whatever its size, NaN where it is 0.
     """
+    if not all_points:
+        return _corner_normals(corners, flat)
 
     def normal(rows: pd.DataFrame) -> pd.DataFrame:
         points = rows.sort_values("place")[["x", "y", "z"]].to_numpy(float)
-        n = rays.plane_normal(points) if all_points else rays.facet_normal(points)
+        n = rays.plane_normal(points)
         return pd.DataFrame({"facet": [rows["facet"].iloc[0]], "nx": n[:1], "ny": n[1:2], "nz": n[2:]})
 
     return corners.groupBy("facet").applyInPandas(normal, f"facet {corners.schema['facet'].dataType.simpleString()}, nx double, ny double, nz double")
 
 
+def _corner_normals(corners: DataFrame, flat: float | None) -> DataFrame:
+    """``rays.facet_normal`` of each facet, by column functions."""
+    rows = corners.groupBy("facet").agg(F.array_sort(F.collect_list(F.struct("place", *(F.col(c).cast("double").alias(c) for c in "xyz")))).alias("p"))
+    first, second, last = (F.element_at("p", k) for k in (1, F.when(F.size("p") > 1, 2).otherwise(1), -1))
+    total = lambda c: F.aggregate(F.col("p"), F.lit(0.0), lambda s, x: s + x[c])
+    rows = rows.select("facet", "p", *((second[c] - first[c]).alias(f"a{c}") for c in "xyz"), *((last[c] - first[c]).alias(f"b{c}") for c in "xyz"), *((total(c) / F.size("p")).alias(f"m{c}") for c in "xyz"))
+    product = [F.col(f"a{p}") * F.col(f"b{q}") - F.col(f"a{q}") * F.col(f"b{p}") for p, q in ("yz", "zx", "xy")]
+    rows = rows.withColumns({f"c{c}": v for c, v in zip("xyz", product, strict=True)})
+    cross, mean = [F.col(f"c{c}") for c in "xyz"], [F.col(f"m{c}") for c in "xyz"]
+    length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    good = F.size("p") >= 3
+    if flat is not None:
+        most = F.aggregate(F.col("p"), F.lit(1.0), lambda s, x: F.greatest(s, *(F.abs(x[c]) for c in "xyz")))
+        good &= length(cross) > flat * most * most
+    rows = rows.withColumn("good", good)
+    rows = rows.select("facet", *mean, *(F.when(F.col("good"), v).otherwise(m).alias(f"v{c}") for v, m, c in zip(cross, mean, "xyz", strict=True)))
+    v = [F.col(f"v{c}") for c in "xyz"]
+    size, out = length(v), F.when(v[0] * mean[0] + v[1] * mean[1] + v[2] * mean[2] >= 0, 1).otherwise(-1)
+    return rows.select("facet", *(F.when(size != 0, x / F.when(size != 0, size) * out).otherwise(F.lit("NaN").cast("double")).alias(f"n{c}") for x, c in zip(v, "xyz", strict=True)))
+
+
 def wave_paths(elements: DataFrame, reflectors: DataFrame, radius: float = 0.0) -> DataFrame:
     """e, f, distance, angle between the direction to a reflector and the element's inward normal (nx, ny, nz).
 
