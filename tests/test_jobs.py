@@ -220,3 +220,19 @@ def test_epochs_are_smoothed_and_saved(spark, tmp_path):
     assert speeds.first().exspd == 1.4 and tomography.two_medium_speeds(media).first().misses == 1
     tomography.save_speeds(str(tmp_path / "s"), speeds, media)
     assert spark.read.parquet(str(tmp_path / "s/paths")).where("hit = 'true'").count() == 1 and spark.read.json(str(tmp_path / "s/speeds")).first().hits == 1
+
+
+def test_levels_like_the_noise_keep_the_sign_of_their_sql(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    values = [0.0] * 8 + [0.45] * 9 + [3.3] * 9 + [1.7]
+    rows = [(k, datetime.datetime(2024, 1, 1, 0, k), 1, v) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[1]: r[2] for r in con.sql(catalog.SQL["snr_rolling"]).fetchall()}
+    got = {r.s: r.snr for r in catalog.QUERIES["snr_rolling"](spark, str(tmp_path)).collect()}
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+    assert "-0.0" in map(repr, got.values()) and "nan" in map(repr, got.values())

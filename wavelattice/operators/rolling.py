@@ -105,8 +105,9 @@ def rolling_level(samples: DataFrame, width: int, keys=PAIR) -> DataFrame:
 def rolling_snr(samples: DataFrame, width: int, keys=PAIR, level: str = "v") -> DataFrame:
     """snr added: 20 log10 of a level (an envelope, or |v|) over the noise before it; -inf of no level, inf over no noise, NaN of none over none."""
     top, rms = F.abs(F.col(level)).cast("double"), F.col("rms")
-    least, most, neither = (F.lit(x).cast("double") for x in ("-Infinity", "Infinity", "NaN"))
-    ratio = F.when(rms == 0, F.when((top == 0) | F.isnan(top), neither).when(top > 0, most)).otherwise(top / F.when(rms != 0, rms))
+    least, most = (F.lit(x).cast("double") for x in ("-Infinity", "Infinity"))
+    # top * inf is computed, so its NaN has the sign of a division of 0 by 0
+    ratio = F.when(rms == 0, top * most).otherwise(top / F.when(rms != 0, rms))
     return rolling_level(samples, width, keys).withColumn("snr", F.when(ratio == 0, least).otherwise(20 * F.log10(ratio)))
 
 

@@ -224,7 +224,9 @@ def noise_floor(spark, sf_dir):
 firsts as (select ch, arg_min(rms, s) filter (where rms is not null) as f from raw group by ch)
 select ch, s, round(20 * log10(abs(v) / coalesce(rms, f)), 5) as snr from raw join firsts using (ch)""", "series"))
 def snr_rolling(spark, sf_dir):
-    return rolling.rolling_snr(B.series(spark, sf_dir), 6, ("ch",)).select("ch", "s", F.round("snr", 5).alias("snr"))
+    # a level just below the noise is -0.0, as SQL rounds
+    near = F.round("snr", 5)
+    return rolling.rolling_snr(B.series(spark, sf_dir), 6, ("ch",)).select("ch", "s", F.when((near == 0) & (F.col("snr") < 0), F.lit(-0.0)).otherwise(near).alias("snr"))
 
 
 @query("peak_snr", B.sql("also sd as (select t, r, stddev_pop(v) over w as sd, count(*) over w as n from samples window w as (partition by t, r order by s rows between 7 preceding and current row)), f as (select t, r, min(sd) as sd from sd where n = 8 group by t, r) select t, r, round(20 * log10(max(abs(v))) - 20 * log10(min(sd)), 5) as snr from samples join f using (t, r) group by t, r", "samples"))
