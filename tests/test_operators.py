@@ -165,6 +165,29 @@ def test_crossings_are_found_by_voxel(spark):
     assert "FlatMapCoGroupsInArrow" in rows._jdf.queryExecution().toString()
 
 
+def test_a_voxel_sums_its_hits(spark):
+    from wavelattice.plans import catalog
+
+    rng = np.random.default_rng(12)
+    tri, ends = rng.random((300, 1, 3)) * 5 - 2 + 2 * rng.random((300, 3, 3)), rng.random((30, 2, 3)) * 7 - 1.5  # some lie beyond the grid
+    flat = [[[x, -9.0, -9.0], [x, 9.0, -9.0], [x, 0.0, 30.0]] for x in (1.0, 2.0, 2.0 + 4e-8, 2.0 + 8e-8)]  # at the sides of voxels, three of them one hit
+    tri = np.concatenate([tri, flat, tri[:2]])
+    ends[:3] = [[[-1, 0.5, 0.5], [5, 0.5, 0.5]], [[0, 1, 1], [4, 1, 1]], [[1, 1, 1], [1, 1, 1]]]
+    segments = spark.createDataFrame([(k, 100 + k, *map(float, e.ravel())) for k, e in enumerate(ends)], "t long, r long, sx double, sy double, sz double, ex double, ey double, ez double")
+    tris = spark.createDataFrame([(k, *map(float, p.ravel())) for k, p in enumerate(tri)], "tri long, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz"))
+    hits = {k: rays.crossings(*e, tri) for k, e in enumerate(ends)}
+    at = {r.t: r["at"] for r in geometry.path_crossings(segments, tris, (0.0, 0.0, 0.0), 1.0, (4, 4, 4)).collect()}
+    assert len(at) == 30 and all(np.allclose(at[k], h) for k, h in hits.items()) and sum(map(len, hits.values())) > 60
+    rows = geometry.crossing_sums(segments, tris, (0.0, 0.0, 0.0), 1.0, (4, 4, 4))
+    got = {r.t: r for r in rows.collect()}
+    assert len(got) == 30
+    for k, h in hits.items():
+        assert got[k].hits == len(h) and np.isclose(got[k].inside, h[1::2].sum() - h[::2].sum()) and (len(h) == 0 or np.isclose(got[k]["first"], h[0]))
+    # neither paths nor their hits are held by the driver, or by one row
+    plan = catalog.QUERIES["path_media"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "collect_set" not in plan
+
+
 def test_paths_are_bent_together(spark):
     i = np.indices((9, 9, 9))
     grid = 1.5 + 0.5 * np.sin(i[0] / 2) * np.cos(i[1] / 3 + i[2] / 5)

@@ -438,22 +438,110 @@ def plane_normal(points: np.ndarray) -> np.ndarray:
 SAME_HIT = 1e-7
 
 
-def crossings_of(ends: np.ndarray, tri: np.ndarray, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of segments (n, 2, 3) and the parameters at which they meet triangles (m, 3, 3): a row a hit."""
-    d, e1, e2 = (ends[:, 1] - ends[:, 0]).T[:, :, None], (tri[:, 1] - tri[:, 0]).T[:, None], (tri[:, 2] - tri[:, 0]).T[:, None]
-    s = ends[:, 0].T[:, :, None] - tri[:, 0].T[:, None]
+def segment_pieces(ends: np.ndarray, lo, size: float, shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of segments (n, 2, 3), voxels and first and last parameters of their pieces, which leave no gap from 0 to 1.
+
+    Voxels at the edge of the grid reach outwards without end.
+    """
+    start, d = ends[:, 0], ends[:, 1] - ends[:, 0]
+    cuts = [np.zeros((len(ends), 1)), np.ones((len(ends), 1))]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for x in range(3):
+            at = (lo[x] + size * np.arange(1, shape[x]) - start[:, x, None]) / d[:, x, None]
+            cuts.append(np.where((at > 0) & (at < 1), at, 1.0))
+        cuts = np.sort(np.concatenate(cuts, axis=1), axis=1)
+        own, k = np.nonzero(cuts[:, 1:] > cuts[:, :-1])
+        first, last = cuts[own, k], cuts[own, k + 1]
+        cell = np.floor((start[own] + d[own] * ((first + last) / 2)[:, None] - np.asarray(lo, float)) / size)
+    cell = np.clip(np.nan_to_num(cell), 0, np.asarray(shape) - 1).astype(np.int64)
+    return own, (cell[:, 0] * shape[1] + cell[:, 1]) * shape[2] + cell[:, 2], first, last
+
+
+#: Pairs of segments and triangles whose hits are held at once, and those that are told apart together.
+PAIRS, TILE = 1 << 22, 2048
+
+
+def crossings_of(ends: np.ndarray, first: np.ndarray, last: np.ndarray, tri: np.ndarray, eps: float = 1e-9):
+    """Yields numbers of segments (n, 2, 3) and their hits, sorted and padded with inf: the parameters from first to below last (to 1 at the end) at which they meet triangles (m, 3, 3).
+
+    Five numbers of a pair of a segment and a triangle, all products of a vector of either, have one
+    sign if they meet.  They are told in single precision, with room for its error; pairs that
+    pass are computed anew in double precision.
+    """
+    good = np.flatnonzero(np.isfinite(ends).all(axis=(1, 2)))
+    tri = tri[np.isfinite(tri).all(axis=(1, 2))]
+    if not len(good) or not len(tri):
+        return
+    p, e1, e2 = tri[:, 0], tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0]
+    columns = [np.ascontiguousarray(v.T) for v in (p, e1, e2)]
+    middle = p.mean(axis=0)
+    p = p - middle
+    normal, far, near = np.cross(e2, e1), np.cross(e2, p), np.cross(p, e1)
+    level = (p * normal).sum(axis=1)[:, None]
+    sides = [np.hstack([-far, e2]), np.hstack([-near, -e1]), np.hstack([normal + far + near, e1 - e2]), np.hstack([-normal, level]), np.hstack([normal, -level])]
+    ends, first, last = ends[good], first[good], last[good]
+    start, d = ends[:, 0] - middle, ends[:, 1] - ends[:, 0]
+    line, one = np.hstack([d, np.cross(start, d)]), np.ones((len(good), 1))
+    lines = [line, line, line, np.hstack([start + first[:, None] * d, one]), np.hstack([start + last[:, None] * d, one])]
+    size = lambda v: np.sqrt((v * v).sum(axis=1).max())
+    room = [2e-6 * size(a) * size(b) + 2 * eps * size(d) * size(normal) for a, b in zip(lines, sides, strict=True)]
+    kind = np.float32 if max(room) < 1e24 else np.float64
+    # the room is part of the products: a pair passes if all are at least 0, or with the room taken twice at most 0
+    left = [np.hstack([a, one]).astype(kind) for a in lines]
+    right = [np.hstack([b, np.full((len(b), 1), r)]).astype(kind).T.copy() for b, r in zip(sides, room, strict=True)]
+    step = max(1, min(64, PAIRS // len(tri)))
+    for k in range(0, len(good), step):
+        part = slice(k, k + step)
+        own = good[part]
+        at = [(o, _meet(ends[part], first[part], last[part], columns, o, e, eps)) for o, e in _tiles([a[part] for a in left], right, 2 * max(room))]
+        row = np.concatenate([o[h[0]] for o, h in at])
+        value = np.concatenate([h[1] for _, h in at])
+        if len(at) > 1:
+            order = np.argsort(row.astype(np.uint8), kind="stable")
+            row, value = row[order], value[order]
+        count = np.bincount(row, minlength=len(own))
+        found = np.full((len(own), max(1, count.max())), np.inf)
+        found[row, np.arange(len(row)) - (np.cumsum(count) - count)[row]] = value
+        yield own, np.sort(found, axis=1), count
+
+
+def _tiles(left, right, most: float):
+    """Numbers of segments and triangles of the pairs that may meet, tile by tile."""
+    for j in range(0, right[0].shape[1], TILE):
+        low = left[0] @ right[0][:, j : j + TILE]
+        high, other = low.copy(), np.empty_like(low)
+        for a, b in zip(left[1:], right[1:], strict=True):
+            np.matmul(a, b[:, j : j + TILE], out=other)
+            np.minimum(low, other, out=low)
+            np.maximum(high, other, out=high)
+        own, each = np.nonzero((low >= 0) | (high <= most))
+        yield own, each + j
+
+
+def _meet(ends, first, last, columns, own, each, eps) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these pairs meet, and where; the arithmetic is that of the SQL, term by term."""
+    start, end = ends[:, 0].T.take(own, axis=1), ends[:, 1].T.take(own, axis=1)
+    p, e1, e2 = (c.take(each, axis=1) for c in columns)
     cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
     dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    h = cross(d, e2)
+    d, s = end - start, start - p
+    h, q = cross(d, e2), cross(s, e1)
     det = dot(e1, h)
-    u = dot(s, h) / np.where(det == 0, 1, det)
-    own, each = np.nonzero((np.abs(det) > 1e-14) & (u >= -eps) & (u <= 1 + eps))
-    # few are left
-    det, u, s, d, e1, e2 = det[own, each], u[own, each], s[:, own, each], d[:, own, 0], e1[:, 0, each], e2[:, 0, each]
-    q = cross(s, e1)
-    v, t = dot(d, q) / det, dot(e2, q) / det
-    hit = (v >= -eps) & (u + v <= 1 + eps) & (t >= 0) & (t <= 1)
-    return own[hit], t[hit]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, v, t = dot(s, h) / det, dot(d, q) / det, dot(e2, q) / det
+    to = last.take(own)
+    hit = np.flatnonzero((np.abs(det) > 1e-14) & (u >= -eps) & (v >= -eps) & (u + v <= 1 + eps) & (t >= first.take(own)) & ((t < to) | ((to == 1) & (t == 1))))
+    return hit, t[hit]
+
+
+def crossing_sums(found: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of sorted hits padded with inf: how many differ, the first, the last, and their sum with signs -, +, -, ..."""
+    with np.errstate(invalid="ignore"):
+        keep = np.diff(found, axis=1, prepend=-np.inf) > SAME_HIT
+    keep &= np.isfinite(found)
+    n = np.cumsum(keep, axis=1)
+    share = np.where(keep, np.where(n % 2 == 0, found, -found), 0.0).sum(axis=1)
+    return n[:, -1], found[:, 0], found[np.arange(len(found)), np.maximum(count - 1, 0)], share
 
 
 def crossings(start, end, tri: np.ndarray, eps: float = 1e-9) -> np.ndarray:

@@ -130,18 +130,23 @@ _CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
 _ENDS = [f"{p}{c}" for p in "se" for c in "xyz"]
 
 
-def _box_range(d: int, lo, size: float, shape) -> tuple[Column, Column]:
-    """First and last voxel of a triangle's bounding box along an axis, inside the grid; first > last where it is outside."""
+def _box_range(d: int, lo, size: float, shape, beyond: bool = False) -> tuple[Column, Column]:
+    """First and last voxel of a triangle's bounding box along an axis, inside the grid; first > last where it is outside.
+
+    With beyond the voxels at the edge of the grid reach outwards without end, and boxes are a little wider, for hits within rounding of a voxel.
+    """
     corners = [F.col(f"{p}{'xyz'[d]}") for p in "abc"]
-    first = F.greatest(F.floor((F.least(*corners) - lo[d]) / size), F.lit(0))
-    return first, F.least(F.floor((F.greatest(*corners) - lo[d]) / size), F.lit(shape[d] - 1))
+    least, most = F.least(*corners), F.greatest(*corners)
+    room = 1e-6 * size + 1e-8 * (most - least) if beyond else F.lit(0.0)
+    first, last = F.greatest(F.floor((least - room - lo[d]) / size), F.lit(0)), F.least(F.floor((most + room - lo[d]) / size), F.lit(shape[d] - 1))
+    return (F.least(first, F.lit(shape[d] - 1)), F.greatest(last, F.lit(0))) if beyond else (first, last)
 
 
-def triangle_cells(tris: DataFrame, lo, size: float, shape, axes: str = "ijk") -> DataFrame:
-    """tri, corners, i, j, k: the voxels (or columns of voxels) of each triangle's bounding box, inside the grid."""
+def triangle_cells(tris: DataFrame, lo, size: float, shape, axes: str = "ijk", beyond: bool = False) -> DataFrame:
+    """tri, corners, i, j, k: the voxels (or columns of voxels) of each triangle's bounding box, inside the grid or beyond it too."""
     out = tris
     for axis in axes:
-        first, last = _box_range("ijk".index(axis), lo, size, shape)
+        first, last = _box_range("ijk".index(axis), lo, size, shape, beyond)
         out = out.withColumn(axis, F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     return out
 
@@ -160,45 +165,97 @@ def depth_mask(spark, depths: DataFrame, shape, top: int | None = None) -> DataF
     return rows.select("vid", (inside & (F.col("k") <= top) if top is not None else inside).alias("free"))
 
 
-def path_crossings(segments: DataFrame, tris: DataFrame, lo, size: float, shape) -> DataFrame:
-    """t, r, at: sorted parameters where each segment (ax.. to bx..) meets the surface.
+def _crossed(segments: DataFrame, tris: DataFrame, lo, size: float, shape, kinds: str, summed) -> DataFrame:
+    """A row of kinds a piece of a path in a voxel (or more, or none): summed makes them of t, r, first of the pieces, their sorted hits and numbers of hits.
 
-    Triangles and paths meet in the voxels that both touch, and only hits leave them; a path's
-    hits are sorted together, so those of several voxels or on shared edges count once.
+    Paths carry their ends along, so no table of all paths is broadcast to join them again.
     """
-    from .tomography import march
 
-    points = segments.select("t", "r", F.array(F.array("sx", "sy", "sz"), F.array("ex", "ey", "ez")).alias("points"))
-    cells = march(points, lo, size, shape).select("t", "r", "vid").join(segments, ["t", "r"]).select("vid", "t", "r", *_ENDS)
-    boxes = triangle_cells(tris, lo, size, shape).select(*_CORNERS, voxel_id(F.col("i"), F.col("j"), F.col("k"), shape).alias("vid"))
+    def pieces(batches):
+        for batch in batches:
+            for k in range(0, len(batch), TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                ends = np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in _ENDS], axis=-1).reshape(-1, 2, 3)
+                own, vid, first, last = rays.segment_pieces(ends, lo, size, shape)
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(vid), *(part.column(c).take(take) for c in ("t", "r", *_ENDS)), pa.array(first), pa.array(last)], names=["vid", "t", "r", *_ENDS, "first", "last"])
+
+    longs = [F.col(c).cast("long").alias(c) for c in ("t", "r")]
+    cells = segments.select(*longs, *(F.col(c).cast("double").alias(c) for c in _ENDS)).mapInArrow(pieces, "vid long, t long, r long, " + ", ".join(f"{c} double" for c in [*_ENDS, "first", "last"]))
+    boxes = triangle_cells(tris, lo, size, shape, beyond=True).select(*(F.col(c).cast("double").alias(c) for c in _CORNERS), voxel_id(F.col("i"), F.col("j"), F.col("k"), shape).alias("vid"))
 
     def meet(paths: pa.Table, near: pa.Table) -> pa.Table:
         ends = np.stack([paths.column(c).to_numpy() for c in _ENDS], axis=-1).reshape(-1, 2, 3)
         tri = np.stack([near.column(c).to_numpy() for c in _CORNERS], axis=-1).reshape(-1, 3, 3)
-        found = [rays.crossings_of(ends[k : k + 64], tri) for k in range(0, len(ends), 64)] if len(tri) else []
-        own = np.concatenate([np.zeros(0, np.int64), *(o + 64 * k for k, (o, _) in enumerate(found))])
-        take = pa.array(own, pa.int64())
-        return pa.table([paths.column("t").take(take), paths.column("r").take(take), pa.array(np.concatenate([np.zeros(0), *(a for _, a in found)]))], names=["t", "r", "at"])
+        t, r, first, last = (paths.column(c).to_numpy() for c in ("t", "r", "first", "last"))
+        made = [summed(t[own], r[own], first[own], found, count) for own, found, count in rays.crossings_of(ends, first, last, tri)]
+        return pa.concat_tables(made) if made else summed(t[:0], r[:0], first[:0], np.full((0, 1), np.inf), np.zeros(0, np.int64))
+
+    return cells.groupBy("vid").cogroup(boxes.groupBy("vid")).applyInArrow(meet, f"t long, r long, {kinds}")
+
+
+def path_crossings(segments: DataFrame, tris: DataFrame, lo, size: float, shape) -> DataFrame:
+    """t, r, at: sorted parameters where each segment (sx.. to ex..) meets the surface.
+
+    Triangles and paths meet in the voxels that both touch, and only hits leave them, each from
+    the voxel of its place; hits on shared edges count once.  Where there are many hits a path,
+    crossing_sums is what path_media needs of them.
+    """
+
+    def summed(t, r, first, found, count):
+        return pa.table([np.repeat(t, count), np.repeat(r, count), found[np.isfinite(found)]], names=["t", "r", "at"])
 
-    hits = cells.groupBy("vid").cogroup(boxes.groupBy("vid")).applyInArrow(meet, "t long, r long, at double")
+    hits = _crossed(segments, tris, lo, size, shape, "at double", summed)
     hits = hits.groupBy("t", "r").agg(F.array_sort(F.collect_set("at")).alias("at"))
     apart = F.filter("at", lambda x, k: (k == 0) | (x - F.get("at", k - 1) > rays.SAME_HIT))
     found = hits.select("t", "r", apart.alias("at"))
-    return segments.select("t", "r").join(found, ["t", "r"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<double>")))
+    return segments.select("t", "r").join(found.hint("merge"), ["t", "r"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<double>")))
+
+
+def crossing_sums(segments: DataFrame, tris: DataFrame, lo, size: float, shape) -> DataFrame:
+    """t, r, hits, first, inside: of path_crossings the number, the first, and the share of a segment between odd and even ones.
+
+    A voxel gives a row a path, whatever its hits: their number, first, last and sum with signs
+    in turn.  Rows of a path are put together in its order; a hit that is the last of the row
+    before it again is left out, which turns the signs of those after it.
+    """
+
+    def summed(t, r, first, found, count):
+        n, one, end, share = rays.crossing_sums(found, count)
+        some = count > 0
+        return pa.table([c[some] for c in (t, r, first, n, one, end, share)], names=["t", "r", "piece", "n", "first", "last", "share"])
+
+    rows = _crossed(segments, tris, lo, size, shape, "piece double, n long, first double, last double, share double", summed)
+    rows = rows.groupBy("t", "r").agg(F.array_sort(F.collect_list(F.struct("piece", "n", "first", "last", "share"))).alias("p"))
+
+    def add(s, x):
+        again = x["first"] - s["last"] <= rays.SAME_HIT
+        share = F.when(again, -x["share"] - x["first"]).otherwise(x["share"])
+        return F.struct(
+            (s["n"] + x["n"] - again.cast("long")).alias("n"), x["last"].alias("last"),
+            (s["share"] + F.when(s["n"] % 2 == 1, -share).otherwise(share)).alias("share"),
+        )
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit("-Infinity").cast("double").alias("last"), F.lit(0.0).alias("share"))
+    rows = rows.select("t", "r", F.get("p", F.lit(0))["first"].alias("first"), F.aggregate("p", none, add).alias("p"))
+    found = rows.select("t", "r", F.col("p.n").alias("hits"), "first", F.col("p.share").alias("inside"))
+    return segments.select("t", "r").join(found.hint("merge"), ["t", "r"], "left").select("t", "r", F.coalesce("hits", F.lit(0)).alias("hits"), "first", F.coalesce("inside", F.lit(0.0)).alias("inside"))
 
 
 def path_media(segments: DataFrame, crossings: DataFrame) -> DataFrame:
-    """t, r, exlen, inlen: lengths outside and inside a closed surface; odd numbers of crossings are left out.
+    """t, r, exlen, inlen: lengths outside and inside a closed surface, by path_crossings or crossing_sums; odd numbers of crossings are left out.
 
     Backscatter (t = r) goes to its first hit and back: exterior twice that, no interior.
     """
+    if "at" in crossings.columns:
+        inside = F.expr("aggregate(sequence(0, size(at) div 2), 0D, (s, k) -> s + if(2 * k + 1 < size(at), at[2 * k + 1] - at[2 * k], 0D))")
+        crossings = crossings.select("t", "r", F.size("at").alias("hits"), F.get("at", F.lit(0)).alias("first"), inside.alias("inside"))
     length = norm(*(F.col(f"e{c}") - F.col(f"s{c}") for c in "xyz"))
-    rows = segments.withColumn("length", length).join(crossings, ["t", "r"])
+    rows = segments.withColumn("length", length).join(crossings.hint("merge"), ["t", "r"])
     back = F.col("t") == F.col("r")
-    rows = rows.where(back | (F.size("at") % 2 == 0)).where(~back | (F.size("at") > 0))
-    inside = F.expr("aggregate(sequence(0, size(at) div 2), 0D, (s, k) -> s + if(2 * k + 1 < size(at), at[2 * k + 1] - at[2 * k], 0D))")
-    exlen = F.when(back, 2 * F.get("at", F.lit(0)) * F.col("length")).otherwise((1 - inside) * F.col("length"))
-    return rows.select("t", "r", exlen.alias("exlen"), F.when(back, F.lit(0.0)).otherwise(inside * F.col("length")).alias("inlen"))
+    rows = rows.where(back | (F.col("hits") % 2 == 0)).where(~back | (F.col("hits") > 0))
+    exlen = F.when(back, 2 * F.col("first") * F.col("length")).otherwise((1 - F.col("inside")) * F.col("length"))
+    return rows.select("t", "r", exlen.alias("exlen"), F.when(back, F.lit(0.0)).otherwise(F.col("inside") * F.col("length")).alias("inlen"))
 
 
 def fresnel_paths(paths: DataFrame, wavelength: float, shape, keys=("t", "r")) -> DataFrame:
