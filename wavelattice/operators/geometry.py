@@ -181,7 +181,7 @@ def _crossed(segments: DataFrame, tris: DataFrame, lo, size: float, shape, kinds
                 yield pa.RecordBatch.from_arrays([pa.array(vid), *(part.column(c).take(take) for c in ("t", "r", *_ENDS)), pa.array(first), pa.array(last)], names=["vid", "t", "r", *_ENDS, "first", "last"])
 
     longs = [F.col(c).cast("long").alias(c) for c in ("t", "r")]
-    cells = segments.select(*longs, *(F.col(c).cast("double").alias(c) for c in _ENDS)).mapInArrow(pieces, "vid long, t long, r long, " + ", ".join(f"{c} double" for c in [*_ENDS, "first", "last"]))
+    cells = segments.where("t is not null and r is not null").select(*longs, *(F.col(c).cast("double").alias(c) for c in _ENDS)).mapInArrow(pieces, "vid long, t long, r long, " + ", ".join(f"{c} double" for c in [*_ENDS, "first", "last"]))
     boxes = triangle_cells(tris, lo, size, shape, beyond=True).select(*(F.col(c).cast("double").alias(c) for c in _CORNERS), voxel_id(F.col("i"), F.col("j"), F.col("k"), shape).alias("vid"))
 
     def meet(paths: pa.Table, near: pa.Table) -> pa.Table:
@@ -209,11 +209,11 @@ def path_crossings(segments: DataFrame, tris: DataFrame, lo, size: float, shape)
     hits = hits.groupBy("t", "r").agg(F.array_sort(F.collect_set("at")).alias("at"))
     apart = F.filter("at", lambda x, k: (k == 0) | (x - F.get("at", k - 1) > rays.SAME_HIT))
     found = hits.select("t", "r", apart.alias("at"))
-    return segments.select("t", "r").join(found.hint("merge"), ["t", "r"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<double>")))
+    return segments.select("t", "r").distinct().join(found.hint("merge"), ["t", "r"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<double>")))
 
 
 def crossing_sums(segments: DataFrame, tris: DataFrame, lo, size: float, shape) -> DataFrame:
-    """t, r, hits, first, inside: of path_crossings the number, the first, and the share of a segment between odd and even ones.
+    """t, r, hits, first, inside: of path_crossings the number, the first, and the share of a segment between odd and even ones; paths without hits have no row.
 
     A voxel gives a row a path, whatever its hits: their number, first, last and sum with signs
     in turn.  Rows of a path are put together in its order; a hit that is the last of the row
@@ -226,7 +226,7 @@ def crossing_sums(segments: DataFrame, tris: DataFrame, lo, size: float, shape)
         return pa.table([c[some] for c in (t, r, first, n, one, end, share)], names=["t", "r", "piece", "n", "first", "last", "share"])
 
     rows = _crossed(segments, tris, lo, size, shape, "piece double, n long, first double, last double, share double", summed)
-    rows = rows.groupBy("t", "r").agg(F.array_sort(F.collect_list(F.struct("piece", "n", "first", "last", "share"))).alias("p"))
+    rows = rows.groupBy("t", "r").agg(F.array_sort(F.collect_set(F.struct("piece", "n", "first", "last", "share"))).alias("p"))
 
     def add(s, x):
         again = x["first"] - s["last"] <= rays.SAME_HIT
@@ -238,8 +238,7 @@ def crossing_sums(segments: DataFrame, tris: DataFrame, lo, size: float, shape)
 
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit("-Infinity").cast("double").alias("last"), F.lit(0.0).alias("share"))
     rows = rows.select("t", "r", F.get("p", F.lit(0))["first"].alias("first"), F.aggregate("p", none, add).alias("p"))
-    found = rows.select("t", "r", F.col("p.n").alias("hits"), "first", F.col("p.share").alias("inside"))
-    return segments.select("t", "r").join(found.hint("merge"), ["t", "r"], "left").select("t", "r", F.coalesce("hits", F.lit(0)).alias("hits"), "first", F.coalesce("inside", F.lit(0.0)).alias("inside"))
+    return rows.select("t", "r", F.col("p.n").alias("hits"), "first", F.col("p.share").alias("inside"))
 
 
 def path_media(segments: DataFrame, crossings: DataFrame) -> DataFrame:
@@ -251,8 +250,9 @@ def path_media(segments: DataFrame, crossings: DataFrame) -> DataFrame:
         inside = F.expr("aggregate(sequence(0, size(at) div 2), 0D, (s, k) -> s + if(2 * k + 1 < size(at), at[2 * k + 1] - at[2 * k], 0D))")
         crossings = crossings.select("t", "r", F.size("at").alias("hits"), F.get("at", F.lit(0)).alias("first"), inside.alias("inside"))
     length = norm(*(F.col(f"e{c}") - F.col(f"s{c}") for c in "xyz"))
-    rows = segments.withColumn("length", length).join(crossings.hint("merge"), ["t", "r"])
-    back = F.col("t") == F.col("r")
+    rows = segments.withColumn("length", length).join(crossings.hint("merge"), ["t", "r"], "left")
+    rows = rows.withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("inside", F.coalesce("inside", F.lit(0.0)))
+    back = F.col("t").eqNullSafe(F.col("r"))
     rows = rows.where(back | (F.col("hits") % 2 == 0)).where(~back | (F.col("hits") > 0))
     exlen = F.when(back, 2 * F.col("first") * F.col("length")).otherwise((1 - F.col("inside")) * F.col("length"))
     return rows.select("t", "r", exlen.alias("exlen"), F.when(back, F.lit(0.0)).otherwise(F.col("inside") * F.col("length")).alias("inlen"))
